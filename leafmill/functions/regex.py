@@ -60,12 +60,23 @@ def re2(pattern: str, ignore_case: bool = False, multiline: bool = False, dotall
     return f"(?{on}{off}){_spell(pattern, _SPACE_RE2)}"
 
 
-def literal_prefix(pattern: str) -> str:
-    """Literal letters every match must start with ('' if none): a cheap substring test
-    that can be run before the regex itself."""
-    found = re.match(r"[a-z]+", pattern)
-    if not found:
-        return ""
-    text = found.group(0)
-    rest = pattern[len(text):len(text) + 1]
-    return text[:-1] if rest in ("?", "*", "{") else text
+def _longest_run(pattern: str) -> str:
+    """Longest plain run outside groups, classes and optional items."""
+    if re.fullmatch(r"[\w #-]+", pattern):
+        return pattern
+    bare = re.sub(r"\\.|\[[^\]]*\]", "~", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "~", bare)) != bare:
+        bare = inner
+    bare = re.sub(r".(?:[?*]|\{[^}]*\})", "~", bare)
+    return "" if "|" in bare else max(re.findall(r"[\w ]+", bare), key=len, default="").strip()
+
+
+def needed_literals(pattern: str) -> list[str]:
+    """Lower-case literals of which every match contains at least one; [] when there is no such list.
+
+    Taken from the arms of a leading alternation, else from the longest plain run.
+    """
+    lead = re.match(r"(?:\\b)?\(\?:([^()]*)\)(?![?*])", pattern)
+    parts = lead.group(1).split("|") if lead else [pattern]
+    runs = [_longest_run(part).lower() for part in parts]
+    return list(dict.fromkeys(runs)) if all(runs) else []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from leafmill.functions.regex import WHITESPACE, WORD, java, literal_prefix
+from leafmill.functions.regex import WHITESPACE, WORD, java, needed_literals
 
 
 def strip(col: Column) -> Column:
@@ -24,6 +26,11 @@ def matches(col: Column, pattern: str, **flags) -> Column:
     return col.rlike(java(pattern, **flags))
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``, however often that refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(col: Column, pattern: str, group: int = 1, **flags) -> Column:
     """Group of the first match; NULL without a match (an empty group is a match)."""
     spelled = java(pattern, **flags)
@@ -35,11 +42,64 @@ def first_of(col: Column, patterns: list[str], **flags) -> Column:
     return F.coalesce(*[first_match(col, p, **flags) for p in patterns])
 
 
-def gated_match(lower: Column, pattern: str) -> Column:
-    """``rlike`` on lower-cased text, behind a substring test where the pattern allows one."""
-    test = matches(lower, pattern)
-    prefix = literal_prefix(pattern)
-    return (lower.contains(prefix) & test) if prefix else test
+def literal_hits(col: Column, literals: list[str]) -> Column:
+    """Which of many literals occur as substrings: an Arrow function that reads each text once,
+    whatever the number of literals (one native substring test per literal reads it every time
+    and measured several times slower beyond a dozen literals).
+
+    The function carries all it needs, so executors do not have to import this package.
+    """
+    wanted = tuple(dict.fromkeys(literals))
+
+    @pandas_udf("array<string>")
+    def hits(texts: pd.Series) -> pd.Series:
+        try:
+            import ahocorasick
+        except ImportError:
+            return texts.map(lambda t: [] if t is None else [w for w in wanted if w in t])
+        machine = ahocorasick.Automaton()
+        for word in wanted:
+            machine.add_word(word, word)
+        machine.make_automaton()
+        return texts.map(lambda t: [] if t is None else list({word for _, word in machine.iter(t)}))
+
+    return hits(col)
+
+
+def gate(hits: Column, pattern: str) -> Column | None:
+    """Can the pattern match at all, judged by the literals known to occur (None: always try)."""
+    literals = needed_literals(pattern)
+    return F.arrays_overlap(hits, F.array(*[F.lit(w) for w in literals])) if literals else None
+
+
+def gated_match(col: Column, hits: Column, pattern: str, **flags) -> Column:
+    """``rlike`` behind ``gate``."""
+    test, possible = matches(col, pattern, **flags), gate(hits, pattern)
+    return test if possible is None else possible & test
+
+
+def rule_list(patterns: list[str], **flags) -> Column:
+    """Patterns as a literal ``array<struct<re, needs>>``: spelled regex and needed literals.
+
+    Large rule sets are kept as data inside the plan and run by higher-order functions.  That
+    keeps plans small; a regex of such a rule is compiled when used, which the literal gate
+    limits to the few rules that can match a row.
+    """
+    return F.array(*[F.struct(
+        F.lit(java(p, **flags)).alias("re"),
+        F.array(*[F.lit(w) for w in needed_literals(p)]).cast("array<string>").alias("needs")) for p in patterns])
+
+
+def rule_hits(text: Column, hits: Column, rules: Column) -> Column:
+    """Rules of a ``rule_list`` that match, in order."""
+    return F.filter(rules, lambda r: ((F.size(r["needs"]) == 0) | F.arrays_overlap(hits, r["needs"]))
+                    & F.rlike(text, r["re"]))
+
+
+def rule_value(text: Column, hits: Column, rules: Column) -> Column:
+    """First group of the first rule that matches, NULL without one."""
+    return let(F.get(rule_hits(text, hits, rules), F.lit(0)),
+               lambda r: F.call_function("regexp_extract", text, r["re"], F.lit(1)))
 
 
 def words(col: Column) -> Column:
@@ -62,12 +122,12 @@ def total(terms: list[Column]) -> Column:
 
 def count_chars(col: Column, chars: str) -> Column:
     """How many characters of ``col`` are in ``chars``."""
-    return F.length(col) - F.length(F.translate(col, chars, ""))
+    return total([F.length(col) - F.length(F.replace(col, F.lit(c), F.lit(""))) for c in chars])
 
 
 def fold_labels(col: Column) -> Column:
     """Lower case plus the letters that equal ASCII letters under case-insensitive matching."""
-    return F.lower(F.translate(col, "ſıİK", "siik"))
+    return F.lower(F.when(col.rlike("[ſıİK]"), F.translate(col, "ſıİK", "siik")).otherwise(col))
 
 
 def quote_csv(col: Column) -> Column:

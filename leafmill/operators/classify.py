@@ -7,27 +7,37 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import catalog as C
 from leafmill.functions import text as T
+from leafmill.functions.regex import needed_literals
 
 ROUND_SCORES = 3
 
 
-def type_scores(lower: Column, rules: dict = C.DOCUMENT_RULES) -> dict[str, Column]:
+def _literals(rules: dict) -> list[str]:
+    """Keywords plus the literals that patterns cannot match without."""
+    found = [w for _, keywords, patterns in rules.values()
+             for w in [*keywords, *(w for p in patterns for w in needed_literals(p))]]
+    return list(dict.fromkeys(found))
+
+
+def type_scores(lower: Column, hits: Column, rules: dict = C.DOCUMENT_RULES) -> dict[str, Column]:
     """Score per type over lower-cased text: keyword +1 (substring), pattern +2 (once),
     times the weight, over the largest possible sum."""
     scores = {}
     for name, (weight, keywords, patterns) in rules.items():
-        hits = [lower.contains(k).cast("double") for k in keywords]
-        hits += [T.gated_match(lower, p).cast("double") * 2.0 for p in patterns]
-        scores[name] = T.total(hits) * F.lit(weight) / F.lit(float(len(keywords) + 2 * len(patterns)))
+        score = F.size(F.array_intersect(hits, F.array(*[F.lit(k) for k in keywords]))).cast("double")
+        for p in patterns:
+            score = score + T.gated_match(lower, hits, p).cast("double") * 2.0
+        scores[name] = score * F.lit(weight) / F.lit(float(len(keywords) + 2 * len(patterns)))
     return scores
 
 
 def score_types(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (),
                 rules: dict = C.DOCUMENT_RULES) -> DataFrame:
-    """Adds ``_lower`` and ``scores`` (struct, one double per type) to the kept columns."""
+    """Adds ``_hits`` (literals that occur) and ``scores`` (struct, one double per type)."""
     lowered = docs.select(id_col, *keep, F.lower(text_col).alias("_lower"))
-    scores = type_scores(F.col("_lower"), rules)
-    return lowered.withColumn("scores", F.struct(*[c.alias(n) for n, c in scores.items()]))
+    scanned = lowered.withColumn("_hits", T.literal_hits(F.col("_lower"), _literals(rules)))
+    scores = type_scores(F.col("_lower"), F.col("_hits"), rules)
+    return scanned.select(id_col, *keep, "_hits", F.struct(*[c.alias(n) for n, c in scores.items()]).alias("scores"))
 
 
 def best_type(scores: Column, names: list[str]) -> Column:
@@ -37,12 +47,11 @@ def best_type(scores: Column, names: list[str]) -> Column:
     return F.array_max(ranked)
 
 
-def found_keywords(lower: Column, doc_type: Column, rules: dict = C.DOCUMENT_RULES) -> Column:
-    """Keywords of the winning type that occur; only that type's list is tested."""
+def found_keywords(hits: Column, doc_type: Column, rules: dict = C.DOCUMENT_RULES) -> Column:
+    """Keywords of the winning type that occur, in catalogue order."""
     out = F.array().cast("array<string>")
     for name, (_, keywords, _) in rules.items():
-        hits = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lower, k))
-        out = F.when(doc_type == name, hits).otherwise(out)
+        out = F.when(doc_type == name, F.array_intersect(F.array(*[F.lit(k) for k in keywords]), hits)).otherwise(out)
     return out
 
 
@@ -62,7 +71,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         F.when(known, F.least(F.col("_best.score") * 2.0, F.lit(1.0))).otherwise(0.0).alias("confidence"),
         route(F.col("document_type")).alias("suggested_schema"),
         F.create_map(*[x for n in names for x in (F.lit(n), F.col("scores")[n])]).alias("all_scores"),
-        found_keywords(F.col("_lower"), F.col("document_type"), rules).alias("keywords_found"))
+        found_keywords(F.col("_hits"), F.col("document_type"), rules).alias("keywords_found"))
 
 
 def route(doc_type: Column) -> Column:

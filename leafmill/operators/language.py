@@ -45,7 +45,6 @@ def with_features(docs: DataFrame, id_col: str, text_col: str, keep: list[str] =
     text = F.col(text_col)
     plain = sorted({w for _, words, _ in C.LANGUAGE_RULES.values() for w in words if _PLAIN_WORD.match(w)})
     counted = [m.group(1) for _, _, ps in C.LANGUAGE_RULES.values() for p in ps if (m := _WHOLE_WORD.match(p))]
-    letters = "".join(_CASE_FORMS.values())
     low, high = C.SCRIPT_RANGES["latin"]
     base = docs.select(
         id_col, *keep, text.alias("_text"), F.lower(text).alias("_lower"),
@@ -63,7 +62,7 @@ def with_features(docs: DataFrame, id_col: str, text_col: str, keep: list[str] =
         F.transform(F.regexp_extract_all(
             "_text", F.lit(f"(?iu)(?<![{WORD}])({'|'.join(counted)})(?![{WORD}])"), F.lit(1)),
             F.lower).alias("_counted"),
-        F.regexp_replace("_text", f"[^{letters}]+", "").alias("_letters"),
+        F.regexp_replace("_text", r"[\x00-\x7F]+", "").alias("_letters"),
         F.regexp_count("_text", F.lit(java("ij", ignore_case=True))).alias("_ij"),
         F.regexp_count("_text", F.lit(java(r"\bqu['e]", ignore_case=True))).alias("_qu"),
         F.regexp_count("_text", F.lit(java(r"\bc'est\b", ignore_case=True))).alias("_cest"))

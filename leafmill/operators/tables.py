@@ -8,8 +8,6 @@ Cell text is kept as written: no number inference.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,37 +37,39 @@ def needs_tokenizer(text: Column) -> Column:
     return text.rlike(r"(?i)<table\b") & (odd | text.rlike(r"(?i)<!--|<script|<style"))
 
 
-class _TableSpans(HTMLParser):
-    """Start and end offsets of every table element, in order of the opening tag."""
+def _tokenized_tables(text: Column) -> Column:
+    """Arrow function: source text of every table element, in order of the opening tags."""
+
+    @pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        from html.parser import HTMLParser
 
-    def __init__(self, text: str):
-        super().__init__(convert_charrefs=False)
-        self._line_start = [0]
-        for i, ch in enumerate(text):
-            if ch == "\n":
-                self._line_start.append(i + 1)
-        self._text, self._open, self.spans = text, [], []
-        self.feed(text)
-        self.close()
+        class Spans(HTMLParser):
+            def __init__(self, source: str):
+                super().__init__(convert_charrefs=False)
+                self.source, self.stack, self.spans, self.lines = source, [], [], [0]
+                for line in source.split("\n"):
+                    self.lines.append(self.lines[-1] + len(line) + 1)
+                self.feed(source)
+                self.close()
 
-    def _offset(self) -> int:
-        line, col = self.getpos()
-        return self._line_start[line - 1] + col
+            def here(self) -> int:
+                line, col = self.getpos()
+                return self.lines[line - 1] + col
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self._open.append(len(self.spans))
-            self.spans.append([self._offset(), len(self._text)])
+            def handle_starttag(self, tag, attrs):
+                if tag == "table":
+                    self.stack.append(len(self.spans))
+                    self.spans.append([self.here(), len(self.source)])
 
-    def handle_endtag(self, tag):
-        if tag == "table" and self._open:
-            end = self._text.find(">", self._offset())
-            self.spans[self._open.pop()][1] = len(self._text) if end < 0 else end + 1
+            def handle_endtag(self, tag):
+                if tag == "table" and self.stack:
+                    end = self.source.find(">", self.here())
+                    self.spans[self.stack.pop()][1] = len(self.source) if end < 0 else end + 1
 
+        return texts.map(lambda t: None if t is None else [t[a:b] for a, b in Spans(t).spans])
 
-@pandas_udf("array<string>")
-def _tokenized_tables(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [t[a:b] for a, b in _TableSpans(t).spans])
+    return run(text)
 
 
 def html_tables(text: Column) -> Column:
