@@ -31,6 +31,11 @@ def label_confidence(name: str) -> float:
     return min(1.0, 0.85 + int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % 15 / 100)
 
 
+def label_literals(names: list[str]) -> list[str]:
+    """Lower-case label spellings to look for."""
+    return list(dict.fromkeys(w for n in names for sp in _spellings(n) for w in needed_literals(re.escape(sp).replace(r"\ ", " "))))
+
+
 def label_array(text: Column, hits: Column, names: list[str]) -> Column:
     """``array<struct<field, value, confidence, found>>``: the text behind each label
     (``label[\\s:]+rest of line``, any case, with and without the blanks inside the label);
@@ -52,9 +57,8 @@ def with_label_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       enabled: list[str] | None = None, extra: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """Documents with ``fields`` = array<struct<field, value, confidence, found>>."""
     names = field_names(enabled, extra)
-    literals = list(dict.fromkeys(sp.lower() for n in names for sp in _spellings(n)))
     scanned = docs.select(id_col, *keep, F.col(text_col).alias("_text"),
-                          T.literal_hits(T.fold_labels(F.col(text_col)), literals).alias("_hits"))
+                          T.literal_hits(T.fold_labels(F.col(text_col)), label_literals(names)).alias("_hits"))
     return scanned.select(id_col, *keep, label_array(F.col("_text"), F.col("_hits"), names).alias("fields"))
 
 
