@@ -1,19 +1,20 @@
 """Rate-limit admission: sliding log and token bucket.
 
 A decision depends on earlier decisions of the same key, so it cannot be a plain window.
-The batch forms split a key's history where its state is known anyway and process only the
-rest in order:
+The batch forms cut a key's history where the state is known from the requests alone and
+replay only what is left, in time order:
 
 * sliding log - a request whose trailing load (all requests in the window, itself included) is
-  within the limit is certainly admitted.  Only *contested* stretches, where some load exceeds
-  the limit, are replayed, each together with the requests of one window before it, which are
-  all admitted.
-* token bucket - after a pause long enough to refill, the bucket is full whatever came before.
-
-A stretch is streamed in time order through one task with constant state (at most ``limit``
-timestamps): sorted partitions, never a whole group in memory.  A key overloaded without
-any break is one stretch and its decisions are sequential by definition; everything else,
-other keys and its own quiet times, runs in parallel.
+  within the limit is always admitted.  Only requests above it are open; a chain of open
+  requests less than a window apart is replayed with the window before it.
+* token bucket - if every request were admitted, the missing tokens would follow a queue; where
+  that queue is empty the bucket is full whatever was decided before.  Each busy period of the
+  queue is replayed on its own.
+
+A replay streams a stretch through one task with constant state: sorted partitions, never a
+group in memory.  A key overloaded without any break is one stretch, sequential by definition;
+its quiet times and all other keys run in parallel.  All running values over a key are taken
+per time bucket and carried between buckets, so a busy key is spread there too.
 """
 
 from __future__ import annotations
@@ -24,41 +25,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.streaming.windows import trailing_load
+from leafmill.streaming.windows import HALO_FACTOR, trailing_load
 
 
-def _stretches(rows: DataFrame, key: str, starts: Column) -> DataFrame:
-    """Number the stretches of a key: ``_run`` is the time of the last start at or before a row.
-    Rows come as (key, _b bucket of time, _us); a running maximum inside each bucket is carried
-    across buckets by a window over one row per bucket."""
-    marked = rows.withColumn("_start", F.when(starts, F.col("_us")))
-    inside = Window.partitionBy(key, "_b").orderBy("_us", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.withColumn("_run", F.max("_start").over(inside))
-    per_bucket = marked.groupBy(key, "_b").agg(F.max("_start").alias("_last"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.withColumn("_carry", F.max("_last").over(before)).drop("_last")
-    return local.join(carried, [key, "_b"]).withColumn("_run", F.coalesce("_run", "_carry")).drop("_carry", "_start")
+def _bucketed(rows: DataFrame, bucket_us: int) -> DataFrame:
+    return rows.withColumn("_b", F.floor(F.col("_us") / bucket_us))
 
 
-def _with_gap(rows: DataFrame, key: str, bucket_us: int) -> DataFrame:
-    """Adds ``_gap``: microseconds since the key's previous request (NULL for its first).
-    Inside a bucket by lag; the first row of a bucket looks at the last one of the bucket before."""
-    cut = rows.withColumn("_b", F.floor(F.col("_us") / bucket_us))
-    order = Window.partitionBy(key, "_b").orderBy("_us", "_id")
-    lagged = cut.withColumn("_prev", F.lag("_us").over(order))
-    ends = cut.groupBy(key, "_b").agg(F.max("_us").alias("_end"))
-    over = Window.partitionBy(key).orderBy("_b")
-    previous = ends.withColumn("_prev_end", F.lag("_end").over(over)).drop("_end")
-    joined = lagged.join(previous, [key, "_b"])
-    return joined.withColumn("_gap", F.col("_us") - F.coalesce("_prev", "_prev_end")).drop("_prev", "_prev_end")
+def _running(rows: DataFrame, key: str, value: Column, how: str, name: str, before: bool = False) -> DataFrame:
+    """Running sum, min or max of ``value`` along a key's time; ``before`` leaves the row itself out.
+
+    Computed inside (key, bucket) and shifted by the buckets before; the carry table has one
+    row per key and bucket.
+    """
+    aggregate = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    valued = rows.withColumn("_v", value)
+    inside = Window.partitionBy(key, "_b").orderBy("_us", "_id").rowsBetween(
+        Window.unboundedPreceding, -1 if before else 0)
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = valued.groupBy(key, "_b").agg(aggregate("_v").alias("_part")).select(
+        key, "_b", aggregate("_part").over(earlier).alias("_carry"))
+    joined = valued.withColumn("_local", aggregate("_v").over(inside)).join(carry, [key, "_b"])
+    zero = F.lit(0)
+    both = {"sum": F.coalesce("_local", zero) + F.coalesce("_carry", zero),
+            "min": F.least("_local", "_carry"), "max": F.greatest("_local", "_carry")}[how]
+    return joined.withColumn(name, both).drop("_v", "_local", "_carry")
 
 
 def _replay(rows: DataFrame, key: str, decide, extra: str) -> DataFrame:
     """Stream every stretch in time order through ``decide()``: a factory of step functions
-    ``micros -> tuple`` with fresh state."""
-    names = [key, "_id", "_us", "_run"]
+    ``micros -> tuple`` with fresh state.  Columns: key, _id, _us, _run and optionally _own."""
+    names = [key, "_id", "_us", "_run", *(["_own"] if "_own" in rows.columns else [])]
+    kept = [n for n in names if n != "_run"]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{n}` {types[n]}" for n in (key, "_id", "_us")) + ", " + extra
+    schema = ", ".join(f"`{n}` {types[n]}" for n in kept) + ", " + extra
     out_names = [part.split()[0] for part in extra.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def _replay(rows: DataFrame, key: str, decide, extra: str) -> DataFrame:
                 if (k, r) != current:
                     current, step = (k, r), decide()
                 results.append(step(us))
-            out = pdf[[key, "_id", "_us"]].copy()
+            out = pdf[kept].copy()
             for name, values in zip(out_names, zip(*results)):
                 out[name] = values
             yield out
@@ -116,32 +116,57 @@ def token_bucket(rate_per_s: float, capacity: float):
     return fresh
 
 
+def _open_chains(open_rows: DataFrame, key: str, width_us: int) -> DataFrame:
+    """``_run`` of every open request: time of the first one of its chain."""
+    timed = _running(_bucketed(open_rows, width_us * HALO_FACTOR), key, F.col("_us"), "max", "_prev", before=True)
+    starts = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= width_us), F.col("_us"))
+    return _running(timed, key, starts, "max", "_run").select(key, "_id", "_run")
+
+
 def admit_sliding(events: DataFrame, key: str, id_col: str, micros: Column, limit: int, width_us: int) -> DataFrame:
     """Batch decisions of the sliding log: id, key, allowed, retry_after, remaining."""
     rows = events.select(F.col(key), F.col(id_col).alias("_id"), micros.alias("_us"))
     loaded = trailing_load(rows, key, F.col("_us"), width_us, order="_id")
-    free = F.col("load") <= limit
-    bucket_us = width_us * 60
-    gapped = _with_gap(loaded, key, bucket_us)
-    # a stretch starts after a pause of a whole window
-    runs = _stretches(gapped, key, F.col("_gap").isNull() | (F.col("_gap") >= width_us))
-    contested = runs.groupBy(key, "_run").agg(F.max("load").alias("_peak")).filter(F.col("_peak") > limit).select(key, "_run")
-    replayed = _replay(runs.join(contested, [key, "_run"], "left_semi"), key, sliding_log(limit, width_us),
-                       "allowed boolean, retry_after long, remaining long")
-    quiet = runs.join(contested, [key, "_run"], "left_anti").filter(free).select(
+    chains = _open_chains(loaded.filter(F.col("load") > limit), key, width_us)
+    size = width_us * HALO_FACTOR
+    known = _bucketed(loaded.join(chains, [key, "_id"], "left"), size)
+    mark = F.when(F.col("_run").isNotNull(), F.struct("_us", "_run"))
+    # chain whose last open request is less than a window back: it decides this request
+    placed = _running(known, key, mark, "max", "_past").withColumn(
+        "_after", F.when(F.col("_us") - F.col("_past._us") < width_us, F.col("_past._run")))
+    # chain that opens less than a window later: this request is part of its log.  Buckets are
+    # extended backwards by one window to see it
+    reach = F.floor((F.col("_us") - width_us) / size)
+    spread = placed.withColumn("_own_b", F.col("_b")).withColumn(
+        "_b", F.explode(F.array_distinct(F.array(F.col("_own_b"), reach))))
+    ahead = Window.partitionBy(key, "_b").orderBy(F.desc("_us"), F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    sighted = spread.withColumn("_next", F.last(mark, ignorenulls=True).over(ahead)).filter(
+        F.col("_b") == F.col("_own_b")).withColumn(
+        "_before", F.when(F.col("_next._us") - F.col("_us") < width_us, F.col("_next._run")))
+    copies = F.filter(F.array(
+        F.struct(F.col("_after").alias("r"), F.lit(True).alias("own")),
+        F.struct(F.nullif(F.col("_before"), F.coalesce("_after", F.lit(-1))).alias("r"), F.lit(False).alias("own"))),
+        lambda c: c["r"].isNotNull())
+    inputs = sighted.select(key, "_id", "_us", F.explode(copies).alias("c")).select(
+        key, "_id", "_us", F.col("c.r").alias("_run"), F.col("c.own").alias("_own"))
+    replayed = _replay(inputs, key, sliding_log(limit, width_us),
+                       "allowed boolean, retry_after long, remaining long").filter("_own").drop("_us", "_own")
+    quiet = placed.filter(F.col("_after").isNull()).select(
         key, "_id", F.lit(True).alias("allowed"), F.lit(0).cast("bigint").alias("retry_after"),
         (F.lit(limit) - F.col("load")).cast("bigint").alias("remaining"))
-    return replayed.drop("_us").unionByName(quiet).withColumnRenamed("_id", id_col)
+    return replayed.unionByName(quiet).withColumnRenamed("_id", id_col)
 
 
 def admit_bucket(events: DataFrame, key: str, id_col: str, micros: Column, per_minute: int) -> DataFrame:
     """Batch decisions of the token bucket (capacity = requests per minute): id, key, allowed, tokens, retry_after."""
-    rate = per_minute / 60
-    rows = events.select(F.col(key), F.col(id_col).alias("_id"), micros.alias("_us"))
-    refill_us = int(per_minute / rate * 1e6)
-    gapped = _with_gap(rows, key, refill_us * 60)
-    runs = _stretches(gapped, key, F.col("_gap").isNull() | (F.col("_gap") >= refill_us))
-    out = _replay(runs, key, token_bucket(rate, per_minute), "allowed boolean, tokens double, retry_after long")
+    token_us = -(-60_000_000 // per_minute)  # rounded up: a queue that empties is empty for certain
+    rows = _bucketed(events.select(F.col(key), F.col(id_col).alias("_id"), micros.alias("_us")), 3_600_000_000)
+    counted = _running(rows, key, F.lit(1), "sum", "_n")
+    level = (F.col("_n") - 1) * token_us - F.col("_us")
+    queued = _running(counted.withColumn("_level", level), key, F.col("_level"), "min", "_low", before=True)
+    starts = F.when(F.col("_low").isNull() | (F.col("_level") <= F.col("_low")), F.col("_us"))
+    runs = _running(queued, key, starts, "max", "_run")
+    out = _replay(runs, key, token_bucket(per_minute / 60, per_minute), "allowed boolean, tokens double, retry_after long")
     return out.drop("_us").withColumnRenamed("_id", id_col)
 
 
