@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contract import sql as S
 from fixtures import render_docs as R
 from leafmill.functions import catalog as C
+from leafmill.functions import text as T
 from leafmill.operators import classify, entities, fields, language, pages
 
 QUERIES, ORACLES = {}, {}
@@ -42,7 +43,7 @@ def _(spark, sf):
 @register("classify_scores", f"{_TYPED}, long as (unpivot (select doc_id, {', '.join(_NAMES)} from best) on {', '.join(_NAMES)} "
           "into name document_type value score) select doc_id, document_type, round(score, 6) as score from long where score > 0")
 def _(spark, sf):
-    rows = classify.classify(docs(spark, sf)).select("doc_id", F.explode("all_scores").alias("document_type", "score"))
+    rows = classify.classify(docs(spark, sf)).select("doc_id", F.explode_outer("all_scores").alias("document_type", "score"))
     return rows.filter("score > 0").select("doc_id", "document_type", F.round("score", 6).alias("score"))
 
 
@@ -91,7 +92,7 @@ _DETECT = f"""with base as (select doc_id, lang as declared, text, lower(text) a
     scripted as (select *, {_SCRIPT_CASE} as script from base),
     scored as (select doc_id, declared, text, script, {_language_cols()} from scripted),
     topped as (select *, greatest({', '.join(_LANGS)}) as top from scored),
-    detected as (select *, case when top <= 0 or script = 'unknown' then 'unknown' {' '.join(f"when {n} = top then '{n}'" for n in _LANGS)} end as language,
+    detected as materialized (select *, case when top <= 0 or script = 'unknown' then 'unknown' {' '.join(f"when {n} = top then '{n}'" for n in _LANGS)} end as language,
       case when top <= 0 or script = 'unknown' then 0.0::double else least(top * 2.0::double, 1.0::double) end as confidence from topped)"""
 _LONG = f"""{_DETECT}, long as (unpivot (select doc_id, {', '.join(_LANGS)} from detected) on {', '.join(_LANGS)} into name language value score),
     ranked as (select *, row_number() over (partition by doc_id order by score desc, list_position({_LANGS}, language)) as rn from long)"""
@@ -105,13 +106,14 @@ def _(spark, sf):
 
 @register("language_scores", f"{_LONG} select doc_id, language, round(score, 6) as score from ranked")
 def _(spark, sf):
-    found = language.detect(docs(spark, sf)).select("doc_id", F.explode("language_scores").alias("language", "score"))
-    return found.withColumn("score", F.round("score", 6))
+    found = language.detect(docs(spark, sf)).select("doc_id", F.explode_outer("language_scores").alias("language", "score"))
+    return found.filter("language is not null").withColumn("score", F.round("score", 6))
 
 
 @register("language_secondary", f"{_LONG} select doc_id, language from ranked where rn between 2 and 4 and score > 0.1")
 def _(spark, sf):
-    return language.detect(docs(spark, sf)).select("doc_id", F.explode("secondary_languages").alias("language"))
+    found = language.detect(docs(spark, sf))
+    return T.unnest(found, ["doc_id"], F.col("secondary_languages")).select("doc_id", F.col("_item").alias("language"))
 
 
 @register("language_agreement", f"{_DETECT} select declared as lang, language, count(*) as n_docs from detected group by all")
@@ -124,10 +126,10 @@ def _(spark, sf):
     unpivot (select doc_id, {', '.join('n_' + n for n in _RANGES)} from base) on {', '.join('n_' + n for n in _RANGES)} into name script value n)
     select doc_id, substr(script, 3) as script, n from long where n > 0""")
 def _(spark, sf):
-    counts = language.script_counts()
-    rows = language.with_features(docs(spark, sf), "doc_id", "text").select("doc_id", F.explode(F.create_map(
-        *[x for n, c in counts.items() for x in (F.lit(n), c.cast("bigint"))])).alias("script", "n"))
-    return rows.filter("n > 0")
+    scanned = docs(spark, sf).select("doc_id", language.features(F.col("text")).alias("f"))
+    counts = language.script_counts(F.col("f"))
+    return T.unnest(scanned, ["doc_id"], F.array(*[F.struct(F.lit(n).alias("script"), c.cast("bigint").alias("n"))
+                                                   for n, c in counts.items()])).select("doc_id", "_item.*").filter("n > 0")
 
 
 @register("language_labels", "select l.lang, f.field, m.label, count(*) as n_docs from documents l cross join (values ('invoice_number'), ('date'), ('total'), ('tax')) f(field) "
@@ -267,7 +269,7 @@ _KEY_POINTS = " || ".join([f"list_slice({S.find_all('text', C.BULLET_PATTERN.rep
 @register("key_points", f"with base as (select doc_id, list_slice({_KEY_POINTS}, 1, 10) as v from documents) "
           "select doc_id, (generate_subscripts(v, 1) - 1)::int as pos, unnest(v) as point from base")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(entities.key_points(F.col("text"))).alias("pos", "point"))
+    return docs(spark, sf).select("doc_id", F.posexplode_outer(entities.key_points(F.col("text"))).alias("pos", "point")).filter("pos is not null")
 
 
 @register("text_statistics", f"""select doc_id, length(text) as n_chars,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -17,6 +17,16 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def unnest(df: DataFrame, keep: list[str], items: Column, pos: str = "_pos") -> DataFrame:
+    """One row per array item: kept columns, ``pos`` (from 0), ``_item``.
+
+    The outer form plus a test on the position: a plain explode makes the optimizer derive a
+    non-empty filter below it, which evaluates the whole array expression a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(pos, "_item"))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def find_all(col: Column, pattern: str, group: int = 1, **flags) -> Column:
     """All non-overlapping matches of one group, as an array."""
     return F.regexp_extract_all(col, F.lit(java(pattern, **flags)), F.lit(group))

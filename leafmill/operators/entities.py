@@ -61,8 +61,8 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     found = entity_array(F.col(text_col), types)
     if limit is not None:
         found = F.slice(found, 1, limit)
-    rows = docs.select(id_col, F.posexplode(found).alias("ord", "e"))
-    return rows.select(id_col, "ord", "e.type", "e.pattern_no", "e.value",
+    rows = T.unnest(docs, [id_col], found, "ord")
+    return rows.select(id_col, "ord", "_item.type", "_item.pattern_no", "_item.value",
                        F.lit(C.ENTITY_CONFIDENCE).alias("confidence"))
 
 
@@ -98,8 +98,8 @@ def _with_triggers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def context_fields(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fields looked for only where a trigger word of their context occurs."""
     base = _with_triggers(docs, id_col, text_col)
-    rows = base.select(id_col, F.explode(_context_hits(F.col(text_col), F.col("_triggers"))).alias("h"))
-    return rows.select(id_col, "h.*", F.lit(C.CONTEXT_CONFIDENCE).alias("confidence"))
+    rows = T.unnest(base, [id_col], _context_hits(F.col(text_col), F.col("_triggers")))
+    return rows.select(id_col, "_item.*", F.lit(C.CONTEXT_CONFIDENCE).alias("confidence"))
 
 
 def answer(text: Column, question: str) -> Column:
@@ -119,8 +119,8 @@ def answer_questions(docs: DataFrame, questions: list[str], id_col: str = "doc_i
     """One row per document and answered question.  Questions are literals: no join."""
     found = F.array(*[F.struct(F.lit(i).alias("question_no"), F.lit(q).alias("question"),
                                answer(F.col(text_col), q).alias("a")) for i, q in enumerate(questions)])
-    rows = docs.select(id_col, F.explode(F.filter(found, lambda x: x["a"].isNotNull())).alias("x"))
-    return rows.select(id_col, "x.question_no", "x.question", "x.a.field", "x.a.value",
+    rows = T.unnest(docs, [id_col], F.filter(found, lambda x: x["a"].isNotNull()))
+    return rows.select(id_col, "_item.question_no", "_item.question", "_item.a.field", "_item.a.value",
                        F.lit(C.QUESTION_CONFIDENCE).alias("confidence"))
 
 
@@ -140,7 +140,7 @@ def semantic_fields(docs: DataFrame, questions: list[str], id_col: str = "doc_id
         F.slice("a", i + 2, F.greatest(F.size("a") - i - 1, F.lit(0))), lambda y: y["field"] == x["field"]))
     asked = F.transform(last, lambda x: F.struct(
         x["field"], x["value"], F.lit(C.QUESTION_CONFIDENCE).alias("confidence"), F.lit("query").alias("context")))
-    return both.select(id_col, F.explode(F.concat(kept, asked)).alias("f")).select(id_col, "f.*")
+    return T.unnest(both, [id_col], F.concat(kept, asked)).select(id_col, "_item.*")
 
 
 def described_fields(docs: DataFrame, schema: dict[str, dict], id_col: str = "doc_id",
@@ -149,8 +149,8 @@ def described_fields(docs: DataFrame, schema: dict[str, dict], id_col: str = "do
     text = F.col(text_col)
     found = [F.struct(F.lit(name).alias("field"), answer(text, spec["description"])["value"].alias("value"))
              for name, spec in schema.items() if spec.get("description")]
-    rows = docs.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("x"))
-    return rows.select(id_col, "x.*", F.lit(C.QUESTION_CONFIDENCE).alias("confidence"))
+    rows = T.unnest(docs, [id_col], F.filter(F.array(*found), lambda x: x["value"].isNotNull()))
+    return rows.select(id_col, "_item.*", F.lit(C.QUESTION_CONFIDENCE).alias("confidence"))
 
 
 def summary(text: Column, found: Column) -> Column:

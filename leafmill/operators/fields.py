@@ -66,7 +66,7 @@ def label_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                extra: list[str] = (), min_confidence: float | None = None) -> DataFrame:
     """One row per document and field; ``min_confidence`` drops rows below it."""
     wide = with_label_fields(docs, id_col, text_col, enabled, extra)
-    rows = wide.select(id_col, F.explode("fields").alias("f")).select(id_col, "f.*")
+    rows = T.unnest(wide, [id_col], F.col("fields")).select(id_col, "_item.*")
     return rows if min_confidence is None else rows.filter(F.col("confidence") >= min_confidence)
 
 
@@ -136,7 +136,7 @@ def structured_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     typed = classify.classify(src, id_col, "_t", ["_t", "_f"])
     found = typed.select(id_col, "document_type", structured_array(
         F.col("_t"), F.col("_f"), F.col("document_type")).alias("fs"))
-    return found.select(id_col, "document_type", F.explode("fs").alias("f")).select(id_col, "document_type", "f.*")
+    return T.unnest(found, [id_col, "document_type"], F.col("fs")).select(id_col, "document_type", "_item.*")
 
 
 def nested(fields: Column) -> Column:

@@ -40,109 +40,113 @@ def _bounded(word: str) -> str:
     return head + word + tail
 
 
-def with_features(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
-    """Everything the scores need, computed once per text; the text itself is dropped."""
-    text = F.col(text_col)
+def features(text: Column) -> Column:
+    """Everything the scores need, as one struct; a blank text is marked."""
     plain = sorted({w for _, words, _ in C.LANGUAGE_RULES.values() for w in words if _PLAIN_WORD.match(w)})
     counted = [m.group(1) for _, _, ps in C.LANGUAGE_RULES.values() for p in ps if (m := _WHOLE_WORD.match(p))]
     low, high = C.SCRIPT_RANGES["latin"]
-    base = docs.select(
-        id_col, *keep, text.alias("_text"), F.lower(text).alias("_lower"),
-        F.regexp_replace(text, f"[{_block(low, high)}]+", "").alias("_rest"))
-    rest = F.col("_rest")
-    return base.select(
-        id_col, *keep, rest,
-        (T.strip(F.col("_text")) == "").alias("_blank"),
-        (F.length("_text") - F.length(rest)).alias("n_latin"),
-        F.array_intersect(F.split("_lower", f"[^{WORD}]+"), F.array(*[F.lit(w) for w in plain])).alias("_words"),
-        # a combining mark is never Latin, so these words can only occur where _rest is not empty
-        F.when(rest != "", F.filter(
-            F.array(*[F.when(F.col("_lower").rlike(_bounded(w)), F.lit(w)) for w in _marked_words()]),
-            lambda w: w.isNotNull())).otherwise(F.array().cast("array<string>")).alias("_marked"),
-        F.transform(F.regexp_extract_all(
-            "_text", F.lit(f"(?iu)(?<![{WORD}])({'|'.join(counted)})(?![{WORD}])"), F.lit(1)),
-            F.lower).alias("_counted"),
-        F.regexp_replace("_text", r"[\x00-\x7F]+", "").alias("_letters"),
-        F.regexp_count("_text", F.lit(java("ij", ignore_case=True))).alias("_ij"),
-        F.regexp_count("_text", F.lit(java(r"\bqu['e]", ignore_case=True))).alias("_qu"),
-        F.regexp_count("_text", F.lit(java(r"\bc'est\b", ignore_case=True))).alias("_cest"))
-
-
-_SPECIAL = {"ij": "_ij", r"\bqu['e]": "_qu", r"\bc'est\b": "_cest"}
-
-
-def _pattern_count(pattern: str) -> Column:
+    none = F.array().cast("array<string>")
+
+    def scan(x: Column) -> Column:
+        body, lower, rest = x["body"], x["lower"], x["rest"]
+        marked = F.array_compact(F.array(*[F.when(lower.rlike(_bounded(w)), F.lit(w)) for w in _marked_words()]))
+        return F.struct(
+            rest.alias("rest"), (T.strip(body) == "").alias("blank"),
+            (F.length(body) - F.length(rest)).alias("n_latin"),
+            F.array_intersect(F.split(lower, f"[^{WORD}]+"), F.array(*[F.lit(w) for w in plain])).alias("words"),
+            # a combining mark is never Latin, so these words can only occur where rest is not empty
+            F.when(rest != "", marked).otherwise(none).alias("marked"),
+            F.transform(F.regexp_extract_all(
+                body, F.lit(f"(?iu)(?<![{WORD}])({'|'.join(counted)})(?![{WORD}])"), F.lit(1)), F.lower).alias("counted"),
+            F.regexp_replace(body, r"[\x00-\x7F]+", "").alias("letters"),
+            F.regexp_count(body, F.lit(java("ij", ignore_case=True))).alias("ij"),
+            F.regexp_count(body, F.lit(java(r"\bqu['e]", ignore_case=True))).alias("qu"),
+            F.regexp_count(body, F.lit(java(r"\bc'est\b", ignore_case=True))).alias("cest"))
+
+    return T.let(F.struct(text.alias("body"), F.lower(text).alias("lower"), F.regexp_replace(
+        text, f"[{_block(low, high)}]+", "").alias("rest")), scan)
+
+
+_SPECIAL = {"ij": "ij", r"\bqu['e]": "qu", r"\bc'est\b": "cest"}
+
+
+def _pattern_count(f: Column, pattern: str) -> Column:
     whole = _WHOLE_WORD.match(pattern)
     if whole:
-        return F.size(F.filter("_counted", lambda w: w == whole.group(1)))
+        return F.size(F.filter(f["counted"], lambda w: w == whole.group(1)))
     if pattern in _CASE_FORMS:
-        return T.count_chars(F.col("_letters"), _CASE_FORMS[pattern])
+        return T.count_chars(f["letters"], _CASE_FORMS[pattern])
     if pattern in _SPECIAL:
-        return F.col(_SPECIAL[pattern])
+        return f[_SPECIAL[pattern]]
     # a character class beyond the Latin blocks
-    return F.when(F.col("_rest") == "", 0).otherwise(
-        F.regexp_count("_rest", F.lit(java(pattern, ignore_case=True))))
+    return F.when(f["rest"] == "", 0).otherwise(F.regexp_count(f["rest"], F.lit(java(pattern, ignore_case=True))))
 
 
-def script_counts() -> dict[str, Column]:
+def script_counts(f: Column) -> dict[str, Column]:
     """Characters per script; spaces, digits and punctuation count as Latin."""
-    counts = {"latin": F.col("n_latin")}
+    counts = {"latin": f["n_latin"]}
     for name, (low, high) in C.SCRIPT_RANGES.items():
         if name != "latin":
-            counts[name] = F.when(F.col("_rest") == "", 0).otherwise(
-                F.regexp_count("_rest", F.lit(f"[{_block(low, high)}]")))
+            counts[name] = F.when(f["rest"] == "", 0).otherwise(
+                F.regexp_count(f["rest"], F.lit(f"[{_block(low, high)}]")))
     return counts
 
 
-def _first_max(values: dict[str, Column]) -> Column:
-    ranked = F.array(*[F.struct(c.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
-                       for i, (n, c) in enumerate(values.items())])
-    return F.array_max(ranked)
+def _ranked(values: dict[str, Column]) -> Column:
+    return F.array(*[F.struct(c.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
+                     for i, (n, c) in enumerate(values.items())])
 
 
-def language_scores() -> dict[str, Column]:
+def language_scores(f: Column, script: Column) -> dict[str, Column]:
     """Common words present (+1 each), pattern hits (+0.5 each, unbounded), times 1.5 when the
     script agrees, over words + 5 x patterns."""
     scores = {}
-    for lang, (script, words, patterns) in C.LANGUAGE_RULES.items():
-        plain = [w for w in words if _PLAIN_WORD.match(w)]
-        marked = [w for w in words if not _PLAIN_WORD.match(w)]
+    for lang, (own, words, patterns) in C.LANGUAGE_RULES.items():
         score = F.lit(0.0)
-        for column, group in (("_words", plain), ("_marked", marked)):
+        for name, group in (("words", [w for w in words if _PLAIN_WORD.match(w)]),
+                            ("marked", [w for w in words if not _PLAIN_WORD.match(w)])):
             if group:
-                score = score + F.size(F.array_intersect(column, F.array(*[F.lit(w) for w in group])))
+                score = score + F.size(F.array_intersect(f[name], F.array(*[F.lit(w) for w in group])))
         for p in patterns:
-            score = score + _pattern_count(p) * F.lit(0.5)
-        boosted = F.when(F.col("script") == script, score * 1.5).otherwise(score)
-        scores[lang] = boosted / F.lit(float(len(words) + 5 * len(patterns)))
+            score = score + _pattern_count(f, p) * F.lit(0.5)
+        boost = F.when(script == own, 1.5).otherwise(1.0)
+        scores[lang] = score * boost / F.lit(float(len(words) + 5 * len(patterns)))
     return scores
 
 
+def detection(text: Column) -> Column:
+    """Result of one text as a struct.  Bound step by step, so that whatever reads or filters the
+    result later, each scan of the text runs once per evaluation."""
+    none = F.array().cast("array<string>")
+
+    def verdict(f: Column, script: Column, ranked: Column) -> Column:
+        top = F.get(ranked, F.lit(0))
+        known = ~f["blank"] & (top["score"] > 0)
+        later = F.filter(F.slice(ranked, 2, 3), lambda s: s["score"] > C.SECONDARY_SCORE)
+        return F.struct(
+            script.alias("script"), F.when(known, top["name"]).otherwise(C.UNKNOWN).alias("language"),
+            F.when(known, F.least(top["score"] * 2.0, F.lit(1.0))).otherwise(0.0).alias("language_confidence"),
+            F.when(f["blank"], F.create_map().cast("map<string,double>")).otherwise(
+                F.map_from_entries(F.transform(ranked, lambda s: F.struct(s["name"], s["score"])))
+            ).alias("language_scores"),
+            F.when(known, F.transform(later, lambda s: s["name"])).otherwise(none).alias("secondary_languages"),
+            (known & (F.size(later) > 0)).alias("is_multilingual"))
+
+    def scored(f: Column) -> Column:
+        script = F.when(f["blank"], C.UNKNOWN).otherwise(F.array_max(_ranked(script_counts(f)))["name"])
+        return T.let(script, lambda s: T.let(
+            F.reverse(F.array_sort(_ranked(language_scores(f, s)))), lambda r: verdict(f, s, r)))
+
+    return T.let(features(text), scored)
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """script, language, confidence, scores (map), secondary languages, is_multilingual.
+    """script, language, language_confidence, language_scores (map), secondary_languages, is_multilingual.
 
     Blank text is ``unknown`` in language and script with no scores; text without any
     score keeps its script.
     """
-    features = with_features(docs, id_col, text_col, keep)
-    scripted = features.withColumn(
-        "script", F.when(F.col("_blank"), C.UNKNOWN).otherwise(_first_max(script_counts())["name"]))
-    ranked = scripted.withColumn("_ranked", F.reverse(F.array_sort(F.array(*[
-        F.struct(c.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
-        for i, (n, c) in enumerate(language_scores().items())]))))
-    top = F.get("_ranked", F.lit(0))
-    known = ~F.col("_blank") & (top["score"] > 0)
-    later = F.filter(F.slice("_ranked", 2, 3), lambda s: s["score"] > C.SECONDARY_SCORE)
-    none = F.array().cast("array<string>")
-    out = ranked.select(
-        id_col, *keep, "script",
-        F.when(known, top["name"]).otherwise(C.UNKNOWN).alias("language"),
-        F.when(known, F.least(top["score"] * 2.0, F.lit(1.0))).otherwise(0.0).alias("language_confidence"),
-        F.when(F.col("_blank"), F.create_map().cast("map<string,double>")).otherwise(
-            F.map_from_entries(F.transform("_ranked", lambda s: F.struct(s["name"], s["score"])))
-        ).alias("language_scores"),
-        F.when(known, F.transform(later, lambda s: s["name"])).otherwise(none).alias("secondary_languages"))
-    return out.withColumn("is_multilingual", F.size("secondary_languages") > 0)
+    return docs.select(id_col, *keep, detection(F.col(text_col)).alias("_d")).select(id_col, *keep, "_d.*")
 
 
 def supported_languages(spark) -> DataFrame:
@@ -158,8 +162,7 @@ def local_label(field: Column, lang: Column) -> Column:
 
 def local_fields(docs: DataFrame, fields: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labelled values in the detected language of each document; only hits become rows."""
-    base = docs.select(id_col, text_col, F.col(text_col).alias("_body"))
-    found = detect(base.withColumnRenamed(text_col, "_t"), id_col, "_t", ["_body"])
+    found = detect(docs.select(id_col, F.col(text_col).alias("_body")), id_col, "_body", ["_body"])
     hits = []
     for field in fields:
         value = F.lit(None).cast("string")
@@ -167,8 +170,9 @@ def local_fields(docs: DataFrame, fields: list[str], id_col: str = "doc_id", tex
             value = F.when(F.col("language") == lang, T.first_match(
                 F.col("_body"), label + r"\s*:?\s*(.+?)(?:\n|$)", ignore_case=True)).otherwise(value)
         hits.append(F.struct(F.lit(field).alias("field"), T.strip(value).alias("value")))
-    rows = found.select(id_col, "language", "language_confidence", F.explode(F.array(*hits)).alias("h"))
-    return rows.filter(F.col("h.value").isNotNull()).select(id_col, "language", "language_confidence", "h.*")
+    rows = T.unnest(found, [id_col, "language", "language_confidence"],
+                    F.filter(F.array(*hits), lambda h: h["value"].isNotNull()))
+    return rows.select(id_col, "language", "language_confidence", "_item.*")
 
 
 def agreement(detected: DataFrame, declared_col: str = "lang") -> DataFrame:

@@ -35,7 +35,7 @@ def page_array(text: Column) -> Column:
 
 def split_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per page: id, page_number, marker_no, text."""
-    return docs.select(id_col, F.explode(page_array(F.col(text_col))).alias("p")).select(id_col, "p.*")
+    return T.unnest(docs, [id_col], page_array(F.col(text_col))).select(id_col, "_item.*")
 
 
 # --- element extractors (arrays of strings) -----------------------------------------

@@ -146,7 +146,7 @@ def extract_wide(docs: DataFrame, schema: dict, id_col: str = "doc_id", text_col
 def extract(docs: DataFrame, schema: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and schema field: field, value, confidence, valid, errors."""
     wide = extract_wide(docs, schema, id_col, text_col)
-    return wide.select(id_col, F.explode("results").alias("r")).select(id_col, "r.*")
+    return T.unnest(wide, [id_col], F.col("results")).select(id_col, "_item.*")
 
 
 def found_values(results: Column) -> Column:

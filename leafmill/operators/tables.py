@@ -112,17 +112,17 @@ def csv_text(table: Column) -> Column:
 
 def table_rows(pages: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """One row per table: keys, table_index (from 1), html."""
-    return pages.select(*keys, F.posexplode(html_tables(F.col(text_col))).alias("pos", "html")).select(
-        *keys, (F.col("pos") + 1).alias("table_index"), "html")
+    return T.unnest(pages, keys, html_tables(F.col(text_col))).select(
+        *keys, (F.col("_pos") + 1).alias("table_index"), F.col("_item").alias("html"))
 
 
 def cells(table_df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per cell: keys, row, col (from 0), is_header, text."""
-    rows = table_df.select(*keys, F.posexplode(F.regexp_extract_all("html", F.lit(_ROW), F.lit(1))).alias("row", "r"))
-    found = rows.select(*keys, "row", F.posexplode(
-        F.regexp_extract_all("r", F.lit(r"(?is)<t[hd]\b[^>]*>.*?</t[hd]\s*>"), F.lit(0))).alias("col", "c"))
-    return found.select(*keys, "row", "col", F.col("c").rlike(r"(?i)^<th\b").alias("is_header"),
-                        cell_text(F.regexp_extract("c", _CELL, 1)).alias("text"))
+    rows = T.unnest(table_df, keys, F.regexp_extract_all("html", F.lit(_ROW), F.lit(1)), "row")
+    whole = F.regexp_extract_all("_item", F.lit(r"(?is)<t[hd]\b[^>]*>.*?</t[hd]\s*>"), F.lit(0))
+    found = T.unnest(rows, [*keys, "row"], whole, "col")
+    return found.select(*keys, "row", "col", F.col("_item").rlike(r"(?i)^<th\b").alias("is_header"),
+                        cell_text(F.regexp_extract("_item", _CELL, 1)).alias("text"))
 
 
 def table_line_items(table: Column) -> Column:
@@ -164,5 +164,4 @@ def line_items(table_arr: Column) -> Column:
 def line_item_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line item of each document."""
     found = docs.select(id_col, html_tables(F.col(text_col)).alias("t"))
-    return found.select(id_col, F.posexplode(line_items(F.col("t"))).alias("item_index", "i")).select(
-        id_col, "item_index", "i.*")
+    return T.unnest(found, [id_col], line_items(F.col("t")), "item_index").select(id_col, "item_index", "_item.*")
