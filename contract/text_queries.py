@@ -9,6 +9,7 @@ from fixtures import render_docs as R
 from leafmill.functions import catalog as C
 from leafmill.functions import text as T
 from leafmill.operators import classify, entities, fields, language, pages
+from leafmill.sources import files
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,7 +24,7 @@ def register(name, oracle=None):
 
 
 def docs(spark, sf):
-    return R.table(spark, sf, "documents").select("doc_id", "text")
+    return files.spread(R.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 # --- types ---------------------------------------------------------------------------
@@ -118,7 +119,7 @@ def _(spark, sf):
 
 @register("language_agreement", f"{_DETECT} select declared as lang, language, count(*) as n_docs from detected group by all")
 def _(spark, sf):
-    found = language.detect(R.table(spark, sf, "documents").select("doc_id", "text", "lang"), keep=["lang"])
+    found = language.detect(files.spread(R.table(spark, sf, "documents").select("doc_id", "text", "lang")), keep=["lang"])
     return language.agreement(found)
 
 

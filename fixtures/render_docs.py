@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def amount_text(amount: Column) -> Column:
+    return F.format_number(amount.cast("decimal(18,2)"), 2)
+
+
 def dollars(amount: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(amount.cast("decimal(18,2)"), 2))
+    return F.concat(F.lit("$"), amount_text(amount))
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +28,11 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups are cut at every 50 line numbers.
     """
     lines = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_retailprice"), "l_partkey")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     row = F.concat(F.lit("<tr><td>"), "p_name", F.lit("</td><td>"), F.col("l_quantity").cast("int").cast("string"),
-                   F.lit("</td><td>"), dollars(F.col("l_extendedprice") / F.col("l_quantity")), F.lit("</td><td>"),
-                   dollars(F.col("l_extendedprice")), F.lit("</td></tr>"))
+                   F.lit("</td><td>"), amount_text(F.col("p_retailprice")), F.lit("</td><td>"),
+                   amount_text(F.col("l_extendedprice")), F.lit("</td></tr>"))
     part = F.floor((F.col("l_linenumber") - 1) / LINES_PER_PART)
     tables = lines.groupBy("l_orderkey", part.alias("part")).agg(
         F.sum(price).alias("amount"), F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
@@ -39,10 +43,11 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     text = F.concat(
         F.lit("\n--- Page 1 ---\nINVOICE # "), key, F.lit("\nInvoice Number: INV-"), F.lpad(key, 8, "0"),
-        F.lit("\nDate: "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("\nTotal: "), dollars(F.col("amount")),
+        F.lit("\nDate: "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("\nTotal: "), amount_text(F.col("amount")),
         F.lit("\nBill To: "), "c_name", F.lit("\n\nShip To: "), "c_mktsegment", F.lit("\nTerms: "), "o_orderpriority",
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("\nTotal Amount: "), amount_text(F.col("amount")))).otherwise(""),
         F.lit("\n<table><tr><th>Item</th><th>Quantity</th><th>Rate</th><th>Amount</th></tr>\n"), "rows",
-        F.lit("</table>\n\nSubtotal: "), dollars(F.col("amount")), F.lit("\n<watermark>"), "o_orderstatus",
+        F.lit("</table>\n\nSubtotal: "), amount_text(F.col("amount")), F.lit("\n<watermark>"), "o_orderstatus",
         F.lit("</watermark>\n"), box, F.lit("\n<page_number>1/2</page_number>\n--- Page 2 ---\n<img>Stamp of "),
         "c_mktsegment", F.lit("</img>\n$x = "), key, F.lit("$\n\\begin{equation}y = "), F.col("o_custkey").cast("string"),
         F.lit("\\end{equation}\n- Order ID: "), key, F.lit("\n\n- Notes: none\n<page_number>2/2</page_number>"))

@@ -133,6 +133,18 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).json(path)
 
 
+def spread(df: DataFrame, bytes_per_slot: int = 64 * MB) -> DataFrame:
+    """Rows over all slots when the input is too small to fill them by itself.
+
+    Pattern work is CPU-bound, and a small file is a single row group, hence a single task.  The
+    planner's size estimate decides: an input beyond ``bytes_per_slot`` per slot is left as it
+    is read, so large text is never shuffled for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots * 2) if size < bytes_per_slot * slots else df
+
+
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Recognised text: parquet, json, or one document per text file."""
     if fmt == "text":
