@@ -70,10 +70,10 @@ def _(spark, sf):
     return pages.split_pages(inv(spark, sf)).select("doc_id", "page_number", "marker_no", F.md5("text").alias("text_hash"))
 
 
-@register("page_records", f"""with {INV}, both as (select *, unnest([1, 2]) as p from inv) select doc_id, p::int as page_number,
+@register("page_records", f"""with {INV}, sides as (select *, unnest([1, 2]) as p from inv) select doc_id, p::int as page_number,
     case p when 1 then 1 else 0 end::bigint as n_tables, case p when 1 then '' else 'x = ' || doc_id || '|y = ' || cust end as equations,
     case p when 1 then '' else 'Stamp of ' || seg end as images, case p when 1 then st else '' end as watermarks, p || '/2' as marks,
-    case when p = 2 then '' when st = 'F' then 'true:Approved|false:Pending' else 'true:Pending|false:Approved' end as boxes from both""")
+    case when p = 2 then '' when st = 'F' then 'true:Approved|false:Pending' else 'true:Pending|false:Approved' end as boxes from sides""")
 def _(spark, sf):
     p = pages.parse_pages(inv(spark, sf))
     return p.select(
@@ -83,8 +83,8 @@ def _(spark, sf):
         F.array_join(F.transform("checkboxes", lambda b: F.concat(b["checked"].cast("string"), F.lit(":"), b["label"])), "|").alias("boxes"))
 
 
-@register("page_records_environments", f"""with {INV}, both as (select *, unnest([1, 2]) as p from inv) select doc_id, p::int as page_number,
-    case p when 1 then '' else 'y = ' || cust end as equations, case p when 1 then '' else 'Stamp of ' || seg end as images from both""")
+@register("page_records_environments", f"""with {INV}, sides as (select *, unnest([1, 2]) as p from inv) select doc_id, p::int as page_number,
+    case p when 1 then '' else 'y = ' || cust end as equations, case p when 1 then '' else 'Stamp of ' || seg end as images from sides""")
 def _(spark, sf):
     p = pages.parse_pages(inv(spark, sf), environments_only=True)
     return p.select("doc_id", "page_number", F.array_join("latex_equations", "|").alias("equations"),
@@ -318,8 +318,8 @@ def _(spark, sf):
 
 
 @register("schema_receipt", """select o_orderkey as doc_id, f as field, v as value, c as confidence from (select o_orderkey,
-    unnest(['store_name', 'date', 'receipt_number']) as f, unnest(['Corner Store', strftime(o_orderdate, '%m-%d-%Y'), 'Corner Store']) as v,
-    unnest([0.5, 0.9, 0.5])::double as c from orders)""")
+    unnest(['store_name', 'date', 'receipt_number']) as f, unnest(['Receipt # R' || o_orderkey, strftime(o_orderdate, '%m-%d-%Y'), 'Corner Store']) as v,
+    unnest([0.85, 0.9, 0.5])::double as c from orders)""")
 def _(spark, sf):
     rows = schema.extract(files.spread(R.receipts(spark, sf)), C.RECEIPT_SCHEMA)
     return rows.filter(F.col("field").isin("store_name", "date", "receipt_number")).select("doc_id", "field", "value", "confidence")

@@ -120,15 +120,15 @@ def parse_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def parsed_array(text: Column) -> Column:
     """Page records of one document inside its row (no shuffle): array of structs."""
-    def record(page: Column) -> Column:
+    def record(page: Column, found: Column) -> Column:
         body = page["text"]
         return F.struct(
-            page["page_number"].alias("page_number"), body.alias("raw_text"),
-            tables.flat_html_tables(body).alias("tables_html"),
-            F.transform(tables.flat_html_tables(body), tables.csv_text).alias("tables_csv"),
+            page["page_number"].alias("page_number"), body.alias("raw_text"), found.alias("tables_html"),
+            F.transform(found, tables.csv_text).alias("tables_csv"),
             *[ELEMENTS[n](body).alias(n) for n in ELEMENTS if n != "tables_html"])
 
-    return F.transform(page_array(text), record)
+    return F.transform(page_array(text), lambda p: T.let(
+        tables.flat_html_tables(p["text"]), lambda found: record(p, found)))
 
 
 def parse_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

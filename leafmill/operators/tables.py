@@ -101,13 +101,15 @@ def has_header(table: Column) -> Column:
 def csv_text(table: Column) -> Column:
     """CSV of one table; without header cells the columns are named 0, 1, …
     Short rows are filled up with empty values."""
-    rows = rows_of(table)
-    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))))
-    lines = F.transform(padded, lambda r: F.array_join(F.transform(r, T.quote_csv), ","))
-    numbers = F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: i.cast("string")), ",")
-    body = F.when(has_header(table), lines).otherwise(F.concat(F.array(numbers), lines))
-    return F.when(width > 0, F.concat(F.array_join(body, "\n"), F.lit("\n"))).otherwise("")
+    def build(rows: Column, width: Column) -> Column:
+        lines = F.transform(rows, lambda r: F.array_join(F.transform(
+            F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))), T.quote_csv), ","))
+        numbers = F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: i.cast("string")), ",")
+        body = F.when(has_header(table), lines).otherwise(F.concat(F.array(numbers), lines))
+        return F.when(width > 0, F.concat(F.array_join(body, "\n"), F.lit("\n"))).otherwise("")
+
+    return T.let(rows_of(table), lambda rows: T.let(
+        F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0)), lambda width: build(rows, width)))
 
 
 def table_rows(pages: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -131,29 +133,34 @@ def table_line_items(table: Column) -> Column:
     The first row names the columns; rows with another number of cells, and rows
     without a description, give nothing; unknown columns are ignored.
     """
-    rows = rows_of(table)
-    head = F.transform(F.get(rows, F.lit(0)), F.lower)
-    roles = F.transform(head, lambda h: F.coalesce(*[
-        F.when(h.isin(names), F.lit(role)) for role, names in C.LINE_ITEM_HEADERS.items()], F.lit("")))
-
-    def value(row: Column, role: str) -> Column:
-        pairs = F.zip_with(roles, row, lambda r, c: F.when(r == role, c))
-        return F.try_element_at(F.filter(pairs, lambda c: c.isNotNull()), F.lit(-1))
-
-    def item(row: Column) -> Column:
-        lines = F.split(value(row, "description"), "\n")
-        extra = F.get(lines, F.lit(1))
-        sku = F.nullif(F.regexp_extract(extra, C.SKU_PATTERN, 1), F.lit(""))
-        category = T.strip(F.btrim(T.strip(F.replace(extra, sku, F.lit(""))), F.lit(",")))
-        return F.struct(
-            T.strip(F.get(lines, F.lit(0))).alias("description"), value(row, "quantity").alias("quantity"),
-            value(row, "rate").alias("rate"), value(row, "amount").alias("amount"),
-            sku.alias("sku"), F.nullif(category, F.lit("")).alias("category"))
-
-    body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-    matching = F.filter(body, lambda r: F.size(r) == F.size(head))
-    items = F.transform(matching, item)
-    return F.filter(items, lambda x: x["description"].isNotNull() & (x["description"] != ""))
+    def role(head: Column) -> Column:
+        return F.coalesce(*[F.when(head.isin(names), F.lit(r)) for r, names in C.LINE_ITEM_HEADERS.items()], F.lit(""))
+
+    def columns(rows: Column) -> Column:
+        """Cell number (from 1) of each known role; the last one if a role is named twice."""
+        roles = F.transform(F.get(rows, F.lit(0)), lambda h: role(F.lower(h)))
+        places = {r: F.array_max(F.transform(roles, lambda x, i: F.when(x == r, i + 1))) for r in C.LINE_ITEM_HEADERS}
+        return F.struct(F.size(roles).alias("width"), *[c.alias(r) for r, c in places.items()])
+
+    def item(row: Column, at: Column) -> Column:
+        def cell(r: str) -> Column:
+            return F.when(at[r].isNotNull(), F.get(row, at[r] - 1))
+
+        return T.let(F.split(cell("description"), "\n"), lambda lines: T.let(
+            F.get(lines, F.lit(1)), lambda extra: T.let(
+                F.nullif(F.regexp_extract(extra, C.SKU_PATTERN, 1), F.lit("")), lambda sku: F.struct(
+                    T.strip(F.get(lines, F.lit(0))).alias("description"), cell("quantity").alias("quantity"),
+                    cell("rate").alias("rate"), cell("amount").alias("amount"), sku.alias("sku"),
+                    F.nullif(T.strip(F.btrim(T.strip(F.replace(extra, sku, F.lit(""))), F.lit(","))), F.lit("")
+                             ).alias("category")))))
+
+    def items(rows: Column, at: Column) -> Column:
+        body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+        matching = F.filter(body, lambda r: F.size(r) == at["width"])
+        return F.filter(F.transform(matching, lambda r: item(r, at)),
+                        lambda x: x["description"].isNotNull() & (x["description"] != ""))
+
+    return T.let(rows_of(table), lambda rows: T.let(columns(rows), lambda at: items(rows, at)))
 
 
 def line_items(table_arr: Column) -> Column:
