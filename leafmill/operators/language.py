@@ -46,6 +46,7 @@ def features(text: Column) -> Column:
     counted = [m.group(1) for _, _, ps in C.LANGUAGE_RULES.values() for p in ps if (m := _WHOLE_WORD.match(p))]
     low, high = C.SCRIPT_RANGES["latin"]
     none = F.array().cast("array<string>")
+    marked_blocks = "[" + "".join(_block(*C.SCRIPT_RANGES[s]) for s in ("devanagari", "thai")) + "]"
 
     def scan(x: Column) -> Column:
         body, lower, rest = x["body"], x["lower"], x["rest"]
@@ -54,8 +55,8 @@ def features(text: Column) -> Column:
             rest.alias("rest"), (T.strip(body) == "").alias("blank"),
             (F.length(body) - F.length(rest)).alias("n_latin"),
             F.array_intersect(F.split(lower, f"[^{WORD}]+"), F.array(*[F.lit(w) for w in plain])).alias("words"),
-            # a combining mark is never Latin, so these words can only occur where rest is not empty
-            F.when(rest != "", marked).otherwise(none).alias("marked"),
+            # words with combining marks need a character of their scripts
+            F.when((rest != "") & rest.rlike(marked_blocks), marked).otherwise(none).alias("marked"),
             F.transform(F.regexp_extract_all(
                 body, F.lit(f"(?iu)(?<![{WORD}])({'|'.join(counted)})(?![{WORD}])"), F.lit(1)), F.lower).alias("counted"),
             F.regexp_replace(body, r"[\x00-\x7F]+", "").alias("letters"),
