@@ -41,9 +41,30 @@ def _spell(pattern: str, space: str) -> str:
     return "".join(out)
 
 
+# Spellings with the same matches whose time and stack use do not grow with the text.  A repeated
+# group recurses once per repetition in Java unless it is possessive, and a pattern that starts
+# with a run retries at every position of the run; a start inside a run is allowed only
+# right behind the previous match (\G).
+_COMPANY = r"(?:Inc\.|Corp\.|LLC|Ltd\.)"
+STEADY = {
+    rf"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+{_COMPANY}":
+        rf"(?:\G|(?<![A-Z][a-z]{{1,40}}\s{{1,20}}))[A-Z][a-z]+(?:\s+(?!{_COMPANY})[A-Z][a-z]+)*+\s+{_COMPANY}",
+    r"[A-Z]{2,}\s+(?:Corporation|Company|Industries)":
+        r"(?:\G|(?<![A-Z]))[A-Z]{2,}+\s+(?:Corporation|Company|Industries)",
+    r"[\d,]+\.?\d*\s*(?:USD|EUR|GBP)": r"(?:\G|(?<![\d,]))[\d,]++(?:\.\d*+)?+\s*+(?:USD|EUR|GBP)",
+    r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}":
+        r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    r"(?:name|from|to)\s*:?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)":
+        r"(?:name|from|to)\s*:?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)",
+    r"_+\s*\(.*?\)": r"(?<!_)_++\s*+\(.*?\)",
+    r"(?:^|\n)\s*(?:[\•\-\*]|\d+\.)\s*(.+?)(?:\n|$)":
+        r"(?:^|(?:\G|(?<!\n))\n)\s*+(?:[\•\-\*]|\d++\.)\s*(.+?)(?:\n|$)",
+}
+
+
 def java(pattern: str, ignore_case: bool = False, multiline: bool = False, dotall: bool = False) -> str:
     """Java spelling; a leading/trailing ``\\b`` next to a word character becomes a look-around."""
-    body = pattern
+    body = STEADY.get(pattern, pattern)
     head = tail = ""
     if body.startswith(r"\b"):
         head, body = rf"(?<![{WORD}])", body[2:]

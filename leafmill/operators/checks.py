@@ -12,6 +12,11 @@ from leafmill.functions import catalog as C
 from leafmill.functions import text as T
 
 
+# the URL pattern with a possessive host, safe for hosts of any length: either a top-level name
+# follows the dotted labels, or the last label was it and a closing dot
+_URL = C.URL_PATTERN.replace(r"[A-Z0-9])?\.)+[A-Z]{2,6}\.?|", r"[A-Z0-9])?\.)++(?:[A-Z]{2,6}|(?<=\.[A-Z]{2,6}\.))|")
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -22,7 +27,7 @@ def extension(path: Column) -> Column:
 
 
 def url_error(url: Column) -> Column:
-    ok = url.isNull() | (url == "") | T.matches(url, C.URL_PATTERN, ignore_case=True)
+    ok = url.isNull() | (url == "") | T.matches(url, _URL, ignore_case=True)
     return F.when(~ok, F.concat(F.lit("Invalid URL format: "), url))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import catalog as C
 from leafmill.functions import text as T
-from leafmill.functions.regex import needed_literals
+from leafmill.functions.regex import java, needed_literals
 
 # substring or character every match of a pattern must contain: tested before the regex
 _NEEDS = {
@@ -28,6 +28,17 @@ def _kept_person(value: Column) -> Column:
     return ~lower.isin(C.PERSON_LABELS) & ~T.any_of([lower.contains(w) for w in C.PERSON_STOP_PARTS])
 
 
+_STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd)"
+
+
+def _addresses(text: Column) -> Column:
+    """Same matches as the address pattern in two steps without a backtracking group: number with
+    the whole chain of capitalised words behind it, cut after the last street word."""
+    chains = T.find_all(text, r"(?<!\d)\d++\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)++", 0)
+    cut = java(rf"^(\d+\s+[A-Z][a-z]+(?=\s).*(?<=\s){_STREET})", dotall=True)
+    return F.filter(F.transform(chains, lambda c: F.regexp_extract(c, cut, 1)), lambda a: a != "")
+
+
 def _tagged(values: Column, kind: str, no: int) -> Column:
     return F.transform(values, lambda v: F.struct(
         F.lit(kind).alias("type"), F.lit(no).alias("pattern_no"), v.alias("value")))
@@ -45,7 +56,7 @@ def entity_array(text: Column, types: list[str] | None = None) -> Column:
         if types is not None and kind not in types:
             continue
         for no, pattern in enumerate(patterns):
-            values = T.find_all(text, pattern, 0)
+            values = _addresses(text) if kind == "address" else T.find_all(text, pattern, 0)
             if pattern in _NEEDS:
                 values = F.when(text.rlike(_NEEDS[pattern]), values).otherwise(F.array().cast("array<string>"))
             if kind == "person":

@@ -49,16 +49,22 @@ def features(text: Column) -> Column:
     marked_blocks = "[" + "".join(_block(*C.SCRIPT_RANGES[s]) for s in ("devanagari", "thai")) + "]"
 
     def scan(x: Column) -> Column:
+        return T.let(F.split(x["lower"], f"[^{WORD}]+"), lambda tokens: gathered(x, tokens))
+
+    def gathered(x: Column, tokens: Column) -> Column:
         body, lower, rest = x["body"], x["lower"], x["rest"]
+        by_regex = F.transform(F.regexp_extract_all(
+            body, F.lit(f"(?iu)(?<![{WORD}])({'|'.join(counted)})(?![{WORD}])"), F.lit(1)), F.lower)
         marked = F.array_compact(F.array(*[F.when(lower.rlike(_bounded(w)), F.lit(w)) for w in _marked_words()]))
         return F.struct(
             rest.alias("rest"), (T.strip(body) == "").alias("blank"),
             (F.length(body) - F.length(rest)).alias("n_latin"),
-            F.array_intersect(F.split(lower, f"[^{WORD}]+"), F.array(*[F.lit(w) for w in plain])).alias("words"),
+            F.array_intersect(tokens, F.array(*[F.lit(w) for w in plain])).alias("words"),
             # words with combining marks need a character of their scripts
             F.when((rest != "") & rest.rlike(marked_blocks), marked).otherwise(none).alias("marked"),
-            F.transform(F.regexp_extract_all(
-                body, F.lit(f"(?iu)(?<![{WORD}])({'|'.join(counted)})(?![{WORD}])"), F.lit(1)), F.lower).alias("counted"),
+            # lower-case tokens equal case-insensitive words except for a few letters of other case rules
+            F.when(body.rlike("[ſıİK]"), by_regex).otherwise(
+                F.filter(tokens, lambda w: w.isin(counted))).alias("counted"),
             F.regexp_replace(body, r"[\x00-\x7F]+", "").alias("letters"),
             F.regexp_count(body, F.lit(java("ij", ignore_case=True))).alias("ij"),
             F.regexp_count(body, F.lit(java(r"\bqu['e]", ignore_case=True))).alias("qu"),
