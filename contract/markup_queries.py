@@ -185,13 +185,6 @@ def _(spark, sf):
     return shown.select("doc_id", "document_type", "confidence", F.try_element_at("all_scores", F.lit("bank_statement")).alias("own_score"))
 
 
-@register("supported_types", "select (i - 1)::int as ordinal, t as document_type from (select unnest([" + ", ".join(
-    f"'{n}'" for n in C.DOCUMENT_RULES) + "]) as t, generate_subscripts([" + ", ".join(f"'{n}'" for n in C.DOCUMENT_RULES) + "], 1) as i) "
-          "where exists (select 1 from documents)")
-def _(spark, sf):
-    return classify.supported_types(spark).join(R.table(spark, sf, "documents").select(F.lit(1).alias("x")).limit(1)).drop("x")
-
-
 # --- labelled and structured fields ------------------------------------------------------------------
 
 _LABELS = ["Invoice Number", "Subtotal", "Total Amount", "Due Date", "Notes"]

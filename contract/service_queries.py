@@ -599,11 +599,3 @@ def _(spark, sf):
     stream = documents.read_new_documents(spark, f"{base}/in", "doc_id bigint, text string")
     documents.run_available(documents.stream_records(stream).select("doc_id", "document_type"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
-
-
-@register("supported_languages", "select (generate_subscripts(l, 1) - 1)::int as ordinal, unnest(l) as language, (select count(*) from documents) as n_docs from (select [" + ", ".join(
-    f"'{x}'" for x in C.SUPPORTED_LANGUAGES) + "] as l)")
-def _(spark, sf):
-    from leafmill.operators import language
-    total = R.table(spark, sf, "documents").agg(F.count("*").alias("n_docs"))
-    return language.supported_languages(spark).join(F.broadcast(total))

@@ -54,6 +54,26 @@ def _(spark, sf):
     return classify.type_distribution(classify.classify(docs(spark, sf))).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
+def _listed(names: list[str], column: str) -> str:
+    return f"(values {', '.join(f'({i}, {S.q(n)})' for i, n in enumerate(names))}) d(ordinal, {column})"
+
+
+@register("supported_types", f"{_TYPED}, n as (select document_type, count(*) as n from best group by 1) "
+          f"select ordinal::int as ordinal, document_type, coalesce(n, 0)::bigint as n_docs from {_listed(_NAMES, 'document_type')} left join n using (document_type)")
+def _(spark, sf):
+    found = classify.type_distribution(classify.classify(docs(spark, sf)))
+    return classify.supported_types(spark).join(found, "document_type", "left").select(
+        "ordinal", "document_type", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"))
+
+
+@register("supported_languages", "with n as (select lang as language, count(*) as n from documents group by 1) "
+          f"select ordinal::int as ordinal, language, coalesce(n, 0)::bigint as n_docs from {_listed(C.SUPPORTED_LANGUAGES, 'language')} left join n using (language)")
+def _(spark, sf):
+    declared = R.table(spark, sf, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("n_docs"))
+    return language.supported_languages(spark).join(declared, "language", "left").select(
+        "ordinal", "language", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"))
+
+
 # --- languages -------------------------------------------------------------------------
 
 _RANGES = {n: f"[\\x{{{a:X}}}-\\x{{{b:X}}}]" for n, (a, b) in C.SCRIPT_RANGES.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import pandas as pd
@@ -36,6 +37,16 @@ def matches(col: Column, pattern: str, **flags) -> Column:
     return col.rlike(java(pattern, **flags))
 
 
+def strings(items) -> Column:
+    """Constant array of strings (folded to one literal; a single call to the JVM per list)."""
+    return F.split(F.lit("\x01".join(items)), "\x01")
+
+
+def constant(value, ddl: str) -> Column:
+    """Constant of any nested type, handed over as JSON and folded to one literal."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def let(value: Column, use) -> Column:
     """Evaluate ``value`` once per row and hand it to ``use``, however often that refers to it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -79,7 +90,7 @@ def literal_hits(col: Column, literals: list[str]) -> Column:
 def gate(hits: Column, pattern: str) -> Column | None:
     """Can the pattern match at all, judged by the literals known to occur (None: always try)."""
     literals = needed_literals(pattern)
-    return F.arrays_overlap(hits, F.array(*[F.lit(w) for w in literals])) if literals else None
+    return F.arrays_overlap(hits, strings(literals)) if literals else None
 
 
 def gated_match(col: Column, hits: Column, pattern: str, **flags) -> Column:
@@ -88,16 +99,17 @@ def gated_match(col: Column, hits: Column, pattern: str, **flags) -> Column:
     return test if possible is None else possible & test
 
 
-def rule_list(patterns: list[str], **flags) -> Column:
-    """Patterns as a literal ``array<struct<re, needs>>``: spelled regex and needed literals.
+RULES = "array<struct<re:string,needs:array<string>>>"
+
+
+def rule_list(patterns: list[str], **flags) -> list[dict]:
+    """Patterns as data for ``constant(…, RULES)``: spelled regex and needed literals.
 
-    Large rule sets are kept as data inside the plan and run by higher-order functions.  That
-    keeps plans small; a regex of such a rule is compiled when used, which the literal gate
+    Large rule sets are kept as one literal inside the plan and run by higher-order functions.
+    That keeps plans small; a regex of such a rule is compiled when used, which the literal gate
     limits to the few rules that can match a row.
     """
-    return F.array(*[F.struct(
-        F.lit(java(p, **flags)).alias("re"),
-        F.array(*[F.lit(w) for w in needed_literals(p)]).cast("array<string>").alias("needs")) for p in patterns])
+    return [{"re": java(p, **flags), "needs": needed_literals(p)} for p in patterns]
 
 
 def rule_hits(text: Column, hits: Column, rules: Column) -> Column:

@@ -24,22 +24,13 @@ def type_scores(lower: Column, hits: Column, rules: dict = C.DOCUMENT_RULES) ->
     times the weight, over the largest possible sum."""
     scores = {}
     for name, (weight, keywords, patterns) in rules.items():
-        score = F.size(F.array_intersect(hits, F.array(*[F.lit(k) for k in keywords]))).cast("double")
+        score = F.size(F.array_intersect(hits, T.strings(keywords))).cast("double")
         for p in patterns:
             score = score + T.gated_match(lower, hits, p).cast("double") * 2.0
         scores[name] = score * F.lit(weight) / F.lit(float(len(keywords) + 2 * len(patterns)))
     return scores
 
 
-def score_types(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (),
-                rules: dict = C.DOCUMENT_RULES) -> DataFrame:
-    """Adds ``_hits`` (literals that occur) and ``scores`` (struct, one double per type)."""
-    lowered = docs.select(id_col, *keep, F.lower(text_col).alias("_lower"))
-    scanned = lowered.withColumn("_hits", T.literal_hits(F.col("_lower"), _literals(rules)))
-    scores = type_scores(F.col("_lower"), F.col("_hits"), rules)
-    return scanned.select(id_col, *keep, "_hits", F.struct(*[c.alias(n) for n, c in scores.items()]).alias("scores"))
-
-
 def best_type(scores: Column, names: list[str]) -> Column:
     """Highest score; on a tie the type listed first."""
     ranked = F.array(*[F.struct(scores[n].alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
@@ -51,27 +42,41 @@ def found_keywords(hits: Column, doc_type: Column, rules: dict = C.DOCUMENT_RULE
     """Keywords of the winning type that occur, in catalogue order."""
     out = F.array().cast("array<string>")
     for name, (_, keywords, _) in rules.items():
-        out = F.when(doc_type == name, F.array_intersect(F.array(*[F.lit(k) for k in keywords]), hits)).otherwise(out)
+        out = F.when(doc_type == name, F.array_intersect(T.strings(keywords), hits)).otherwise(out)
     return out
 
 
+def verdict(lower: Column, hits: Column, rules: dict = C.DOCUMENT_RULES) -> Column:
+    """Result of one text as a struct, bound step by step: whatever reads or filters it later,
+    scores are computed once per evaluation."""
+    names = list(rules)
+    scores = type_scores(lower, hits, rules)
+
+    def judged(s: Column, best: Column) -> Column:
+        known = best["score"] >= C.MIN_TYPE_SCORE
+        doc_type = F.when(known, best["name"]).otherwise(C.UNKNOWN)
+        return T.let(doc_type, lambda t: F.struct(
+            t.alias("document_type"),
+            F.when(known, F.least(best["score"] * 2.0, F.lit(1.0))).otherwise(0.0).alias("confidence"),
+            route(t).alias("suggested_schema"),
+            F.create_map(*[x for n in names for x in (F.lit(n), s[n])]).alias("all_scores"),
+            found_keywords(hits, t, rules).alias("keywords_found")))
+
+    return T.let(F.struct(*[c.alias(n) for n, c in scores.items()]),
+                 lambda s: T.let(best_type(s, names), lambda best: judged(s, best)))
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (),
              rules: dict = C.DOCUMENT_RULES) -> DataFrame:
-    """document_type, confidence, suggested_schema, scores (map) and keywords_found per document.
+    """document_type, confidence, suggested_schema, all_scores (map) and keywords_found per document.
 
     One narrow pass; the text never leaves its partition.  A best score under 0.1 is
     ``unknown`` with confidence 0 and no keywords.
     """
-    names = list(rules)
-    best = score_types(docs, id_col, text_col, keep, rules).withColumn("_best", best_type(F.col("scores"), names))
-    known = F.col("_best.score") >= C.MIN_TYPE_SCORE
-    typed = best.withColumn("document_type", F.when(known, F.col("_best.name")).otherwise(C.UNKNOWN))
-    return typed.select(
-        id_col, *keep, "document_type",
-        F.when(known, F.least(F.col("_best.score") * 2.0, F.lit(1.0))).otherwise(0.0).alias("confidence"),
-        route(F.col("document_type")).alias("suggested_schema"),
-        F.create_map(*[x for n in names for x in (F.lit(n), F.col("scores")[n])]).alias("all_scores"),
-        found_keywords(F.col("_hits"), F.col("document_type"), rules).alias("keywords_found"))
+    lowered = docs.select(id_col, *keep, F.lower(text_col).alias("_lower"))
+    scanned = lowered.withColumn("_hits", T.literal_hits(F.col("_lower"), _literals(rules)))
+    judged = scanned.select(id_col, *keep, verdict(F.col("_lower"), F.col("_hits"), rules).alias("_v"))
+    return judged.select(id_col, *keep, "_v.*")
 
 
 def route(doc_type: Column) -> Column:

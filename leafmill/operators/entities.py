@@ -92,10 +92,10 @@ _CONTEXT_LITERALS = _TRIGGERS + [w for _, fields in C.CONTEXT_RULES.values() for
 
 def _context_hits(text: Column, hits: Column) -> Column:
     """``array<struct<context, field, value>>`` of the fields found."""
-    catalogue = F.array(*[F.struct(
-        F.lit(context).alias("context"), F.array(*[F.lit(t) for t in triggers]).alias("triggers"),
-        F.lit(field).alias("field"), T.rule_list([pattern], ignore_case=True).alias("rules"))
-        for context, (triggers, fields) in C.CONTEXT_RULES.items() for field, pattern in fields.items()])
+    catalogue = T.constant(
+        [{"context": context, "triggers": triggers, "field": field, "rules": T.rule_list([pattern], ignore_case=True)}
+         for context, (triggers, fields) in C.CONTEXT_RULES.items() for field, pattern in fields.items()],
+        f"array<struct<context:string,triggers:array<string>,field:string,rules:{T.RULES}>>")
     open_rules = F.filter(catalogue, lambda c: F.arrays_overlap(hits, c["triggers"]))
     return F.filter(F.transform(open_rules, lambda c: F.struct(
         c["context"], c["field"], T.strip(T.rule_value(text, hits, c["rules"])).alias("value"))),

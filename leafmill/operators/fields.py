@@ -40,12 +40,12 @@ def label_array(text: Column, hits: Column, names: list[str]) -> Column:
     """``array<struct<field, value, confidence, found>>``: the text behind each label
     (``label[\\s:]+rest of line``, any case, with and without the blanks inside the label);
     '' when missing.  ``hits`` holds the labels that occur at all."""
-    def rules(name: str) -> Column:
+    def rules(name: str) -> list[dict]:
         return T.rule_list([re.escape(sp).replace(r"\ ", " ") + r"[\s:]+([^\n]+)" for sp in _spellings(name)],
                            ignore_case=True)
 
-    catalogue = F.array(*[F.struct(F.lit(n).alias("field"), rules(n).alias("rules"),
-                                   F.lit(label_confidence(n)).alias("full")) for n in names])
+    catalogue = T.constant([{"field": n, "rules": rules(n), "full": label_confidence(n)} for n in names],
+                           f"array<struct<field:string,rules:{T.RULES},full:double>>")
     values = F.transform(catalogue, lambda c: F.struct(
         c["field"], F.coalesce(T.strip(T.rule_value(text, hits, c["rules"])), F.lit("")).alias("value"), c["full"]))
     return F.transform(values, lambda x: F.struct(
@@ -106,9 +106,11 @@ STRUCTURED_LITERALS = list(dict.fromkeys(
     for w in needed_literals(p)))
 
 
-def _field_rules(fields: dict[str, list[str]]) -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("field"), T.rule_list(
-        ps, ignore_case=True, multiline=True).alias("rules")) for n, ps in fields.items()])
+FIELD_RULES = f"array<struct<field:string,rules:{T.RULES}>>"
+
+
+def _field_rules(fields: dict[str, list[str]]) -> list[dict]:
+    return [{"field": n, "rules": T.rule_list(ps, ignore_case=True, multiline=True)} for n, ps in fields.items()]
 
 
 def structured_array(text: Column, hits: Column, doc_type: Column) -> Column:
@@ -119,8 +121,8 @@ def structured_array(text: Column, hits: Column, doc_type: Column) -> Column:
             T.rule_value(text, hits, c["rules"]), tidy).alias("value")))
 
     # an empty match is no value; a common field that is only blank stays as ''
-    common = values(_field_rules(C.COMMON_FIELDS), lambda v: F.when(v != "", T.strip(v)))
-    by_type = F.create_map(*[x for kind, fields in C.TYPE_FIELDS.items() for x in (F.lit(kind), _field_rules(fields))])
+    common = values(T.constant(_field_rules(C.COMMON_FIELDS), FIELD_RULES), lambda v: F.when(v != "", T.strip(v)))
+    by_type = T.constant({kind: _field_rules(fields) for kind, fields in C.TYPE_FIELDS.items()}, f"map<string,{FIELD_RULES}>")
     typed = values(F.try_element_at(by_type, doc_type), lambda v: T.let(clean(v), lambda c: F.when(c != "", c)))
     none = F.array().cast("array<struct<field:string,value:string>>")
     return F.filter(F.concat(common, F.coalesce(typed, none)), lambda f: f["value"].isNotNull())

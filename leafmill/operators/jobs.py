@@ -75,9 +75,9 @@ def _ranked(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     large group is spread over many tasks.
     """
     counts = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    parts = 64
+    parts = 256
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+        F.percentile_approx(value, [i / parts for i in range(1, parts)], 10000).alias("_cuts"))
     placed = counts.join(cuts, keys).withColumn(
         "_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)

@@ -59,7 +59,7 @@ def features(text: Column) -> Column:
         return F.struct(
             rest.alias("rest"), (T.strip(body) == "").alias("blank"),
             (F.length(body) - F.length(rest)).alias("n_latin"),
-            F.array_intersect(tokens, F.array(*[F.lit(w) for w in plain])).alias("words"),
+            F.array_intersect(tokens, T.strings(plain)).alias("words"),
             # words with combining marks need a character of their scripts
             F.when((rest != "") & rest.rlike(marked_blocks), marked).otherwise(none).alias("marked"),
             # lower-case tokens equal case-insensitive words except for a few letters of other case rules
@@ -113,7 +113,7 @@ def language_scores(f: Column, script: Column) -> dict[str, Column]:
         for name, group in (("words", [w for w in words if _PLAIN_WORD.match(w)]),
                             ("marked", [w for w in words if not _PLAIN_WORD.match(w)])):
             if group:
-                score = score + F.size(F.array_intersect(f[name], F.array(*[F.lit(w) for w in group])))
+                score = score + F.size(F.array_intersect(f[name], T.strings(group)))
         for p in patterns:
             score = score + _pattern_count(f, p) * F.lit(0.5)
         boost = F.when(script == own, 1.5).otherwise(1.0)

@@ -68,18 +68,17 @@ FLAGS = {"ignore_case": True, "multiline": True}
 def _attempts(text: Column, hits: Column, spec: dict, rungs: list) -> Column:
     """What the rungs that match find: ``array<struct<raw, v, w>>`` in ladder order, v NULL where
     the text does not fit the type.  The last, unlabelled rung runs only when no other fitted."""
-    def rule(pattern: str, weight: float, group: int) -> Column:
-        return F.struct(
-            F.lit(java(pattern, **FLAGS)).alias("re"), F.lit(weight).alias("w"), F.lit(group).alias("group"),
-            F.array(*[F.lit(w) for w in needed_literals(pattern)]).cast("array<string>").alias("needs"))
+    def rules(some: list) -> Column:
+        return T.constant([{"re": java(p, **FLAGS), "w": w, "group": g, "needs": needed_literals(p)} for p, w, g in some],
+                          "array<struct<re:string,w:double,group:int,needs:array<string>>>")
 
-    def tried(rules: Column) -> Column:
-        raws = F.transform(T.rule_hits(text, hits, rules), lambda r: F.struct(
+    def tried(tries: Column) -> Column:
+        raws = F.transform(T.rule_hits(text, hits, tries), lambda r: F.struct(
             T.strip(F.call_function("regexp_extract", text, r["re"], r["group"])).alias("raw"), r["w"]))
         return F.transform(raws, lambda r: F.struct(r["raw"], cast_value(r["raw"], spec).alias("v"), r["w"]))
 
-    labelled = tried(F.array(*[rule(*r) for r in rungs[:-1]]))
-    bare = tried(F.array(rule(*rungs[-1])))
+    labelled = tried(rules(rungs[:-1]))
+    bare = tried(rules(rungs[-1:]))
     return T.let(labelled, lambda found: F.when(
         F.exists(found, lambda a: a["v"].isNotNull()), found).otherwise(F.concat(found, bare)))
 
@@ -200,7 +199,7 @@ def check_values(value: Column, spec: dict) -> Column:
 
 def missing_required(values: Column, names: list[str]) -> Column:
     """Names whose value in a map column is missing or empty."""
-    return F.filter(F.array(*[F.lit(n) for n in names]),
+    return F.filter(T.strings(names),
                     lambda n: F.coalesce(F.try_element_at(values, n), F.lit("")) == "")
 
 

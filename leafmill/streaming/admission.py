@@ -173,7 +173,8 @@ def admit_bucket(events: DataFrame, key: str, id_col: str, micros: Column, per_m
 def stream_sliding(events: DataFrame, key: str, limit: int, width_s: int, watermark: str = "10 minutes") -> DataFrame:
     """Structured Streaming form (columns: key, ts): per key and batch the admitted and denied counts.
 
-    The state of a key is its log of at most ``limit`` timestamps; a key that stays silent past
+    The state of a key is its log of at most ``limit`` timestamps, and a call holds the timestamps
+    of one key in one micro-batch, whose size the source's rate limit sets; a key that stays silent past
     its window is dropped by an event-time timeout.
     """
     width_us = width_s * 1_000_000
