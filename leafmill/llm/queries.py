@@ -7,7 +7,10 @@ import json
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from leafmill.llm import archive, chat, decontaminate, language_id, packing, token_files
+from leafmill.llm import (
+    archive, chat, decontaminate, language_id, near_dedup, packing, token_files, trie_counts, url_templates,
+    vector_links,
+)
 from leafmill.llm.common import new_folder
 
 QUERIES, ORACLES = {}, {}
@@ -38,6 +41,11 @@ def byte_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+@register("op1_order_minhash")
+def _(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 @register("op2_best_fit_packing")
 def _(spark, sf_dir):
     rows = packing.pieces(table(spark, sf_dir, "documents"), *word_tokenizer(), 0, CAPACITY)
@@ -59,6 +67,11 @@ def _(spark, sf_dir):
         F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
 
 
+@register("op4_trie_token_counts")
+def _(spark, sf_dir):
+    return trie_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op5_token_files")
 def _(spark, sf_dir):
     folder = new_folder(spark, "tokens")
@@ -91,6 +104,15 @@ def _(spark, sf_dir):
                           (F.size("hit_words") > 0).alias("contaminated"))
 
 
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+         ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@register("op7_url_templates")
+def _(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 @register("op8_language_id")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -118,3 +140,8 @@ def _(spark, sf_dir):
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op10_vector_links")
+def _(spark, sf_dir):
+    return vector_links.near_vectors(table(spark, sf_dir, "embeddings"))
