@@ -31,3 +31,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, kept in the shared folder and cut from its lineage.  A lost executor loses nothing."""
     df.sparkSession.sparkContext.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def renamed(df: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with spare names for its columns that clash with ``taken``, and the way back (spare to own name)."""
+    back = {f"__own_{k}": c for k, c in enumerate(df.columns) if c.lower() in taken}
+    for spare, own in back.items():
+        df = df.withColumnRenamed(own, spare)
+    return df, back

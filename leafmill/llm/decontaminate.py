@@ -26,9 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.common import renamed
+
 WINDOW = 10
 MAX_BYTES = 32 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text as it stands, with capitals.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes to lower case, all that is no part of a word to blanks.
 PLAIN = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 RANGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -150,4 +153,5 @@ def spans(scanned: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    return scan(docs, benchmark).where(F.size("hit_words") == 0).select(*docs.columns)
+    rows, back = renamed(docs, set(ADDED))
+    return scan(rows, benchmark).where(F.size("hit_words") == 0).drop(*ADDED).withColumnsRenamed(back)

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.common import renamed
+
 ORDERS = 3
 BUCKETS = 8192
 PER_LANGUAGE = 300
@@ -149,3 +151,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                                              names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(rows, schema)
+
+
+def known(docs: DataFrame, least_score: float) -> DataFrame:
+    """The documents in a learned language, with their own columns: not ``und`` and at least the score."""
+    rows, back = renamed(docs, {"lang_pred", "score"})
+    kept = predict(rows, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return kept.drop("lang_pred", "score").withColumnsRenamed(back)

@@ -2,9 +2,9 @@
 
 Documents become token pieces; only a document longer than the capacity is cut.  Pieces are dealt to partitions,
 each partition packs by best-fit decreasing, and dual feasible functions bound from below how many bins any packing
-of its pieces needs.  A partition that meets its bound is certified and closed.  Partitions with a gap keep their
-full bins, put the pieces of the others into a common pool, which is dealt anew to fewer partitions and packed
-again, until every partition is certified or the pool fits one partition.
+of its pieces needs.  A partition that meets its bound is certified and keeps its well-filled bins.  Partitions with a
+gap keep only their full bins.  The pieces of all other bins form a common pool, which is dealt anew to fewer
+partitions and packed again, until the pool fits one partition, is empty or hardly shrinks any more.
 
 Defined cases: a null text counts as empty; an empty text is one piece with the end id; every row is packed, also
 rows with the same doc_id or text; other columns are ignored; an empty table gives no pieces.  A partition holds
@@ -124,12 +124,13 @@ def pack(rows: DataFrame, capacity: int, pieces_per_part: int = PIECES_PER_PART)
     pool, left, turn = rows.where(F.col("length") < capacity), None, 0
     while True:
         number = pool.count()
-        if not number or number == left:
+        if not number or left is not None and number * 10 > left * 9:
             break
         left, parts = number, max(1, -(-number // pieces_per_part))
         placed = checkpointed(pack_parts(pool.select(*shown, F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)).alias(
             "part")), capacity))
-        again = (F.col("gap") > 0) & (F.col("fill") < capacity) if parts > 1 else F.lit(False)
+        spare = F.when(F.col("gap") > 0, F.col("fill") < capacity).otherwise(F.col("fill") * 10 < capacity * 9)
+        again = spare if parts > 1 else F.lit(False)
         sequence = F.lit((turn + 1) * ROUND_IDS) + F.col("part") * PART_IDS + F.col("bin")
         settled = placed.withColumn("sequence_id", sequence)
         done.append(settled.where(~again).select(*shown, "sequence_id", "offset"))
@@ -138,7 +139,7 @@ def pack(rows: DataFrame, capacity: int, pieces_per_part: int = PIECES_PER_PART)
         if parts == 1:
             return _union(done)
     if number:
-        done.append(last)  # no bin of any partition with a gap is full: dealing the same pieces anew gains nothing
+        done.append(last)  # nearly all bins would be opened again and again; they stay as they are
     return _union(done)
 
 
