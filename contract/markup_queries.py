@@ -29,12 +29,12 @@ def _money(expr: str) -> str:
 
 
 # every rendered value of an invoice, from the base tables
-INV = f"""rows_of as (select l_orderkey, floor((l_linenumber - 1) / 50)::int as part, p_name, l_quantity::int::varchar as qty,
+INV = f"""rows_of as (select l_orderkey, p_name, l_quantity::int::varchar as qty,
       {_money('p_retailprice')} as rate, {_money('l_extendedprice')} as amt, l_extendedprice::decimal(18,2) as price,
       '<tr><td>' || p_name || '</td><td>' || l_quantity::int || '</td><td>' || {_money('p_retailprice')} || '</td><td>' || {_money('l_extendedprice')} || '</td></tr>' as html
       from lineitem join part on p_partkey = l_partkey),
-    sums as (select l_orderkey, part, sum(price) as total, count(*) as n, string_agg(html, chr(10) order by html) as rows_html from rows_of group by all),
-    inv as (select o_orderkey as doc_id, part, total, n, rows_html, {_money('total')} as total_text, strftime(o_orderdate, '%m/%d/%Y') as day,
+    sums as (select l_orderkey, sum(price) as total, count(*) as n, string_agg(html, chr(10) order by html) as rows_html from rows_of group by all),
+    inv as (select o_orderkey as doc_id, total, n, rows_html, {_money('total')} as total_text, strftime(o_orderdate, '%m/%d/%Y') as day,
       o_orderstatus as st, o_orderpriority as prio, o_custkey as cust, c_name as cname, c_mktsegment as seg,
       'INV-' || lpad(o_orderkey::varchar, 8, '0') as number
       from sums join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey)"""
@@ -50,11 +50,11 @@ TEXT = (f"{INV}, tabled as (select *, '<table><tr><th>Item</th><th>Quantity</th>
 
 
 def inv(spark, sf):
-    return files.spread(R.invoices(spark, sf))
+    return R.invoices(spark, sf)
 
 
 def docs(spark, sf):
-    return files.spread(R.table(spark, sf, "documents").select("doc_id", "text"))
+    return R.table(spark, sf, "documents").select("doc_id", "text")
 
 
 def parsed(spark, sf):
@@ -116,7 +116,7 @@ def _(spark, sf):
 
 # --- tables ----------------------------------------------------------------------------------
 
-_CELLS = f"""with {INV}, numbered as (select l_orderkey as doc_id, row_number() over (partition by l_orderkey, part order by html) as r, p_name, qty, rate, amt from rows_of)"""
+_CELLS = f"""with {INV}, numbered as (select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by html) as r, p_name, qty, rate, amt from rows_of)"""
 
 
 @register("table_cells", f"""{_CELLS} select doc_id, 0::int as "row", c::int as col, true as is_header, ['Item', 'Quantity', 'Rate', 'Amount'][c + 1] as text from inv, (values (0), (1), (2), (3)) t(c)
@@ -131,7 +131,7 @@ def _quoted(x: str) -> str:
 
 
 _CSV = f"""csv as (select l_orderkey as doc_id, 'Item,Quantity,Rate,Amount' || chr(10) || string_agg(p_name || ',' || qty || ',' || {_quoted('rate')} || ',' || {_quoted('amt')}, chr(10) order by html) || chr(10) as text
-    from rows_of group by l_orderkey, part)"""
+    from rows_of group by l_orderkey)"""
 
 
 @register("table_csv", f"with {INV}, {_CSV} select * from csv")
@@ -167,13 +167,13 @@ def _(spark, sf):
     union all select 'receipt', 'receipt', count(*) from orders union all select 'bank_statement', 'bank_statement', count(*) from customer""")
 def _(spark, sf):
     all_docs = inv(spark, sf).select("doc_id", "text").unionByName(R.receipts(spark, sf)).unionByName(R.statements(spark, sf))
-    return classify.classify(files.spread(all_docs)).groupBy("document_type", "suggested_schema").agg(F.count("*").alias("n_docs"))
+    return classify.classify(all_docs).groupBy("document_type", "suggested_schema").agg(F.count("*").alias("n_docs"))
 
 
 @register("classify_keywords", "select c_custkey as doc_id, k as keyword from customer, (values " + ", ".join(
     f"('{k}')" for k in ("statement", "account", "balance", "deposit", "opening balance", "closing balance")) + ") t(k)")
 def _(spark, sf):
-    typed = classify.classify(files.spread(R.statements(spark, sf)))
+    typed = classify.classify(R.statements(spark, sf))
     return T.unnest(typed, ["doc_id"], F.col("keywords_found")).select("doc_id", F.col("_item").alias("keyword"))
 
 
@@ -181,7 +181,7 @@ def _(spark, sf):
     || 'Opening Balance: $1.00' || chr(10) || 'Closing Balance: $1.00' || chr(10) || 'Deposits: $10.00' as text from customer), {S.type_scores_sql('src')}, {S.best_type_sql()}
     select doc_id, document_type, round(confidence, 2) as confidence, round(bank_statement, 3) as own_score from best""")
 def _(spark, sf):
-    shown = classify.response(classify.classify(files.spread(R.statements(spark, sf))))
+    shown = classify.response(classify.classify(R.statements(spark, sf)))
     return shown.select("doc_id", "document_type", "confidence", F.try_element_at("all_scores", F.lit("bank_statement")).alias("own_score"))
 
 
@@ -238,14 +238,14 @@ def _(spark, sf):
     unnest(['date', 'total', 'receipt_number', 'store', 'cashier', 'payment_method']) as f,
     unnest([strftime(o_orderdate, '%m-%d-%Y'), format('{:,.2f}', o_totalprice), 'R' || o_orderkey, 'Corner Store', 'Clerk ' || o_custkey, 'cash']) as v from orders)""")
 def _(spark, sf):
-    return fields.structured_rows(files.spread(R.receipts(spark, sf))).drop("document_type")
+    return fields.structured_rows(R.receipts(spark, sf)).drop("document_type")
 
 
 @register("structured_statements", """select c_custkey as doc_id, f as field, v as value from (select c_custkey,
     unnest(['account_number', 'statement_period', 'opening_balance', 'closing_balance', 'total_deposits']) as f,
     unnest([lpad(c_custkey::varchar, 8, '0'), 'January', format('{:,.2f}', abs(c_acctbal)), format('{:,.2f}', abs(c_acctbal) + 10), '10.00']) as v from customer)""")
 def _(spark, sf):
-    return fields.structured_rows(files.spread(R.statements(spark, sf))).drop("document_type")
+    return fields.structured_rows(R.statements(spark, sf)).drop("document_type")
 
 
 @register("structured_records", f"""with {INV} select doc_id, 'invoice' as document_type, 9::bigint as n_fields, n as n_items, 2::bigint as n_pages, st as watermark, seg as location from inv""")
@@ -262,14 +262,14 @@ def _(spark, sf):
     union all select o_orderkey, 'person', 'Corner Store' || chr(10) || 'Receipt' from orders where false
     union all select o_orderkey, 'person', 'Corner Store' from orders""")
 def _(spark, sf):
-    rows = entities.entities(files.spread(R.receipts(spark, sf)), types=["date", "money", "person"])
+    rows = entities.entities(R.receipts(spark, sf), types=["date", "money", "person"])
     return rows.select("doc_id", "type", "value")
 
 
 @register("context_fields_rendered", """select o_orderkey as doc_id, f as field, v as value from (select o_orderkey, unnest(['amount', 'id_number']) as f,
     unnest([format('{:,.2f}', o_totalprice), o_orderkey::varchar]) as v from orders)""")
 def _(spark, sf):
-    rows = entities.context_fields(files.spread(R.receipts(spark, sf)))
+    rows = entities.context_fields(R.receipts(spark, sf))
     return rows.select("doc_id", "field", "value").filter(F.col("field").isin("amount", "id_number"))
 
 
@@ -314,7 +314,7 @@ def _(spark, sf):
     unnest(['store_name', 'date', 'receipt_number']) as f, unnest(['Receipt # R' || o_orderkey, strftime(o_orderdate, '%m-%d-%Y'), 'Corner Store']) as v,
     unnest([0.85, 0.9, 0.5])::double as c from orders)""")
 def _(spark, sf):
-    rows = schema.extract(files.spread(R.receipts(spark, sf)), C.RECEIPT_SCHEMA)
+    rows = schema.extract(R.receipts(spark, sf), C.RECEIPT_SCHEMA)
     return rows.filter(F.col("field").isin("store_name", "date", "receipt_number")).select("doc_id", "field", "value", "confidence")
 
 
@@ -377,7 +377,7 @@ def _(spark, sf):
 
 @register("workflow_receipt", """select o_orderkey as doc_id, 'completed' as workflow_status, strftime(o_orderdate, '%m-%d-%Y') as day from orders""")
 def _(spark, sf):
-    done = workflow.run(files.spread(R.receipts(spark, sf)), workflow.RECEIPT_STEPS)
+    done = workflow.run(R.receipts(spark, sf), workflow.RECEIPT_STEPS)
     return done.select("doc_id", "workflow_status", F.get_json_object("webhook_output", "$.data.Date").alias("day"))
 
 
@@ -450,7 +450,7 @@ def _(spark, sf):
 
 
 @register("render_line_items", f"""with {INV} select l_orderkey as doc_id, 'Description,Quantity,Unit Price,Total' || chr(10) || string_agg(p_name || ',' || qty || ',' || rate || ',' || amt, chr(10) order by html) as csv,
-    '<table><tr><th>Description</th><th>Quantity</th><th>Unit Price</th><th>Total</th></tr>' || string_agg(html, '' order by html) || '</table>' as html from rows_of group by l_orderkey, part""")
+    '<table><tr><th>Description</th><th>Quantity</th><th>Unit Price</th><th>Total</th></tr>' || string_agg(html, '' order by html) || '</table>' as html from rows_of group by l_orderkey""")
 def _(spark, sf):
     items = inv(spark, sf).select("doc_id", tables.line_items(tables.html_tables(F.col("text"))).alias("i"))
     return items.select("doc_id", render.items_csv(F.col("i")).alias("csv"), render.items_html(F.col("i")).alias("html"))

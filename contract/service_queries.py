@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from fixtures import bookkeeping as B
 from fixtures import render_docs as R
 from leafmill.functions import catalog as C
 from leafmill.operators import checks, classify, dedup, jobs, notify
+from leafmill.session import shared_folder
 from leafmill.sources import files, sinks
 from leafmill.streaming import admission, documents, windows
 
@@ -29,11 +29,8 @@ def register(name, oracle=None):
 
 
 def scratch(spark) -> str:
-    """New folder for files a query writes and reads back: below the cluster's shared folder if it
-    names one, else (local test) in a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    name = f"leafmill-{os.urandom(6).hex()}"
-    return f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="leafmill-")
+    """New folder for files a query writes and reads back."""
+    return f"{shared_folder(spark)}/leafmill-{os.urandom(6).hex()}"
 
 
 def now():
@@ -70,12 +67,18 @@ def _(spark, sf):
     return jobs.next_jobs(B.jobs(spark, sf), 50).select("job_id", "priority")
 
 
-@register("job_status_from_attempts", """with a as (select user_id as job_id, ts, case event_type when 'error' then 'fail' when 'purchase' then 'complete' else 'cancel' end as outcome
-      from events where event_type in ('error', 'purchase', 'signup')),
-    f as (select job_id, count(*) filter (outcome = 'fail') as retries, arg_max(outcome, ts) as last, max(ts) as last_ts from a group by job_id)
-    select job_id, retries, case when last = 'complete' then 'completed' when retries >= 3 then 'failed' when last = 'cancel' then 'cancelled' else 'pending' end as status, epoch_us(last_ts) as last_us from f""")
+_REPLAY = """with recursive a as (select user_id as job_id, ts, case event_type when 'error' then 'fail' when 'purchase' then 'complete' else 'cancel' end as outcome,
+      row_number() over (partition by user_id order by ts, event_id) as i from events where event_type in ('error', 'purchase', 'signup')),
+    s as (select job_id, 0::bigint as i, 0::bigint as retries, 'pending' as status from a where i = 1
+      union all select s.job_id, a.i, s.retries + (outcome = 'fail')::bigint, case when outcome = 'complete' then 'completed'
+        when outcome = 'fail' and s.retries + 1 < 3 then 'pending' when outcome = 'fail' then 'failed' when status = 'pending' then 'cancelled' else status end
+      from s join a on a.job_id = s.job_id and a.i = s.i + 1),
+    f as (select s.job_id, retries, status from s join (select job_id, max(i) as n from a group by job_id) m on m.job_id = s.job_id and m.n = s.i)"""
+
+
+@register("job_status_from_attempts", f"{_REPLAY} select job_id, retries, status, last_us from f join (select job_id, epoch_us(max(ts)) as last_us from a group by job_id) using (job_id)")
 def _(spark, sf):
-    return jobs.fold_attempts(B.attempts(spark, sf)).select("job_id", "retries", "status", micros("last_ts").alias("last_us"))
+    return jobs.folded_status(B.attempts(spark, sf)).select("job_id", "retries", "status", micros("last_ts").alias("last_us"))
 
 
 @register("batch_summary", """select o_custkey as batch_id, count(*) as total_files, count(*) filter (o_orderstatus <> 'P') as successful, count(*) filter (o_orderstatus = 'P') as failed, count(*) > 10 as over_limit
@@ -251,10 +254,9 @@ _HOOKS = """hooks as (select 'wh-' || s_suppkey as id, 'https://example.com/hook
     case s_suppkey % 3 when 0 then ['error', 'purchase'] when 1 then ['signup'] else ['click', 'view', 'error'] end as events, s_suppkey % 4 <> 0 as active from supplier)"""
 
 
-@register("webhook_fan_out", f"with {_HOOKS} select id as webhook_id, event_type, count(*) as n from events e join hooks h on active and list_contains(h.events, e.event_type) group by all")
+@register("webhook_fan_out", f"with {_HOOKS} select id as webhook_id, event_type, event_id from events e join hooks h on active and list_contains(h.events, e.event_type)")
 def _(spark, sf):
-    counted = B.events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
-    return notify.fan_out(counted, B.webhooks(spark, sf)).select("webhook_id", "event_type", "n")
+    return notify.fan_out(B.events(spark, sf), B.webhooks(spark, sf)).select("webhook_id", "event_type", "event_id")
 
 
 @register("webhook_listing", f"with {_HOOKS} select id, url, array_to_string(events, ',') as events, active from hooks")
@@ -277,7 +279,14 @@ def _(spark, sf):
     return _messages(spark, sf)
 
 
-@register("webhook_signatures")
+def _padded(number: int) -> str:
+    """A 64-character secret with every byte xored with a number, as bytes."""
+    return (f"(select unhex(string_agg(lpad(printf('%x', xor(ascii(substr(secret, i::int + 1, 1)), {number})), 2, '0'), '' order by i)) from range(64) r(i))")
+
+
+@register("webhook_signatures", f"""with {_HOOKS}, keys as (select id, {_padded(54)} as inner_key, {_padded(92)} as outer_key from hooks),
+    sent as (select event_id, 'wh-' || (user_id % 5 + 1) as webhook_id, replace({_PAYLOAD}, ': ', ':') as payload from events)
+    select event_id, webhook_id, sha256(outer_key || unhex(sha256(inner_key || encode(payload)))) as signature from sent join keys on id = webhook_id""")
 def _(spark, sf):
     return notify.signed_outbox(_messages(spark, sf), B.webhooks(spark, sf)).select("event_id", "webhook_id", "signature")
 
@@ -362,9 +371,9 @@ def _(spark, sf):
     return done.select("doc_id", "page_number", "text", "success")
 
 
-@register("assembled_documents", f"with {_PAGES} select doc_id, 0::int as part, count(*) as n_pages, md5(string_agg(chr(10) || '--- Page ' || page_number || ' ---' || chr(10) || text, chr(10) || chr(10) order by page_number, text)) as text_hash from p group by doc_id")
+@register("assembled_documents", f"with {_PAGES} select doc_id, count(*) as n_pages, md5(string_agg(chr(10) || '--- Page ' || page_number || ' ---' || chr(10) || text, chr(10) || chr(10) order by page_number, text)) as text_hash from p group by doc_id")
 def _(spark, sf):
-    return files.assemble(R.page_results(spark, sf)).select("doc_id", "part", "n_pages", F.md5("text").alias("text_hash"))
+    return files.assemble(R.page_results(spark, sf)).select("doc_id", "n_pages", F.md5("text").alias("text_hash"))
 
 
 _TAGS = r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!doctype[^>]*>"
@@ -375,7 +384,7 @@ for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '
 
 @register("web_page_text", f"select page_id, array_to_string({S.non_blank(f'string_split({_TEXT}, chr(1))')}, chr(10)) as text from pages")
 def _(spark, sf):
-    return files.spread(R.table(spark, sf, "pages")).select("page_id", files.html_text(F.col("html")).alias("text"))
+    return R.table(spark, sf, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
 @register("object_keys", """select page_id, 't' || page_id % 3 || '/2024/01/' || lpad((page_id % 28 + 1)::varchar, 2, '0') || '/' || substr(sha256(page_id || '.html'), 1, 8) || '_' || page_id || '.html' as key from pages""")
@@ -571,13 +580,11 @@ def _(spark, sf):
     return _collected(spark, fresh, "user_id bigint, event_type string").drop("_batch")
 
 
-@register("stream_job_status", """with a as (select user_id as job_id, ts, case event_type when 'error' then 'fail' when 'purchase' then 'complete' else 'cancel' end as outcome from events where event_type in ('error', 'purchase', 'signup')),
-    f as (select job_id, count(*) filter (outcome = 'fail') as retries, arg_max(outcome, ts) as last from a group by job_id)
-    select job_id, retries, case when last = 'complete' then 'completed' when retries >= 3 then 'failed' when last = 'cancel' then 'cancelled' else 'pending' end as status from f""")
+@register("stream_job_status", f"{_REPLAY} select job_id, retries, status from f")
 def _(spark, sf):
     e = _event_stream(spark, sf).filter(F.col("event_type").isin("error", "purchase", "signup"))
     outcome = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("cancel")
-    status = documents.stream_job_status(e.select(F.col("user_id").alias("job_id"), "ts", outcome.alias("outcome")), C.MAX_JOB_RETRIES)
+    status = jobs.folded_status(e.select(F.col("user_id").alias("job_id"), "ts", "event_id", outcome.alias("outcome"))).drop("last_ts")
     rows = _collected(spark, status, "job_id bigint, retries bigint, status string", "update")
     return rows.groupBy("job_id").agg(F.max_by("retries", "_batch").alias("retries"), F.max_by("status", "_batch").alias("status"))
 

@@ -32,7 +32,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job attempts: the user is the job; errors fail, purchases complete, signups cancel."""
     src = events(spark, sf_dir).filter(F.col("event_type").isin("error", "purchase", "signup"))
     outcome = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("cancel")
-    return src.select(F.col("user_id").alias("job_id"), "ts", outcome.alias("outcome"))
+    return src.select(F.col("user_id").alias("job_id"), "ts", "event_id", outcome.alias("outcome"))
 
 
 def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINES_PER_PART = 50
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,8 +22,7 @@ def dollars(amount: Column) -> Column:
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One two-page invoice per order with lines (doc_id = order key).
 
-    Lines meet their order after they were turned into short strings and grouped per order;
-    groups are cut at every 50 line numbers.
+    Lines meet their order after they were turned into short strings and grouped per order.
     """
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_retailprice"), "l_partkey")
@@ -33,8 +30,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("<tr><td>"), "p_name", F.lit("</td><td>"), F.col("l_quantity").cast("int").cast("string"),
                    F.lit("</td><td>"), amount_text(F.col("p_retailprice")), F.lit("</td><td>"),
                    amount_text(F.col("l_extendedprice")), F.lit("</td></tr>"))
-    part = F.floor((F.col("l_linenumber") - 1) / LINES_PER_PART)
-    tables = lines.groupBy("l_orderkey", part.alias("part")).agg(
+    tables = lines.groupBy("l_orderkey").agg(
         F.sum(price).alias("amount"), F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
     heads = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
@@ -51,7 +47,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</watermark>\n"), box, F.lit("\n<page_number>1/2</page_number>\n--- Page 2 ---\n<img>Stamp of "),
         "c_mktsegment", F.lit("</img>\n$x = "), key, F.lit("$\n\\begin{equation}y = "), F.col("o_custkey").cast("string"),
         F.lit("\\end{equation}\n- Order ID: "), key, F.lit("\n\n- Notes: none\n<page_number>2/2</page_number>"))
-    return joined.select(F.col("o_orderkey").alias("doc_id"), F.col("part").cast("int").alias("part"), text.alias("text"))
+    return joined.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,19 +26,22 @@ def next_jobs(jobs: DataFrame, n: int) -> DataFrame:
     return jobs.filter(F.col("status") == "pending").orderBy("priority", "created_at", "job_id").limit(n)
 
 
-def fold_attempts(attempts: DataFrame, max_retries: int = C.MAX_JOB_RETRIES) -> DataFrame:
-    """Final status per job from its attempt events (job_id, ts, outcome complete | fail | cancel).
+def folded_status(attempts: DataFrame, max_retries: int = C.MAX_JOB_RETRIES) -> DataFrame:
+    """Retries, status and last time per job from its attempt events (job_id, ts, event_id, outcome complete | fail |
+    cancel); events of one time are taken by their id.
 
-    Pure counts and maxima, so map-side combining carries most of the work.  The last
-    completion after the failures decides; a cancel counts only while the job waits.
+    Counts and maxima only, so map-side combining carries most of the work and the same aggregate runs on a
+    stream.  The last outcome that is no cancel decides: a completion completes, a failure fails the job or, before
+    the last retry, makes it wait again.  A cancel counts only if it comes while the job waits.
     """
+    at, cancel = F.struct("ts", "event_id"), F.col("outcome") == "cancel"
     folded = attempts.groupBy("job_id").agg(
-        F.count_if(F.col("outcome") == "fail").alias("retries"),
-        F.max_by("outcome", "ts").alias("last"), F.max("ts").alias("last_ts"))
-    status = (F.when(F.col("last") == "complete", "completed")
-              .when((F.col("last") == "fail") & (F.col("retries") >= max_retries), "failed")
-              .when((F.col("last") == "cancel") & (F.col("retries") < max_retries), "cancelled")
-              .when(F.col("last") == "cancel", "failed").otherwise("pending"))
+        F.count_if(F.col("outcome") == "fail").alias("retries"), F.max("ts").alias("last_ts"),
+        F.max(F.when(~cancel, F.struct(at.alias("at"), "outcome"))).alias("last"), F.max(F.when(cancel, at)).alias("cancelled"))
+    waits = F.col("last").isNull() | (F.col("cancelled") > F.col("last.at"))
+    status = (F.when(F.col("last.outcome") == "complete", "completed")
+              .when(F.col("retries") >= max_retries, "failed")
+              .when(F.col("cancelled").isNotNull() & waits, "cancelled").otherwise("pending"))
     return folded.select("job_id", "retries", status.alias("status"), "last_ts")
 
 
@@ -114,16 +117,17 @@ def latency_profile(values: DataFrame, keys: list[str], value: str) -> DataFrame
 def tenant_usage(docs: DataFrame, tenants: DataFrame) -> DataFrame:
     """Documents, pages and storage per tenant and month against the tenant's limits.
 
-    Usage is aggregated before the join, so the join sees one row per tenant and month.
+    Usage is aggregated before the join, so the join sees one row per tenant and month.  A tenant without limits, or
+    with a NULL one, is never over it.
     """
     used = docs.groupBy("tenant_id", F.date_format("created_at", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("documents"), F.sum("total_pages").alias("pages"),
         F.sum("file_size_bytes").alias("bytes"))
-    joined = used.join(tenants, "tenant_id")
-    return joined.select(
-        "tenant_id", "month", "documents", "pages", "bytes",
-        ((F.col("documents") > F.col("monthly_document_limit")) | (F.col("pages") > F.col("monthly_page_limit"))
-         | (F.col("bytes") > F.col("storage_limit_mb") * F.lit(1024 * 1024))).alias("over_quota"))
+    joined = used.join(tenants, "tenant_id", "left")
+    over = [F.col("documents") > F.col("monthly_document_limit"), F.col("pages") > F.col("monthly_page_limit"),
+            F.col("bytes") > F.col("storage_limit_mb") * F.lit(1024 * 1024)]
+    return joined.select("tenant_id", "month", "documents", "pages", "bytes", F.exists(
+        F.array(*over), lambda x: F.coalesce(x, F.lit(False))).alias("over_quota"))
 
 
 def unexpired(rows: DataFrame, ts: Column, now: Column, hours: int) -> DataFrame:

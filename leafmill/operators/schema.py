@@ -58,6 +58,17 @@ def _falsy(value: Column, kind: str) -> Column:
     return value.isin("", "[]")
 
 
+def _listed(value: Column, kind: str, allowed: list) -> Column:
+    """Is the value in the list, compared by the field's type.  Numbers and truth values equal one another as 1 and 0
+    do; a value of another type is never equal."""
+    numbers = [float(x) for x in allowed if isinstance(x, (bool, int, float))]
+    if kind in ("integer", "number"):
+        return value.try_cast("double").isin(numbers)
+    if kind == "boolean":
+        return F.when(value == "true", F.lit(1.0)).otherwise(0.0).isin(numbers)
+    return value.isin([x for x in allowed if isinstance(x, str)])
+
+
 def _python_list(items: list) -> str:
     return "[" + ", ".join(repr(i) for i in items) + "]"
 
@@ -99,7 +110,7 @@ def _judge(name: str, spec: dict, required: bool, picked: Column, misfits: Colum
     falsy = F.coalesce(_falsy(value, kind), F.lit(True))
     checks = []
     if spec.get("enum"):
-        outside = F.coalesce(~falsy & ~value.isin([str(x) for x in spec["enum"]]), F.lit(False))
+        outside = F.coalesce(~falsy & ~_listed(value, kind, spec["enum"]), F.lit(False))
         checks.append(F.when(outside, F.concat(F.lit("Value '"), value, F.lit(
             f"' not in allowed values: {_python_list(spec['enum'])}"))))
         value = F.when(~outside, value)
@@ -191,9 +202,9 @@ def check_values(value: Column, spec: dict) -> Column:
                           F.lit(f"Value too short (min: {spec['minLength']})"))] if "minLength" in spec else []
         checks += [F.when(live & (F.length(value) > spec["maxLength"]),
                           F.lit(f"Value too long (max: {spec['maxLength']})"))] if "maxLength" in spec else []
-        if spec.get("enum"):
-            checks.append(F.when(live & ~value.isin(spec["enum"]), F.concat(
-                F.lit("Value '"), value, F.lit(f"' not in allowed values: {_python_list(spec['enum'])}"))))
+    if spec.get("enum"):
+        checks.append(F.when(live & ~_listed(value, spec.get("type", "string"), spec["enum"]), F.concat(
+            F.lit("Value '"), value, F.lit(f"' not in allowed values: {_python_list(spec['enum'])}"))))
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,12 +82,29 @@ for _name, _handler in {"field_extract": _extract, "validate_fields": _validate,
     register_step(_name, _handler)
 
 
+def _decided(df: DataFrame, condition: str | None) -> DataFrame:
+    """``_wanted``: the condition's truth, true where it cannot be decided.  It is analysed by itself and
+    with lenient conversions, so neither an unknown name nor a bad value ends the job."""
+    if not condition:
+        return df.withColumn("_wanted", F.lit(True))
+    conf = df.sparkSession.conf
+    strict = conf.get("spark.sql.ansi.enabled")
+    try:
+        conf.set("spark.sql.ansi.enabled", "false")  # decides how the predicate's casts are built, here and now
+        return df.withColumn("_wanted", F.coalesce(F.expr(condition).cast("boolean"), F.lit(True)))
+    except (AnalysisException, ParseException):
+        return df.withColumn("_wanted", F.lit(True))
+    finally:
+        conf.set("spark.sql.ansi.enabled", strict)
+
+
 def run(df: DataFrame, steps: list[Step]) -> DataFrame:
     """Apply steps in order.
 
-    A condition that is false skips the step, one that cannot be decided (NULL) runs it.  A
-    failed step ends the row's workflow unless its policy is ``skip``; rows to be retried keep
-    status ``retry``.  ``workflow_status`` is completed, failed or retry.
+    A condition that is false skips the step; one that cannot be decided runs it: a NULL, a value
+    that fails to convert, an unknown name, a predicate that does not parse.  A failed step with
+    policy ``fail`` ends the row's workflow; with ``skip`` or ``retry`` (which is left to whoever
+    runs the rows again) it goes on.  ``workflow_status`` is completed or failed.
     """
     out = df.withColumn("workflow_status", F.lit("running"))
     for step in steps:
@@ -94,18 +112,18 @@ def run(df: DataFrame, steps: list[Step]) -> DataFrame:
             output, error = F.lit(None).cast("string"), F.lit(f"Unknown handler: {step.handler}")
         else:
             out, output, error = HANDLERS[step.handler](out, step.config)
-        live = F.col("workflow_status") == "running"
-        wanted = F.coalesce(F.expr(step.condition), F.lit(True)) if step.condition else F.lit(True)
+        out = _decided(out, step.condition)
+        live, wanted = F.col("workflow_status") == "running", F.col("_wanted")
         bad = error.isNotNull()
         status = F.when(~live, F.lit(None).cast("string")).when(~wanted, "skipped").when(bad, "failed").otherwise("completed")
         out = out.withColumn(f"{step.name}_status", status)
         done = F.col(f"{step.name}_status")
         out = out.withColumn(f"{step.name}_output", F.when(done == "completed", output)).withColumn(
             f"{step.name}_error", F.when(done == "failed", error))
-        after = {"fail": "failed", "retry": "retry", "skip": "running"}[step.on_failure]
+        after = {"fail": "failed", "retry": "running", "skip": "running"}[step.on_failure]
         out = out.withColumn("workflow_status", F.when(done == "failed", after).otherwise(F.col("workflow_status")))
     return out.withColumn("workflow_status", F.when(
-        F.col("workflow_status") == "running", "completed").otherwise(F.col("workflow_status"))).drop("_hits")
+        F.col("workflow_status") == "running", "completed").otherwise(F.col("workflow_status"))).drop("_hits", "_wanted")
 
 
 def dead_letters(result: DataFrame) -> DataFrame:

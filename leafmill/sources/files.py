@@ -12,7 +12,6 @@ from leafmill.functions import text as T
 from leafmill.operators import checks
 
 MB = 1024 * 1024
-PAGES_PER_PART = 10_000
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
@@ -69,18 +68,16 @@ def with_outcome(pages: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def assemble(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page_number", text_col: str = "text",
-             seconds_col: str = "seconds", pages_per_part: int = PAGES_PER_PART) -> DataFrame:
+             seconds_col: str = "seconds") -> DataFrame:
     """Document text from its pages, each behind a page marker; page times summed.
 
-    A document is one row (part 0).  One with more than ``pages_per_part`` pages is cut at fixed
-    page numbers into several parts, to be read in order: no group outgrows a task and no page
-    is lost.
+    A document is one row whatever its number of pages, so its pages meet in one task.  Work that
+    can do with one page at a time should stay on the page rows.
     """
-    part = F.floor((F.col(page_col) - 1) / pages_per_part).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page_col).alias("n"), F.col(text_col).alias("t"))))
     marked = F.transform(ordered, lambda p: F.concat(
         F.lit("\n--- Page "), p["n"].cast("string"), F.lit(" ---\n"), p["t"]))
-    return pages.groupBy(id_col, part.alias("part")).agg(
+    return pages.groupBy(id_col).agg(
         F.array_join(marked, "\n\n").alias("text"), F.count("*").alias("n_pages"),
         F.sum(seconds_col).alias("seconds"))
 
@@ -133,18 +130,6 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).json(path)
 
 
-def spread(df: DataFrame, bytes_per_slot: int = 64 * MB) -> DataFrame:
-    """Rows over all slots when the input is too small to fill them by itself.
-
-    Pattern work is CPU-bound, and a small file is a single row group, hence a single task.  The
-    planner's size estimate decides: an input beyond ``bytes_per_slot`` per slot is left as it
-    is read, so large text is never shuffled for this.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots * 2) if size < bytes_per_slot * slots else df
-
-
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Recognised text: parquet, json, or one document per text file."""
     if fmt == "text":

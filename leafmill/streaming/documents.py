@@ -1,4 +1,4 @@
-"""Continuous document processing and keyed job status."""
+"""Continuous document processing.  Keyed job status on a stream is ``jobs.folded_status`` in update mode."""
 
 from __future__ import annotations
 
@@ -30,13 +30,3 @@ def run_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
     """The same through a batch writer (any named sink)."""
     query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-def stream_job_status(attempts: DataFrame, max_retries: int) -> DataFrame:
-    """Status per job as running state (update mode): the aggregate form of ``jobs.fold_attempts``."""
-    folded = attempts.groupBy("job_id").agg(
-        F.count_if(F.col("outcome") == "fail").alias("retries"), F.max_by("outcome", "ts").alias("last"))
-    status = (F.when(F.col("last") == "complete", "completed")
-              .when(F.col("retries") >= max_retries, "failed")
-              .when(F.col("last") == "cancel", "cancelled").otherwise("pending"))
-    return folded.select("job_id", "retries", status.alias("status"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 from leafmill.operators import dedup, jobs, notify
 from leafmill.plans import render, workflow
+from leafmill.session import shared_folder
 from leafmill.sources import files, sinks
 from leafmill.streaming import admission, windows
 
@@ -83,10 +84,32 @@ def test_order_statistics(spark):
 
 
 def test_attempts(spark):
-    rows = [(1, 1, "fail"), (1, 2, "fail"), (2, 1, "fail"), (2, 2, "fail"), (2, 3, "fail"), (3, 1, "complete"), (4, 1, "cancel")]
-    frame = spark.createDataFrame(rows, "job_id long, ts long, outcome string")
-    got = {r.job_id: (r.status, r.retries) for r in jobs.fold_attempts(frame).collect()}
-    assert got == {1: ("pending", 2), 2: ("failed", 3), 3: ("completed", 0), 4: ("cancelled", 0)}
+    runs = ["fail fail", "fail fail fail", "complete", "cancel", "complete cancel", "fail fail fail cancel", "cancel fail", "fail cancel",
+            "cancel complete", "fail fail fail complete", "cancel fail fail fail cancel", "complete fail cancel"]
+    rows = [(j, i // 2, i, o) for j, run in enumerate(runs) for i, o in enumerate(run.split())]  # pairs of equal times
+    random.Random(4).shuffle(rows)
+    frame = spark.createDataFrame(rows, "job_id long, ts long, event_id long, outcome string")
+
+    def replayed(run):
+        status, retries = "pending", 0
+        for outcome in run.split():
+            if outcome == "complete":
+                status = "completed"
+            elif outcome == "fail":
+                retries += 1
+                status = "pending" if retries < 3 else "failed"
+            elif status == "pending":
+                status = "cancelled"
+        return status, retries
+
+    got = {r.job_id: (r.status, r.retries) for r in jobs.folded_status(frame).collect()}
+    assert got == {j: replayed(run) for j, run in enumerate(runs)}
+
+
+def test_tenant_without_limits(spark):
+    docs = spark.sql("select t as tenant_id, timestamp'2024-01-02' as created_at, 5 as total_pages, 10L as file_size_bytes from values ('a'), ('b'), ('c') v(t)")
+    limits = spark.createDataFrame([("a", 0, None, 5), ("b", None, 9, None)], "tenant_id string, monthly_document_limit int, monthly_page_limit int, storage_limit_mb int")
+    assert {r.tenant_id: r.over_quota for r in jobs.tenant_usage(docs, limits).collect()} == {"a": True, "b": False, "c": False}
 
 
 def test_cache_key_and_latest_entry(spark):
@@ -97,11 +120,22 @@ def test_cache_key_and_latest_entry(spark):
     assert [r.key for r in dedup.valid_entries(entries, F.lit(10)).collect()] == ["b"]
 
 
-def test_assembly_in_parts(spark):
-    pages = spark.createDataFrame([(1, n, f"t{n}", 0.5) for n in range(1, 6)], "doc_id long, page_number int, text string, seconds double")
-    rows = files.assemble(pages, pages_per_part=2).orderBy("part").collect()
-    assert [r.part for r in rows] == [0, 1, 2] and [r.n_pages for r in rows] == [2, 2, 1]
-    assert rows[0].text == "\n--- Page 1 ---\nt1\n\n\n--- Page 2 ---\nt2"
+def test_assembly_is_whole(spark):
+    pages = spark.range(1, 10_002).selectExpr("1L as doc_id", "cast(id as int) as page_number", "concat('t', id) as text", "0.5D as seconds")
+    row, = files.assemble(pages).collect()
+    assert row.n_pages == 10_001 and row.seconds == 5000.5
+    assert row.text.startswith("\n--- Page 1 ---\nt1\n\n\n--- Page 2 ---\nt2") and row.text.endswith("\nt10001")
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Cluster()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
 
 
 def test_recogniser_failures_become_rows(spark):
@@ -141,7 +175,12 @@ def test_workflow_policies(spark):
              workflow.Step("c", "explode", condition="cast(null as boolean)")]
     rows = workflow.run(frame, steps).orderBy("n").collect()
     assert (rows[0].a_status, rows[0].b_status, rows[0].c_status, rows[0].workflow_status) == ("completed", "skipped", "completed", "completed")
-    assert (rows[1].a_status, rows[1].b_status, rows[1].c_status, rows[1].workflow_status) == ("failed", "failed", None, "retry")
+    assert (rows[1].a_status, rows[1].b_status, rows[1].c_status, rows[1].workflow_status) == ("failed", "failed", "failed", "failed")
+    odd = ["no_such_name > 1", "cast('x' as int) > 1", "n / 0 > 1", "((", "n = 1"]
+    row = workflow.run(frame.where("n = 1"), [workflow.Step(f"s{i}", "explode", condition=c) for i, c in enumerate(odd)]).first()
+    assert [row[f"s{i}_status"] for i in range(5)] == ["completed"] * 5 and row.workflow_status == "completed"
+    last = workflow.run(frame.where("n = 2"), [workflow.Step("r", "explode", on_failure="retry")]).first()
+    assert (last.r_status, last.workflow_status) == ("failed", "completed")
 
 
 def test_xml_escapes(docs):

@@ -163,3 +163,17 @@ def test_url_pattern_equals_python(docs):
     rows = docs(*urls).select("text", checks.url_error(F.col("text")).alias("e")).collect()
     for r in rows:
         assert (r.e is None) == (not r.text or bool(re.match(C.URL_PATTERN, r.text, re.I))), r.text
+
+
+def test_enums_by_type(docs):
+    def verdict(text, spec):
+        row = schema.extract(docs(text), {"properties": {"rate": spec}}).first()
+        return row.value, row.valid, len(row.errors)
+
+    assert verdict("rate: 1", {"type": "number", "enum": [1, 2.5]})[1:] == (True, 0)
+    assert verdict("rate: 2", {"type": "number", "enum": [1, 2.5]})[1:] == (False, 1)
+    assert verdict("rate: 7", {"type": "integer", "enum": [7]})[1:] == (True, 0)
+    assert verdict("rate: 7", {"type": "integer", "enum": ["7"]})[1:] == (False, 1)
+    assert verdict("rate: yes", {"type": "boolean", "enum": [True]}) == ("true", True, 0)
+    assert verdict("rate: yes", {"type": "boolean", "enum": [False]})[1:] == (False, 1)
+    assert verdict("rate: red", {"type": "string", "enum": ["red"]})[1:] == (True, 0)
