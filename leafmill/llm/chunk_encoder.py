@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: Characters for which lower case and normal form are the same in every library; other chunks go the library's whole way.
 PLAIN = re.compile("[ \n\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
 RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall

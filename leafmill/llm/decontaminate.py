@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import renamed
+from leafmill.llm.common import renamed, sliced
 
 WINDOW = 10
 MAX_BYTES = 32 << 20
@@ -87,7 +87,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             _AUTOMATA.clear()
             _AUTOMATA[key] = automaton(shared.value)
         found = _AUTOMATA[key]
-        for batch in batches:
+        for batch in sliced(batches):
             counts, hits, owners = [], [], []
             old = batch.column("hit_words").to_pylist() if again else None
             old_items = batch.column("items").to_pylist() if again else None

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import renamed
+from leafmill.llm.common import renamed, sliced
 
 ORDERS = 3
 BUCKETS = 8192
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
             letters = [i for i, t in enumerate(texts) if own is not None and has_letter(t)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import shingles
-from leafmill.llm.common import checkpointed
+from leafmill.llm.common import checkpointed, sliced
 from leafmill.llm.components import components
 
 TENTHS = 8
@@ -59,7 +59,7 @@ def facts(docs: DataFrame) -> DataFrame:
     kept, count = LEVELS[0]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lines = [shingles.plain(t or "") for t in batch.column("text").to_pylist()]
             found = np.zeros((len(lines), count), np.uint64)
             for group in _groups(lines):
@@ -80,7 +80,7 @@ def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = rows.join(wanted, same).select(wanted["node"], rows["text"])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lines = [shingles.plain(t) for t in batch.column("text").to_pylist()]
             out: list[bytes] = []
             for group in _groups(lines):
@@ -96,7 +96,7 @@ def finer(seqs: DataFrame, level: int) -> DataFrame:
     kept, count = LEVELS[level]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "seq"):
             own = [np.frombuffer(s, np.uint32) for s in batch.column("seq").to_pylist()]
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int64)
             found = shingles.sketches(np.concatenate([np.zeros(0, np.uint32), *own]), bounds, kept, count, level)

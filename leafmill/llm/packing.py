@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.chunk_encoder import encoder
-from leafmill.llm.common import checkpointed
+from leafmill.llm.common import checkpointed, sliced
 
 PIECES_PER_PART = 50_000
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, ca
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, uid = encoder(tokenizer, pattern, False), TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in sliced(batches):
             ids, bounds = own.encode(batch.column("text"))
             rows = []
             for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.chunk_encoder import encoder
+from leafmill.llm.common import sliced
 
 WRITER = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "compression": "zstd",
           "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
@@ -39,7 +40,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int) ->
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, start = encoder(tokenizer, pattern, True), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids, bounds = own.encode(batch.column("text"))
             n = batch.num_rows
             bounds = bounds + np.arange(n + 1)

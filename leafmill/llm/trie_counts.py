@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import sliced
+
 MARK = "▁"
 MAX_NODES = 700_000
 LONG = 128
@@ -130,7 +132,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
             lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
             bounds = lists.offsets.to_numpy()
