@@ -452,7 +452,7 @@ def _(spark, sf):
 @register("render_line_items", f"""with {INV} select l_orderkey as doc_id, 'Description,Quantity,Unit Price,Total' || chr(10) || string_agg(p_name || ',' || qty || ',' || rate || ',' || amt, chr(10) order by html) as csv,
     '<table><tr><th>Description</th><th>Quantity</th><th>Unit Price</th><th>Total</th></tr>' || string_agg(html, '' order by html) || '</table>' as html from rows_of group by l_orderkey""")
 def _(spark, sf):
-    items = inv(spark, sf).select("doc_id", tables.line_items(tables.html_tables(F.col("text"))).alias("i"))
+    items = inv(spark, sf).select("doc_id", tables.line_items(tables.text_tables(F.col("text"))["own"]).alias("i"))
     return items.select("doc_id", render.items_csv(F.col("i")).alias("csv"), render.items_html(F.col("i")).alias("html"))
 
 
@@ -498,3 +498,42 @@ def _(spark, sf):
 def _(spark, sf):
     path = F.concat(F.lit("a.b/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".PNG").otherwise(".txt"))
     return R.table(spark, sf, "pages").select("page_id", checks.extension_error(path).alias("error"))
+
+
+# --- tables inside tables ------------------------------------------------------------------------
+
+_FORMS = """f as (select c_custkey as doc_id, c_name as cname, c_mktsegment as seg, '<table><tr><td>in</td><td>' || c_mktsegment || '</td></tr></table>' as inner_html from customer),
+    h as (select *, '<table><tr><td>A ' || cname || inner_html || '</td><td>B</td></tr><tr><td>C</td><td>D ' || doc_id || '</td></tr></table>' as outer_html,
+      '<table><tr><th>open<td>cell ' || doc_id as last_html from f)"""
+_OUTER_CSV = "'0,1' || chr(10) || 'A ' || cname || 'in' || seg || ',B' || chr(10) || 'C,D ' || doc_id || chr(10)"
+
+
+@register("nested_page_records", f"""with {_FORMS} select doc_id, 1 as page_number, outer_html || '|' || inner_html as html, {_OUTER_CSV} || '|0,1' || chr(10) || 'in,' || seg || chr(10) as csv from h
+    union all select doc_id, 2, last_html, 'open,cell ' || doc_id || chr(10) from h""")
+def _(spark, sf):
+    rows = T.unnest(pages.parse_documents(R.forms(spark, sf)), ["doc_id"], F.col("pages")).select("doc_id", "_item.*")
+    return rows.select("doc_id", "page_number", F.array_join("tables_html", "|").alias("html"), F.array_join("tables_csv", "|").alias("csv"))
+
+
+@register("nested_content_counts", "select c_custkey as doc_id, 2::bigint as n_pages, 3::bigint as n_tables from customer")
+def _(spark, sf):
+    return pages.content_counts(R.forms(spark, sf)).select("doc_id", "n_pages", "n_tables")
+
+
+@register("nested_cells", f"""with {_FORMS}, c as (select *, unnest([[1, 0, 0], [1, 0, 1], [1, 1, 0], [1, 1, 1], [2, 0, 0], [2, 0, 1], [3, 0, 0], [3, 0, 1]]) as p,
+    unnest(['A ' || cname || 'in' || seg, 'B', 'C', 'D ' || doc_id, 'in', seg, 'open', 'cell ' || doc_id]) as text from h)
+    select doc_id, p[1] as table_index, p[2] as row, p[3] as col, p[1] = 3 and p[3] = 0 as is_header, text from c""")
+def _(spark, sf):
+    return tables.cells(tables.table_rows(R.forms(spark, sf), ["doc_id"]), ["doc_id", "table_index"])
+
+
+@register("nested_listing", f"with {_FORMS} select doc_id, outer_html || chr(10) || inner_html || chr(10) || last_html as listing from h")
+def _(spark, sf):
+    return pages.parse_documents(R.forms(spark, sf)).select("doc_id", render.tables_html(F.col("pages")).alias("listing"))
+
+
+@register("nested_records", "select c_custkey as doc_id, 3::bigint as n_tables, '2|1' as per_page from customer")
+def _(spark, sf):
+    records = fields.structured_records(R.forms(spark, sf))
+    return records.select("doc_id", F.size("tables_html").cast("bigint").alias("n_tables"), F.array_join(F.transform(
+        "pages", lambda p: F.size(p["tables_html"]).cast("string")), "|").alias("per_page"))

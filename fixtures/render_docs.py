@@ -88,3 +88,13 @@ def localised(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              "fr", "Numéro de facture", "de", "Rechnungsnummer")])
     line = F.concat(F.lit("\n"), label[F.col("lang")], F.lit(": N-"), F.col("doc_id").cast("string"), F.lit("\n"))
     return docs.select("doc_id", "lang", F.concat("text", line).alias("text"))
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form per customer with a table inside a cell, a table in a comment, and one that is never closed."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(
+        F.lit("\n--- Page 1 ---\nForm\n<table><tr><td>A "), "c_name", F.lit("<table><tr><td>in</td><td>"), "c_mktsegment",
+        F.lit("</td></tr></table></td><td>B</td></tr><tr><td>C</td><td>D "), key,
+        F.lit("</td></tr></table>\n<!-- <table><tr><td>no</td></tr></table> -->\n--- Page 2 ---\n<table><tr><th>open<td>cell "), key)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))

@@ -166,15 +166,15 @@ def structured_records(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         id_col, *keep, "_t", "_f", "document_type", F.bround("confidence", 2).alias("confidence"))
     spoken = language.detect(typed, id_col, "_t", [*keep, "_t", "_f", "document_type", "confidence"])
     text = F.col("_t")
+    spoken = pages.with_tables(spoken, text).withColumn("_all", tables.text_tables(text))
     return spoken.select(
         id_col, *keep, "document_type", "confidence", "language",
         structured_array(text, F.col("_f"), F.col("document_type")).alias("extracted_fields"),
-        tables.html_tables(text).alias("tables_html"),
+        F.col("_all.html").alias("tables_html"),
         F.transform(F.slice(entities.entity_array(text), 1, C.ENTITY_LIMIT),
                     lambda e: F.struct(e["type"], e["value"], F.lit(C.ENTITY_CONFIDENCE).alias("confidence"))
                     ).alias("entities"),
-        pages.parsed_array(text).alias("pages"),
-    ).withColumn("line_items", tables.line_items(F.col("tables_html")))
+        pages.parsed_array().alias("pages"), tables.line_items(F.col("_all.own")).alias("line_items"))
 
 
 # --- money ------------------------------------------------------------------------------

@@ -83,7 +83,6 @@ def checkboxes(text: Column) -> Column:
 
 
 ELEMENTS = {
-    "tables_html": tables.html_tables,
     "latex_equations": equations,
     "image_descriptions": images,
     "watermarks": watermarks,
@@ -92,8 +91,14 @@ ELEMENTS = {
 }
 
 
+def table_columns(found: Column) -> dict[str, Column]:
+    """Source and CSV of the tables found in a page."""
+    return {"tables_html": found["html"],
+            "tables_csv": F.transform(found, lambda t: tables.csv_text(t["own"]))}
+
+
 def page_record(text: Column, environments_only: bool = False) -> dict[str, Column]:
-    """All element columns of a page text, by output name."""
+    """All element columns of a page text but its tables, by output name."""
     cols = {name: make(text) for name, make in ELEMENTS.items()}
     if environments_only:
         cols["latex_equations"] = environment_equations(text)
@@ -104,37 +109,34 @@ def page_record(text: Column, environments_only: bool = False) -> dict[str, Colu
 
 def parse_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 environments_only: bool = False) -> DataFrame:
-    """Full page record, one row per page.
-
-    Tables are found first in their own projection because nested ones go through
-    an Arrow function; their CSV form reads that result.
-    """
-    pages = split_pages(docs, id_col, text_col)
-    cols = page_record(F.col("text"), environments_only)
-    pages = pages.withColumn("tables_html", cols.pop("tables_html"))
+    """Full page record, one row per page."""
+    pages = split_pages(docs, id_col, text_col).withColumn("_found", tables.text_tables(F.col("text")))
     return pages.select(
-        id_col, "page_number", "marker_no", F.col("text").alias("raw_text"), "tables_html",
-        F.transform("tables_html", tables.csv_text).alias("tables_csv"),
-        *[c.alias(n) for n, c in cols.items()])
+        id_col, "page_number", "marker_no", F.col("text").alias("raw_text"),
+        *[c.alias(n) for n, c in table_columns(F.col("_found")).items()],
+        *[c.alias(n) for n, c in page_record(F.col("text"), environments_only).items()])
 
 
-def parsed_array(text: Column) -> Column:
-    """Page records of one document inside its row (no shuffle): array of structs."""
+def with_tables(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with ``_pages`` (``page_array``) and ``_found``, the tables of each page."""
+    paged = docs.withColumn("_pages", page_array(text))
+    return paged.withColumn("_found", tables.found_tables(F.transform("_pages", lambda p: p["text"])))
+
+
+def parsed_array() -> Column:
+    """Page records of a document inside its row (no shuffle), from the columns of ``with_tables``."""
     def record(page: Column, found: Column) -> Column:
         body = page["text"]
         return F.struct(
-            page["page_number"].alias("page_number"), body.alias("raw_text"), found.alias("tables_html"),
-            F.transform(found, tables.csv_text).alias("tables_csv"),
-            *[ELEMENTS[n](body).alias(n) for n in ELEMENTS if n != "tables_html"])
+            page["page_number"].alias("page_number"), body.alias("raw_text"),
+            *[c.alias(n) for n, c in table_columns(found).items()], *[ELEMENTS[n](body).alias(n) for n in ELEMENTS])
 
-    return F.transform(page_array(text), lambda p: T.let(
-        tables.flat_html_tables(p["text"]), lambda found: record(p, found)))
+    return F.transform("_pages", lambda p, i: T.let(F.get(F.col("_found"), i), lambda found: record(p, found)))
 
 
 def parse_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with ``pages`` as a nested array.  Tables inside tables are
-    listed by ``parse_pages``; here the outermost match of each is kept."""
-    return docs.select(id_col, parsed_array(F.col(text_col)).alias("pages"))
+    """One row per document with ``pages`` as a nested array, the same records as ``parse_pages``."""
+    return with_tables(docs.select(id_col, text_col), F.col(text_col)).select(id_col, parsed_array().alias("pages"))
 
 
 def element_flags(text: Column) -> dict[str, Column]:
@@ -148,15 +150,13 @@ def element_flags(text: Column) -> dict[str, Column]:
 
 def content_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Elements per document, summed over its pages within the row."""
-    pages = F.col("pages")
-
     def count(make) -> Column:
-        return F.aggregate(pages, F.lit(0).cast("bigint"), lambda acc, p: acc + F.size(make(p["text"])))
+        return F.aggregate("_pages", F.lit(0).cast("bigint"), lambda acc, p: acc + F.size(make(p["text"])))
 
-    return docs.select(id_col, page_array(F.col(text_col)).alias("pages")).select(
-        id_col, F.size(pages).cast("bigint").alias("n_pages"),
-        count(tables.flat_html_tables).alias("n_tables"), count(equations).alias("n_equations"),
-        count(images).alias("n_images"), count(watermarks).alias("n_watermarks"))
+    return with_tables(docs.select(id_col, text_col), F.col(text_col)).select(
+        id_col, F.size("_pages").cast("bigint").alias("n_pages"),
+        F.aggregate("_found", F.lit(0).cast("bigint"), lambda acc, t: acc + F.size(t)).alias("n_tables"),
+        count(equations).alias("n_equations"), count(images).alias("n_images"), count(watermarks).alias("n_watermarks"))
 
 
 def text_statistics(text: Column) -> dict[str, Column]:

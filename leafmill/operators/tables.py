@@ -2,7 +2,8 @@
 
 Ordinary tables are cut out with native regexes.  Text whose tables are nested or
 badly closed goes through one Arrow function over the standard HTML tokenizer;
-other rows send it NULL, so their text is not shipped to Python.
+other rows send it NULL, so their text is not shipped to Python.  Row, cell and CSV functions take a
+table's ``own`` form (for an ordinary table that is its source).
 Cell text is kept as written: no number inference.
 """
 
@@ -20,62 +21,140 @@ from leafmill.functions.regex import java
 _TABLE = r"(?is)<table\b[^>]*>.*?</table\s*>"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 _CELL = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"
+#: A table's source, and its own level with all rows and cells closed (see ``found_tables``).
+TABLES = "array<struct<html:string,own:string>>"
 _ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
-def flat_html_tables(text: Column) -> Column:
-    """Tables that do not contain tables, as source text."""
-    return F.regexp_extract_all(text, F.lit(_TABLE), F.lit(0))
+def flat_tables(text: Column) -> Column:
+    """``TABLES`` of a text without nested or odd tables: the source is its own level."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_TABLE), F.lit(0)),
+                       lambda t: F.struct(t.alias("html"), t.alias("own")))
 
 
 def needs_tokenizer(text: Column) -> Column:
-    """Nested or unclosed tables, or table tags that may sit in comments or scripts."""
-    pieces = F.split(text, r"(?i)</table")
-    opens = F.transform(pieces, lambda p: F.regexp_count(p, F.lit(r"(?i)<table\b")))
-    last = F.size(pieces) - 1
-    odd = F.exists(F.transform(opens, lambda n, i: F.when(i < last, n > 1).otherwise(n > 0)), lambda x: x)
-    return text.rlike(r"(?i)<table\b") & (odd | text.rlike(r"(?i)<!--|<script|<style"))
+    """Nested or unclosed tables (more opening tags than flat tables), or table tags that may sit in comments or
+    scripts."""
+    opens, flat = (F.regexp_count(text, F.lit(p)) for p in (r"(?i)<table\b", _TABLE))
+    return text.rlike(r"(?i)<table\b") & ((opens != flat) | text.rlike(r"(?i)<!--|<script|<style"))
 
 
-def _tokenized_tables(text: Column) -> Column:
-    """Arrow function: source text of every table element, in order of the opening tags."""
+def _tokenized_tables(texts: Column) -> Column:
+    """Arrow function over arrays of texts: ``TABLES`` of each, in order of the opening tags.
 
-    @pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
+    ``html`` is the source from the opening tag to its end.  ``own`` repeats the rows and cells of the
+    table's own level, each closed, with the text of everything inside; tags of inner levels become ``<x>``.
+    """
+
+    @pandas_udf(f"array<{TABLES}>")
+    def run(rows: pd.Series) -> pd.Series:
         from html.parser import HTMLParser
 
-        class Spans(HTMLParser):
+        class Tables(HTMLParser):
             def __init__(self, source: str):
                 super().__init__(convert_charrefs=False)
-                self.source, self.stack, self.spans, self.lines = source, [], [], [0]
+                self.source, self.open, self.found, self.lines = source, [], [], [0]
                 for line in source.split("\n"):
                     self.lines.append(self.lines[-1] + len(line) + 1)
                 self.feed(source)
                 self.close()
+                for table in self.open:
+                    self.finish(table, len(source))
 
             def here(self) -> int:
-                line, col = self.getpos()
-                return self.lines[line - 1] + col
+                line, column = self.getpos()
+                return self.lines[line - 1] + column
+
+            def put(self, piece: str, outer_only: bool = False) -> None:
+                for table in self.open[:-1] if outer_only else self.open:
+                    if table["cell"]:
+                        table["own"].append(piece)
+
+            def end_cell(self, table: dict) -> None:
+                if table["cell"]:
+                    table["own"].append(f"</{table['cell']}>")
+                    table["cell"] = None
+
+            def end_row(self, table: dict) -> None:
+                self.end_cell(table)
+                if table["row"]:
+                    table["own"].append("</tr>")
+                    table["row"] = False
+
+            def finish(self, table: dict, end: int) -> None:
+                self.end_row(table)
+                table["own"].append("</table>")
+                table["end"] = end
 
             def handle_starttag(self, tag, attrs):
                 if tag == "table":
-                    self.stack.append(len(self.spans))
-                    self.spans.append([self.here(), len(self.source)])
+                    self.put("<x>")
+                    table = {"start": self.here(), "own": ["<table>"], "cell": None, "row": False}
+                    self.open.append(table)
+                    self.found.append(table)
+                elif self.open and tag in ("tr", "td", "th"):
+                    self.put("<x>", outer_only=True)
+                    table = self.open[-1]
+                    (self.end_row if tag == "tr" else self.end_cell)(table)
+                    if not table["row"]:
+                        table["own"].append("<tr>")
+                        table["row"] = True
+                    if tag != "tr":
+                        table["own"].append(f"<{tag}>")
+                        table["cell"] = tag
+                else:
+                    self.put("<x>")
 
             def handle_endtag(self, tag):
-                if tag == "table" and self.stack:
+                if tag == "table" and self.open:
                     end = self.source.find(">", self.here())
-                    self.spans[self.stack.pop()][1] = len(self.source) if end < 0 else end + 1
+                    self.finish(self.open.pop(), len(self.source) if end < 0 else end + 1)
+                    self.put("<x>")
+                elif self.open and tag in ("tr", "td", "th"):
+                    (self.end_row if tag == "tr" else self.end_cell)(self.open[-1])
+                    self.put("<x>", outer_only=True)
+                else:
+                    self.put("<x>")
+
+            def handle_data(self, data):
+                if self.cdata_elem is None:
+                    self.put(data)
+
+            def handle_entityref(self, name):
+                self.put(self.source[self.here():self.here() + len(name) + 2] if self.source[
+                    self.here() + len(name) + 1:][:1] == ";" else f"&{name}")
+
+            def handle_charref(self, name):
+                self.put(f"&#{name};")
+
+        def tables(text: str | None) -> list | None:
+            return None if text is None else [
+                {"html": text[t["start"]:t["end"]], "own": "".join(t["own"])} for t in Tables(text).found]
+
+        return rows.map(lambda texts: None if texts is None else [tables(t) for t in texts])
+
+    # the optimizer must not move the call into a lambda of a later projection, where it cannot run
+    return run.asNondeterministic()(texts)
+
+
+def found_tables(texts: Column) -> Column:
+    """For an array of texts, every table of each, outer and inner ones both, as ``array<TABLES>``.
+
+    This is the one table list that records, counts, cells and renderers share.  Only arrays with a text
+    that needs the tokenizer leave the JVM.
+    """
+    hard = F.exists(texts, needs_tokenizer)
+    return F.coalesce(_tokenized_tables(F.when(hard, texts)), F.transform(texts, flat_tables))
 
-        return texts.map(lambda t: None if t is None else [t[a:b] for a, b in Spans(t).spans])
 
-    return run(text)
+def text_tables(text: Column) -> Column:
+    """``TABLES`` of one text."""
+    return F.get(found_tables(F.array(text)), F.lit(0))
 
 
 def html_tables(text: Column) -> Column:
-    """Every table of a text, outer and inner ones both."""
-    hard = F.when(needs_tokenizer(text), text)
-    return F.coalesce(_tokenized_tables(hard), flat_html_tables(text))
+    """Source of every table of a text, outer and inner ones both."""
+    return text_tables(text)["html"]
 
 
 def cell_text(cell: Column) -> Column:
@@ -113,14 +192,14 @@ def csv_text(table: Column) -> Column:
 
 
 def table_rows(pages: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """One row per table: keys, table_index (from 1), html."""
-    return T.unnest(pages, keys, html_tables(F.col(text_col))).select(
-        *keys, (F.col("_pos") + 1).alias("table_index"), F.col("_item").alias("html"))
+    """One row per table: keys, table_index (from 1), html, own."""
+    return T.unnest(pages, keys, text_tables(F.col(text_col))).select(
+        *keys, (F.col("_pos") + 1).alias("table_index"), "_item.html", "_item.own")
 
 
 def cells(table_df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per cell: keys, row, col (from 0), is_header, text."""
-    rows = T.unnest(table_df, keys, F.regexp_extract_all("html", F.lit(_ROW), F.lit(1)), "row")
+    """One row per cell of ``table_rows``: keys, row, col (from 0), is_header, text."""
+    rows = T.unnest(table_df, keys, F.regexp_extract_all("own", F.lit(_ROW), F.lit(1)), "row")
     whole = F.regexp_extract_all("_item", F.lit(r"(?is)<t[hd]\b[^>]*>.*?</t[hd]\s*>"), F.lit(0))
     found = T.unnest(rows, [*keys, "row"], whole, "col")
     return found.select(*keys, "row", "col", F.col("_item").rlike(r"(?i)^<th\b").alias("is_header"),
@@ -164,11 +243,11 @@ def table_line_items(table: Column) -> Column:
 
 
 def line_items(table_arr: Column) -> Column:
-    """Line items of all tables of a document, in table order."""
+    """Line items of all tables (own form) of a document, in table order."""
     return F.flatten(F.transform(table_arr, table_line_items))
 
 
 def line_item_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line item of each document."""
-    found = docs.select(id_col, html_tables(F.col(text_col)).alias("t"))
-    return T.unnest(found, [id_col], line_items(F.col("t")), "item_index").select(id_col, "item_index", "_item.*")
+    found = docs.select(id_col, text_tables(F.col(text_col)).alias("t"))
+    return T.unnest(found, [id_col], line_items(F.col("t.own")), "item_index").select(id_col, "item_index", "_item.*")

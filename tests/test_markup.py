@@ -48,6 +48,18 @@ def test_nested_and_unclosed_tables(docs):
     assert found[1].t == ["<TABLE><tr><td>1</td></tr>"]
 
 
+def test_own_level(docs):
+    text = "<table><tr><td>A<table><tr><td>in<td>&amp;2</table></td><td>B<tr><th>C<script>x</script></table><table><td>loose"
+    found = docs(text).select(tables.text_tables(F.col("text")).alias("t")).first().t
+    assert [t.own for t in found] == [
+        "<table><tr><td>A<x><x><x>in<x>&amp;2<x></td><td>B</td></tr><tr><th>C<x><x></th></tr></table>",
+        "<table><tr><td>in</td><td>&amp;2</td></tr></table>", "<table><tr><td>loose</td></tr></table>"]
+    parsed = pages.parse_documents(docs(text)).first().pages[0]
+    whole = pages.parse_pages(docs(text)).first()
+    assert (parsed.tables_html, parsed.tables_csv) == (whole.tables_html, whole.tables_csv) and len(parsed.tables_html) == 3
+    assert pages.content_counts(docs(text)).first().n_tables == 3
+
+
 def test_line_items(docs):
     table = ("<table><tr><th>Item</th><th>Qty</th><th>Unit Price</th><th>Total</th><th>Other</th></tr>"
              "<tr><td>Widget A\nFurniture, FUR-CH-1000</td><td>5</td><td>$10</td><td><b>$50</b></td><td>z</td></tr>"
