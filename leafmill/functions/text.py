@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -161,3 +162,44 @@ def quote_csv(col: Column) -> Column:
 def bankers_round(col: Column, digits: int) -> Column:
     """Half-even rounding of a double."""
     return F.bround(col, digits)
+
+
+#: A character reference: decimal, hexadecimal, or a name; the names of old may lack the semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+
+def _numbered_character(number: Column) -> Column:
+    """Character of a numeric reference by the HTML standard: bytes 128 to 159 mean their Windows characters,
+    impossible numbers the replacement character, and control or non-characters nothing."""
+    windows = bytes(range(128, 160)).decode("cp1252", "replace")
+    windows = "".join(chr(128 + i) if c == "\ufffd" else c for i, c in enumerate(windows))
+    plane = F.pmod(number, F.lit(65536))
+    nothing = (number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127)
+               | number.between(0xFDD0, 0xFDEF) | (plane >= 0xFFFE))
+    encoded = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd").when(
+        number.between(128, 159), F.substring(F.lit(windows), (number - 127).cast("int"), F.lit(1))).when(
+        nothing, "").otherwise(encoded)
+
+
+def html_unescape(col: Column) -> Column:
+    """Decode all character references in one pass, so that what a reference yields is not decoded again."""
+    names = constant({name: char for name, char in html5.items()}, "map<string,string>")
+    old = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+
+    def named(name: Column) -> Column:
+        start = F.regexp_extract(name, old, 0)
+        return F.coalesce(F.try_element_at(names, name), F.concat(
+            F.try_element_at(names, start), F.substring(name, F.length(start) + 1, F.length(name))), F.concat(F.lit("&"), name))
+
+    def decoded(ref: Column) -> Column:
+        decimal = F.regexp_extract(ref, "^&#([0-9]+)", 1).try_cast("bigint")
+        digits = F.ltrim(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
+        hexadecimal = F.when(F.length(digits) <= 8, F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("bigint"))
+        return F.when(ref.rlike("^&#[xX]"), _numbered_character(hexadecimal)).when(
+            ref.startswith("&#"), _numbered_character(decimal)).otherwise(named(F.substring(ref, F.lit(2), F.length(ref))))
+
+    refs = F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0))
+    whole = let(refs, lambda found: F.array_join(F.transform(F.split(col, REFERENCE), lambda piece, i: F.concat(
+        piece, F.coalesce(decoded(F.get(found, i)), F.lit("")))), ""))
+    return F.when(col.contains("&"), whole).otherwise(col)

@@ -23,7 +23,6 @@ _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 _CELL = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"
 #: A table's source, and its own level with all rows and cells closed (see ``found_tables``).
 TABLES = "array<struct<html:string,own:string>>"
-_ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
 def flat_tables(text: Column) -> Column:
@@ -159,10 +158,7 @@ def html_tables(text: Column) -> Column:
 
 def cell_text(cell: Column) -> Column:
     """Text of one cell: the pieces between tags, each stripped, joined without a gap."""
-    bare = F.regexp_replace(cell, java(r"\s*<[^>]*>\s*"), "")
-    for name, char in _ENTITIES:
-        bare = F.replace(bare, F.lit(name), F.lit(char))
-    return T.strip(bare)
+    return T.strip(T.html_unescape(F.regexp_replace(cell, java(r"\s*<[^>]*>\s*"), "")))
 
 
 def rows_of(table: Column) -> Column:

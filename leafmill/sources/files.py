@@ -83,16 +83,12 @@ def assemble(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page_num
 
 
 _HIDDEN = r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(script|style)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&amp;", "&")]
 
 
 def html_text(html: Column) -> Column:
     """Visible text of a page, one stripped text node per line.  Comments, scripts and styles are left out."""
     body = F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), r"<[^>]*>", "\u0001")
-    for name, char in _ENTITIES:
-        body = F.replace(body, F.lit(name), F.lit(char))
-    return F.array_join(T.non_blank(F.split(body, "\u0001")), "\n")
+    return F.array_join(T.non_blank(F.split(T.html_unescape(body), "\u0001")), "\n")
 
 
 def list_objects(objects: DataFrame, prefix: str, max_keys: int = 1000) -> DataFrame:

@@ -1,3 +1,4 @@
+import html
 import random
 import re
 
@@ -177,3 +178,11 @@ def test_enums_by_type(docs):
     assert verdict("rate: yes", {"type": "boolean", "enum": [True]}) == ("true", True, 0)
     assert verdict("rate: yes", {"type": "boolean", "enum": [False]})[1:] == (False, 1)
     assert verdict("rate: red", {"type": "string", "enum": ["red"]})[1:] == (True, 0)
+
+
+def test_html_references(docs):
+    texts = ["caf&#233; &eacute; &mdash; &copy; &middot;", "&amp;lt; &amp;amp;", "&lt;b&gt; &nbsp;x", "&notit; &copy2 &copyx; &unknown; & &; &#; &#x; &a",
+             "&#x1F600; &#128; &#x81; &#0; &#xD800; &#x110000; &#99999999999999999999; &#xFFFFFFFFFF; &#1; &#xFDD0; &#x1FFFF;", "&acE; &NotEqualTilde; &AMP &LT;&GT",
+             "no reference", "", "&#65", "&frac12;&there4;"]
+    got = [r.u for r in docs(*texts).orderBy("doc_id").select(T.html_unescape(F.col("text")).alias("u")).collect()]
+    assert got == [html.unescape(t) for t in texts]
