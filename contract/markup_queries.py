@@ -8,7 +8,7 @@ from contract import sql as S
 from fixtures import render_docs as R
 from leafmill.functions import catalog as C
 from leafmill.functions import text as T
-from leafmill.operators import checks, classify, entities, fields, pages, schema, tables
+from leafmill.operators import checks, classify, entities, fields, language, pages, schema, tables
 from leafmill.plans import render, workflow
 from leafmill.sources import files
 
@@ -310,12 +310,14 @@ def _(spark, sf):
         "doc_id", F.size("m").cast("bigint").alias("n_values"), F.col("m")["invoice_date"].alias("invoice_date"))
 
 
-@register("schema_receipt", """select o_orderkey as doc_id, f as field, v as value, c as confidence from (select o_orderkey,
-    unnest(['store_name', 'date', 'receipt_number']) as f, unnest(['Receipt # R' || o_orderkey, strftime(o_orderdate, '%m-%d-%Y'), 'Corner Store']) as v,
-    unnest([0.85, 0.9, 0.5])::double as c from orders)""")
+@register("schema_receipt", """select o_orderkey as doc_id, f as field, v as text_value, n as number_value, c as confidence from (select o_orderkey,
+    unnest(['store_name', 'date', 'receipt_number', 'payment_method', 'total_amount']) as f, unnest(['Receipt # R' || o_orderkey, strftime(o_orderdate, '%m-%d-%Y'), 'Corner Store', null, null]) as v,
+    unnest([null, null, null, null, o_orderkey::double]) as n, unnest([0.85, 0.9, 0.5, 0.5, 0.5])::double as c from orders)""")
 def _(spark, sf):
     rows = schema.extract(R.receipts(spark, sf), C.RECEIPT_SCHEMA)
-    return rows.filter(F.col("field").isin("store_name", "date", "receipt_number")).select("doc_id", "field", "value", "confidence")
+    number = F.col("field") == "total_amount"
+    return rows.select("doc_id", "field", F.when(~number, F.col("value")).alias("text_value"),
+                       F.when(number, F.col("value")).try_cast("double").alias("number_value"), "confidence")
 
 
 _TYPES = {"quantity": {"type": "integer", "minimum": 10, "maximum": 40}, "flag": {"type": "boolean"},
@@ -537,3 +539,43 @@ def _(spark, sf):
     records = fields.structured_records(R.forms(spark, sf))
     return records.select("doc_id", F.size("tables_html").cast("bigint").alias("n_tables"), F.array_join(F.transform(
         "pages", lambda p: F.size(p["tables_html"]).cast("string")), "|").alias("per_page"))
+
+
+# --- papers of every type --------------------------------------------------------------------
+
+_PAPER_TYPE = f"{R.PAPER_TYPES!r}[c_custkey % 10 + 1]"
+
+
+@register("paper_types", f"select c_custkey as doc_id, {_PAPER_TYPE} as document_type from customer")
+def _(spark, sf):
+    return classify.classify(R.papers(spark, sf)).select("doc_id", "document_type")
+
+
+_PAPER_FIELDS = f"""c as (select c_custkey as doc_id, c_custkey % 10 as k, c_name as name, c_mktsegment as seg, lpad(c_custkey::varchar, 8, '0') as padded,
+      {_money('abs(c_acctbal)')} as amount from customer),
+    fields as (select doc_id, 'contract' as document_type, unnest(['contract_date', 'parties', 'effective_date', 'date']) as field,
+        unnest(['March 5, 2024', name || ' and Acme', '04/01/2024', '04/01/2024']) as value from c where k = 2
+      union all select doc_id, 'id_document', unnest(['document_number', 'full_name', 'date_of_birth', 'expiration_date', 'issue_date', 'address']),
+        unnest(['D' || padded, 'Jane Doe' || chr(10) || 'Date of Birth', '01/02/1980', '05/06/2030', '07/08/2020', seg || ' street']) from c where k = 6
+      union all select doc_id, 'tax_document', unnest(['tax_year', 'form_type', 'taxpayer_name', 'ssn', 'gross_income', 'tax_due', 'refund']),
+        unnest(['2023', '1040', name, 'XXX-XX-' || lpad(doc_id::varchar, 4, '0'), amount, '10.50', '1.25']) from c where k = 8
+      union all select doc_id, 'medical', unnest(['patient_name', 'patient_id', 'provider', 'diagnosis', 'visit_date', 'facility', 'date']),
+        unnest(['Name', 'M' || padded, 'Dr. Who', 'cold', '09/10/2024', seg, '09/10/2024']) from c where k = 9)"""
+
+
+@register("paper_fields", f"with {_PAPER_FIELDS} select * from fields")
+def _(spark, sf):
+    rows = fields.structured_rows(R.papers(spark, sf))
+    return rows.filter(F.col("document_type").isin("contract", "id_document", "tax_document", "medical"))
+
+
+@register("paper_key_points", """select c_custkey as doc_id, unnest([0, 1, 2, 3])::int as pos, unnest(['First point of ' || c_custkey, 'Second point',
+    'keep ' || lpad(c_custkey::varchar, 8, '0'), 'read section 4']) as point from customer where c_custkey % 10 = 5""")
+def _(spark, sf):
+    points = R.papers(spark, sf).select("doc_id", F.posexplode_outer(entities.key_points(F.col("text"))).alias("pos", "point"))
+    return points.filter((F.col("doc_id") % 10 == 5) & F.col("pos").isNotNull())
+
+
+@register("languages_of_all", f"select o_orderkey as doc_id, {list(R.TONGUES)!r}[o_orderkey % {len(R.TONGUES)} + 1] as language from orders")
+def _(spark, sf):
+    return language.detect(R.tongues(spark, sf)).select("doc_id", "language")

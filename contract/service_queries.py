@@ -326,27 +326,36 @@ def _(spark, sf):
 
 def _typed_messages(spark, sf):
     kind = F.when(F.col("event_type") == "error", "document.failed").when(
-        F.col("event_type") == "purchase", "document.processed").otherwise("user.invited")
-    data = F.create_map(F.lit("document_id"), F.col("event_id").cast("string"), F.lit("error"), F.lit("timeout"),
-                        F.lit("pages"), F.lit("3"), F.lit("processing_time"), F.lit("1s"))
+        F.col("event_type") == "purchase", "document.processed").when(F.col("event_type") == "view", "export.completed").when(
+        F.col("event_type") == "click", "quota.warning").otherwise("user.invited")
+    number = F.col("event_id").cast("string")
+    data = F.create_map(F.lit("document_id"), number, F.lit("error"), F.lit("timeout"), F.lit("pages"), F.lit("3"),
+                        F.lit("processing_time"), F.lit("1s"), F.lit("export_id"), number, F.lit("format"), F.lit("csv"),
+                        F.lit("records"), number, F.lit("current"), F.lit("80"), F.lit("limit"), F.lit("100"))
     return B.events(spark, sf).select("event_id", kind.alias("kind"), data.alias("data"))
 
 
 _OK = C.MESSAGE_TEMPLATES["document.processed"][1]
 _BAD = C.MESSAGE_TEMPLATES["document.failed"][1]
+_EXPORT = C.MESSAGE_TEMPLATES["export.completed"][1]
+_QUOTA = C.MESSAGE_TEMPLATES["quota.warning"][1]
 
 
-@register("notification_mails", f"""select event_id, case event_type when 'error' then 'Document Processing Failed' when 'purchase' then 'Document Processing Complete' else 'Notification' end as subject,
+@register("notification_mails", f"""select event_id, case event_type when 'error' then 'Document Processing Failed' when 'purchase' then 'Document Processing Complete'
+      when 'view' then 'Data Export Complete' when 'click' then 'Usage Quota Warning' else 'Notification' end as subject,
     case event_type when 'error' then replace(replace({S.q(_BAD)}, '{{document_id}}', event_id::varchar), '{{error}}', 'timeout')
     when 'purchase' then replace(replace(replace({S.q(_OK)}, '{{document_id}}', event_id::varchar), '{{pages}}', '3'), '{{processing_time}}', '1s')
+    when 'view' then replace(replace(replace({S.q(_EXPORT)}, '{{export_id}}', event_id::varchar), '{{format}}', 'csv'), '{{records}}', event_id::varchar)
+    when 'click' then replace(replace({S.q(_QUOTA)}, '{{current}}', '80'), '{{limit}}', '100')
     else '<p>You have a new notification.</p>' end as body from events""")
 def _(spark, sf):
     return _typed_messages(spark, sf).select("event_id", notify.mail_message(F.col("kind"), F.col("data")).alias("m")).select("event_id", "m.*")
 
 
-@register("notification_chats", """select event_id, case event_type when 'error' then '#ff0000' when 'purchase' then '#36a64f' else '#808080' end as color,
-    case event_type when 'error' then ':x: Document Processing Failed' when 'purchase' then ':white_check_mark: Document Processed' else 'Notification' end as title,
-    'Document Id=' || event_id || ',Error=timeout,Pages=3,Processing Time=1s' as fields from events""")
+@register("notification_chats", """select event_id, case event_type when 'error' then '#ff0000' when 'purchase' then '#36a64f' when 'view' then '#2196f3' when 'click' then '#ff9800' else '#808080' end as color,
+    case event_type when 'error' then ':x: Document Processing Failed' when 'purchase' then ':white_check_mark: Document Processed'
+      when 'view' then ':outbox_tray: Export Completed' when 'click' then ':warning: Quota Warning' else 'Notification' end as title,
+    'Document Id=' || event_id || ',Error=timeout,Pages=3,Processing Time=1s,Export Id=' || event_id || ',Format=csv,Records=' || event_id || ',Current=80,Limit=100' as fields from events""")
 def _(spark, sf):
     made = _typed_messages(spark, sf).select("event_id", notify.chat_message(F.col("kind"), F.col("data")).alias("m"))
     return made.select("event_id", "m.color", "m.title", F.array_join(F.transform(
@@ -596,13 +605,14 @@ def _(spark, sf):
     return rows.groupBy("user_id").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
 
 
-_TYPED = f"with src as (select doc_id, text from documents), {S.type_scores_sql('src')}, {S.best_type_sql()}"
-
-
-@register("stream_documents", f"{_TYPED} select doc_id, document_type from best")
+@register("stream_documents", f"""select c_custkey as doc_id, {R.PAPER_TYPES!r}[c_custkey % 10 + 1] as document_type,
+    case c_custkey % 10 when 2 then 4 when 6 then 6 when 8 then 7 when 9 then 7 end::bigint as n_fields, 1::bigint as n_pages from customer""")
 def _(spark, sf):
     base = scratch(spark)
-    _docs(spark, sf).repartition(8).write.parquet(f"{base}/in")
-    stream = documents.read_new_documents(spark, f"{base}/in", "doc_id bigint, text string")
-    documents.run_available(documents.stream_records(stream).select("doc_id", "document_type"), f"{base}/out", f"{base}/checkpoint")
+    R.papers(spark, sf).repartition(8).write.parquet(f"{base}/in")
+    stream = documents.read_new_documents(spark, f"{base}/in", "doc_id bigint, text string", files_per_batch=2)
+    listed = F.col("document_type").isin("contract", "id_document", "tax_document", "medical")
+    rows = documents.stream_records(stream).select("doc_id", "document_type", F.when(listed, F.size("extracted_fields").cast(
+        "bigint")).alias("n_fields"), F.size("pages").cast("bigint").alias("n_pages"))
+    documents.run_available(rows, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")

@@ -98,3 +98,51 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</td></tr></table></td><td>B</td></tr><tr><td>C</td><td>D "), key,
         F.lit("</td></tr></table>\n<!-- <table><tr><td>no</td></tr></table> -->\n--- Page 2 ---\n<table><tr><th>open<td>cell "), key)
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+
+
+PAPER_TYPES = ["invoice", "receipt", "contract", "form", "letter", "report", "id_document", "bank_statement", "tax_document", "medical"]
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paper per customer; the last digit of the key picks its type."""
+    key = F.col("c_custkey").cast("string")
+    padded = F.lpad(key, 8, "0")
+    amount = dollars(F.abs(F.col("c_acctbal")))
+    texts = [
+        F.concat(F.lit("INVOICE # "), key, F.lit("\nInvoice Number: INV-"), key, F.lit("\nBill To: "), "c_name", F.lit("\nDue Date: 01/02/2024\nSubtotal: "), amount),
+        F.concat(F.lit("Receipt # R"), key, F.lit("\nTransaction ID: "), key, F.lit("\nPaid by: cash\nChange: 0")),
+        F.concat(F.lit("This Agreement is dated as of March 5, 2024\nParties: "), "c_name", F.lit(" and Acme\nEffective Date: 04/01/2024\n"
+                 "WHEREAS the parties agree and hereby accept all terms and conditions of this contract.")),
+        F.concat(F.lit("Application Form # F"), key, F.lit("\nPlease fill in all required fields.\n[ ] yes [ ] no\nSignature required")),
+        F.concat(F.lit("Dear "), "c_name", F.lit(",\nthank you for your visit.\nSincerely,\nClerk "), key),
+        F.concat(F.lit("Executive Summary\nReport on findings and results of customer "), key, F.lit("\n- First point of "), key,
+                 F.lit("\n\n2. Second point\n\nNote: keep "), padded, F.lit("\nMethodology and analysis\nYou must read section 4\nConclusion")),
+        F.concat(F.lit("License # D"), padded, F.lit("\nFull Name: Jane Doe\nDate of Birth: 01/02/1980\nExp: 05/06/2030\nIssued: 07/08/2020\n"
+                 "Address: "), "c_mktsegment", F.lit(" street\nNationality: none\nSex: X\nDriver license, identification, expiry")),
+        F.concat(F.lit("Bank Statement\nAccount # "), padded, F.lit("\nStatement Period: January\nOpening Balance: "), amount, F.lit("\nClosing Balance: "), amount,
+                 F.lit("\nDeposit and withdrawal")),
+        F.concat(F.lit("Form 1040\nFederal income tax, IRS\nTax Year: 2023\nTaxpayer: "), "c_name", F.lit("\nSSN: XXX-XX-"), F.lpad(key, 4, "0"),
+                 F.lit("\nGross Income: "), amount, F.lit("\nTax Due: $10.50\nRefund: $1.25\nstate deduction")),
+        F.concat(F.lit("Facility: "), "c_mktsegment", F.lit("\nPatient Name: Jane Roe\nMRN: M"), padded, F.lit("\nDoctor: Dr. Who\nDiagnosis: cold\n"
+                 "Service Date: 09/10/2024\nPrescription and medication by the physician\nDate of service: 09/10/2024")),
+    ]
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.element_at(
+        F.array(*texts), (F.col("c_custkey") % 10 + 1).cast("int")).alias("text"))
+
+
+#: A sentence in each language that detection knows.
+TONGUES = {
+    "en": "The cat and the dog are in the house with that man, and this is for you.", "es": "El perro y el gato están en la casa de los niños, pero ¿qué es esto? No está aquí, señor.",
+    "fr": "Le chat et le chien sont dans la maison, c'est une belle journée, qu'il est là où nous sommes.", "de": "Der Hund und die Katze sind in dem Haus, das ist nicht für mich, sondern für die Straße.",
+    "it": "Il gatto e il cane sono nella casa, questo è della mia famiglia, perché non sono più qui gli amici.", "pt": "O gato e o cão estão na casa, não são os meus irmãos, mas você também está com uma coleção.",
+    "nl": "De kat en de hond zijn in het huis, dat is niet voor mij maar wij zijn blij met een fijne tijd.", "ru": "Кошка и собака не в доме, это что на улице с ним.",
+    "zh": "猫和狗在房子里，这是我的家，我们不是在学校的人。", "ja": "これは私の家です。猫と犬がいます。とても楽しいのです。", "ko": "이것은 나의 집입니다 고양이와 개가 있습니다.",
+    "ar": "القطة والكلب في البيت وهذا من أجل هذه المدرسة على الطريق", "hi": "यह मेरा घर है और बिल्ली और कुत्ता में हैं", "th": "นี่คือบ้านของฉันและแมวกับสุนัขอยู่ในบ้าน"}
+
+
+def tongues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text per order in one of the languages, by the order key, with the key in it."""
+    texts = F.array(*[F.lit(t) for t in TONGUES.values()])
+    pick = (F.col("o_orderkey") % len(TONGUES) + 1).cast("int")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
+        F.element_at(texts, pick), F.lit(" "), F.col("o_orderkey").cast("string")).alias("text"))
