@@ -53,6 +53,7 @@ def features(text: Column) -> Column:
 
     def gathered(x: Column, tokens: Column) -> Column:
         body, lower, rest = x["body"], x["lower"], x["rest"]
+        odd = body.rlike("[ſıİK]")  # lower-case tokens equal case-insensitive words except for these letters
         by_regex = F.transform(F.regexp_extract_all(
             body, F.lit(f"(?iu)(?<![{WORD}])({'|'.join(counted)})(?![{WORD}])"), F.lit(1)), F.lower)
         marked = F.array_compact(F.array(*[F.when(lower.rlike(_bounded(w)), F.lit(w)) for w in _marked_words()]))
@@ -62,13 +63,19 @@ def features(text: Column) -> Column:
             F.array_intersect(tokens, T.strings(plain)).alias("words"),
             # words with combining marks need a character of their scripts
             F.when((rest != "") & rest.rlike(marked_blocks), marked).otherwise(none).alias("marked"),
-            # lower-case tokens equal case-insensitive words except for a few letters of other case rules
-            F.when(body.rlike("[ſıİK]"), by_regex).otherwise(
+            F.when(odd, by_regex).otherwise(
                 F.filter(tokens, lambda w: w.isin(counted))).alias("counted"),
             F.regexp_replace(body, r"[\x00-\x7F]+", "").alias("letters"),
-            F.regexp_count(body, F.lit(java("ij", ignore_case=True))).alias("ij"),
-            F.regexp_count(body, F.lit(java(r"\bqu['e]", ignore_case=True))).alias("qu"),
-            F.regexp_count(body, F.lit(java(r"\bc'est\b", ignore_case=True))).alias("cest"))
+            *[count.alias(name) for name, count in special(body, lower, tokens, odd).items()])
+
+    def special(body: Column, lower: Column, tokens: Column, odd: Column) -> dict[str, Column]:
+        """Patterns that are no whole word, counted without a regex where the text allows it."""
+        quick = {"ij": F.floor((F.length(lower) - F.length(F.replace(lower, F.lit("ij"), F.lit("")))) / 2).cast("int"),
+                 "qu": F.size(F.filter(tokens, lambda w: w.startswith("que")))
+                 + F.when(lower.contains("qu'"), F.regexp_count(lower, F.lit(java(r"\bqu'")))).otherwise(0),
+                 "cest": F.when(lower.contains("c'est"), F.regexp_count(lower, F.lit(java(r"\bc'est\b")))).otherwise(0)}
+        return {name: F.when(odd, F.regexp_count(body, F.lit(java(pattern, ignore_case=True)))).otherwise(quick[name])
+                for pattern, name in _SPECIAL.items()}
 
     return T.let(F.struct(text.alias("body"), F.lower(text).alias("lower"), F.regexp_replace(
         text, f"[{_block(low, high)}]+", "").alias("rest")), scan)
