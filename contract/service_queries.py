@@ -555,10 +555,18 @@ def _(spark, sf):
         "user_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n")
 
 
-def _event_stream(spark, sf):
+def _event_stream(spark, sf, late_hours: int = 0):
+    """The events in four files by time, one per micro-batch, so state goes from batch to batch.  With
+    ``late_hours`` rows arrive up to that many hours late, by their id."""
     path = scratch(spark) + "/events"
-    B.events(spark, sf).repartition(4).write.parquet(path)
-    return spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").parquet(path)
+    events = B.events(spark, sf)
+    arrival = F.unix_seconds("ts") + F.col("event_id") % (late_hours + 1) * 3600
+    low, high = events.agg(F.min(arrival), F.max(arrival)).first()
+    for k in range(4):  # one after another: the source takes files by age
+        slot = F.least(F.floor((arrival - low) * 4 / (high - low + 1)), F.lit(3))
+        events.where(slot == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.option("maxFilesPerTrigger", 1).schema(
+        "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").parquet(path)
 
 
 def _collected(spark, stream, schema: str, mode: str = "append"):
@@ -577,7 +585,7 @@ def _collected(spark, stream, schema: str, mode: str = "append"):
 
 @register("stream_request_rates", f"with {_BUCKETS} select epoch_us(w) as window_us, n, n_failed from w")
 def _(spark, sf):
-    rates = windows.request_rates(_event_stream(spark, sf), _failed(), watermark="40 days").select(
+    rates = windows.request_rates(_event_stream(spark, sf, late_hours=24), _failed(), watermark="2 days").select(
         micros("w.start").alias("window_us"), "n", "n_failed")
     rows = _collected(spark, rates, "window_us bigint, n bigint, n_failed bigint", "update")
     return rows.groupBy("window_us").agg(F.max_by("n", "_batch").alias("n"), F.max_by("n_failed", "_batch").alias("n_failed"))
@@ -591,7 +599,7 @@ def _(spark, sf):
 
 @register("stream_job_status", f"{_REPLAY} select job_id, retries, status from f")
 def _(spark, sf):
-    e = _event_stream(spark, sf).filter(F.col("event_type").isin("error", "purchase", "signup"))
+    e = _event_stream(spark, sf, late_hours=24).filter(F.col("event_type").isin("error", "purchase", "signup"))
     outcome = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("cancel")
     status = jobs.folded_status(e.select(F.col("user_id").alias("job_id"), "ts", "event_id", outcome.alias("outcome"))).drop("last_ts")
     rows = _collected(spark, status, "job_id bigint, retries bigint, status string", "update")
@@ -600,7 +608,7 @@ def _(spark, sf):
 
 @register("stream_sliding_log", f"with a as ({_ADMIT}) select user_id, count(*) filter (allowed) as allowed, count(*) filter (not allowed) as denied from a join events using (event_id) group by user_id")
 def _(spark, sf):
-    counts = admission.stream_sliding(_event_stream(spark, sf), "user_id", 2, 43_200, "40 days")
+    counts = admission.stream_sliding(_event_stream(spark, sf), "user_id", 2, 43_200, "1 hour")
     rows = _collected(spark, counts, "user_id bigint, allowed bigint, denied bigint", "update")
     return rows.groupBy("user_id").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
 

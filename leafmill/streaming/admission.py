@@ -173,9 +173,11 @@ def admit_bucket(events: DataFrame, key: str, id_col: str, micros: Column, per_m
 def stream_sliding(events: DataFrame, key: str, limit: int, width_s: int, watermark: str = "10 minutes") -> DataFrame:
     """Structured Streaming form (columns: key, ts): per key and batch the admitted and denied counts.
 
-    The state of a key is its log of at most ``limit`` timestamps, and a call holds the timestamps
-    of one key in one micro-batch, whose size the source's rate limit sets; a key that stays silent past
-    its window is dropped by an event-time timeout.
+    Requests are judged in the order of arrival: within a micro-batch by time, and one that is older
+    than the newest time seen of its key is judged as if it came at that time, as it does.  The state of a
+    key is its log of at most ``limit`` timestamps and that newest time.  A call holds the timestamps of one key in
+    one micro-batch, whose size the source's rate limit sets; a key that stays silent past its window is
+    dropped by an event-time timeout.
     """
     width_us = width_s * 1_000_000
     key_type = events.schema[key].dataType.simpleString()
@@ -184,19 +186,20 @@ def stream_sliding(events: DataFrame, key: str, limit: int, width_s: int, waterm
         if state.hasTimedOut:
             state.remove()
             return
-        log = list(state.get[0]) if state.exists else []
+        log, newest = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         allowed = denied = 0
         for us in sorted(int(t.value // 1000) for pdf in batches for t in pdf["ts"]):
+            us = newest = max(us, newest)
             log = [t for t in log if t > us - width_us]
             if len(log) >= limit:
                 denied += 1
             else:
                 log.append(us)
                 allowed += 1
-        state.update((log,))
+        state.update((log, newest))
         if log:
             state.setTimeoutTimestamp(max(max(log) // 1000 + width_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [group[0]], "allowed": [allowed], "denied": [denied]})
 
     return events.withWatermark("ts", watermark).select(key, "ts").groupBy(key).applyInPandasWithState(
-        run, f"`{key}` {key_type}, allowed long, denied long", "log array<long>", "update", "EventTimeTimeout")
+        run, f"`{key}` {key_type}, allowed long, denied long", "log array<long>, newest long", "update", "EventTimeTimeout")

@@ -208,3 +208,30 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_but_signatures_has_sql():
     assert set(registry.queries()) - set(registry.oracle_sql()) == {"webhook_signatures"}
+
+
+def test_stream_admission_over_batches(spark, tmp_path):
+    batches = [[100, 101], [0, 1, 150], [250], [120, 251, 252]]
+    for times in batches:
+        spark.createDataFrame([(1, t) for t in times], "user_id long, t long").select(
+            "user_id", F.timestamp_seconds(F.col("t") + 10_000).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema("user_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    counts = admission.stream_sliding(stream, "user_id", 2, 100, "10 minutes")
+
+    def keep(batch, number):
+        batch.withColumn("n", F.lit(number)).write.mode("append").parquet(str(tmp_path / "out"))
+
+    counts.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(keep).trigger(
+        availableNow=True).start().awaitTermination()
+    got = [(r.allowed, r.denied) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()]
+    log, newest, want = [], 0, []  # by arrival: a late request is judged at the newest time
+    for times in batches:
+        allowed = 0
+        for t in sorted(times):
+            newest = max(newest, t)
+            log = [x for x in log if x > newest - 100]
+            if len(log) < 2:
+                log.append(newest)
+                allowed += 1
+        want.append((allowed, len(times) - allowed))
+    assert got == want
