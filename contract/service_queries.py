@@ -624,3 +624,79 @@ def _(spark, sf):
         "bigint")).alias("n_fields"), F.size("pages").cast("bigint").alias("n_pages"))
     documents.run_available(rows, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+# --- files and results as they lie in a folder ---------------------------------------------------
+
+
+@register("scanned_files", "select n_nationkey::bigint as nation, 1::bigint as n_files from nation")
+def _(spark, sf):
+    path = scratch(spark)
+    R.table(spark, sf, "nation").repartition(1).write.partitionBy("n_nationkey").json(path)
+    found = files.scan_files(spark, path).select(F.regexp_extract("path", r"n_nationkey=(\d+)/part-.*\.json$", 1).alias("key"), "length")
+    return found.where("key <> '' and length > 0").groupBy(F.col("key").cast("bigint").alias("nation")).agg(F.count("*").alias("n_files"))
+
+
+@register("texts_from_files", "select n_nationkey::bigint as nation, n_name || chr(10) || 'second line' || chr(10) as text from nation")
+def _(spark, sf):
+    path = scratch(spark)
+    R.table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit("\nsecond line")).alias("value")).repartition(
+        1).write.partitionBy("n_nationkey").text(path)
+    return files.read_texts(spark, f"{path}/*", "text").select(
+        F.regexp_extract("doc_id", r"n_nationkey=(\d+)", 1).cast("bigint").alias("nation"), "text")
+
+
+@register("texts_from_tables", "select doc_id, md5(text) as text_hash from documents")
+def _(spark, sf):
+    return files.read_texts(spark, f"{sf}/documents.parquet").select("doc_id", F.md5("text").alias("text_hash"))
+
+
+@register("saved_result_of_one", "select o_orderkey as job_id, o_orderstatus as status from orders where o_orderkey = (select max(o_orderkey) from orders)")
+def _(spark, sf):
+    path, orders = scratch(spark), R.table(spark, sf, "orders")
+    sinks.save_results(orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status")), path)
+    wanted = orders.agg(F.max("o_orderkey")).first()[0]
+    return sinks.read_result(spark, path, wanted, "job_id bigint, status string")
+
+
+@register("rendered_formats", """select c_custkey, case c_custkey % 4 when 0 then 'xml' when 1 then 'csv' else 'json' end as format from customer""")
+def _(spark, sf):
+    asked = ["xml", "csv", "pdf", "json"]
+    made = F.array(*[F.lit(sinks.rendered_format(a)) for a in asked])
+    return R.table(spark, sf, "customer").select("c_custkey", F.element_at(made, (F.col("c_custkey") % 4 + 1).cast("int")).alias("format"))
+
+
+@register("accepted_files", """select p_partkey, p_partkey % 5 in (0, 1, 4) as accepted from part""")
+def _(spark, sf):
+    names = F.array(*[F.lit(e) for e in (".docx", ".PPTX", ".exe", "", ".tiff")])
+    name = F.concat(F.lit("dir/"), F.col("p_name"), F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")))
+    return R.table(spark, sf, "part").select("p_partkey", files.accepted(name).alias("accepted"))
+
+
+@register("stream_batches", "select event_type, count(*) as n, 4::bigint as n_batches from events group by event_type")
+def _(spark, sf):
+    base = scratch(spark)
+
+    def write(batch, number):
+        batch.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+
+    documents.run_batches(_event_stream(spark, sf), write, f"{base}/checkpoint")
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_batches"))
+
+
+@register("alert_gauge", """with h as (select date_trunc('day', ts) as d, min(value) as low from events where event_type = 'purchase' group by 1),
+    b as (select d from h where low > 0.2) select epoch_us(a.d) as window_us from b a join b p on p.d = a.d - interval 1 day""")
+def _(spark, sf):
+    readings = B.events(spark, sf).where("event_type = 'purchase'").select("ts", "value")
+    return windows.gauge_alert(readings, "value", 0.2, True, "1 day", 86_400, 2).select(micros("start").alias("window_us"))
+
+
+@register("alert_backlog", f"""with {JOBS}, steps as (select created_at as ts, 1 as d from jobs union all select started_at, -1 from jobs where started_at is not null),
+    m as (select floor(epoch(ts) / 86400)::bigint as slot, sum(d) as moved from steps group by 1),
+    q as (select slot, sum(coalesce(moved, 0)) over (order by slot) as waiting from (select unnest(range((select min(slot) from m), (select max(slot) from m) + 1)) as slot) left join m using (slot)),
+    b as (select slot from q where waiting > 100)
+    select a.slot * 86400000000 as window_us from b a where (select count(*) from b p where p.slot between a.slot - 4 and a.slot) = 5""")
+def _(spark, sf):
+    length = windows.queue_length(B.jobs(spark, sf), 86_400)
+    return windows.sustained(length, F.col("waiting") > 100, "start", 86_400, 5).select(micros("start").alias("window_us"))

@@ -223,7 +223,6 @@ LABEL_FIELDS = [
     "Sales Person", "Customer Service Rep", "Approval Status", "Document Type",
     "Purchase Order Number", "Contract Number", "License Number", "Registration Number",
 ]
-DEFAULT_CONFIDENCE_THRESHOLD = 0.75
 
 # --- fixed values: structured fields per document type; case-insensitive, multi-line ---
 
@@ -362,7 +361,6 @@ URL_PATTERN = (r"^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2
 BATCH_FILE_LIMIT = 10
 MAX_JOB_RETRIES = 3
 MAX_DELIVERY_ATTEMPTS = 3
-RATE_LIMIT_PER_MINUTE = 100
 
 # --- fixed values: notification texts ------------------------------------------------------
 # event type -> (subject, body); {name} marks a value

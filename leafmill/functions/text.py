@@ -59,11 +59,6 @@ def first_match(col: Column, pattern: str, group: int = 1, **flags) -> Column:
     return F.when(col.rlike(spelled), F.regexp_extract(col, spelled, group))
 
 
-def first_of(col: Column, patterns: list[str], **flags) -> Column:
-    """First match of the first pattern that matches at all."""
-    return F.coalesce(*[first_match(col, p, **flags) for p in patterns])
-
-
 def literal_hits(col: Column, literals: list[str]) -> Column:
     """Which of many literals occur as substrings: an Arrow function that reads each text once,
     whatever the number of literals (one native substring test per literal reads it every time
@@ -159,11 +154,6 @@ def quote_csv(col: Column) -> Column:
                   ).otherwise(col)
 
 
-def bankers_round(col: Column, digits: int) -> Column:
-    """Half-even rounding of a double."""
-    return F.bround(col, digits)
-
-
 #: A character reference: decimal, hexadecimal, or a name; the names of old may lack the semicolon.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 

@@ -27,6 +27,11 @@ def file_type(path: Column) -> dict[str, Column]:
             "error_message": F.when(kind == "unknown", F.concat(F.lit("Unsupported file type: "), ext))}
 
 
+def accepted(path: Column) -> Column:
+    """Is the file of a kind that a converter in front of the recogniser can take."""
+    return checks.extension(path).isin(C.WIDE_EXTENSIONS)
+
+
 def file_metadata(path: Column, size: Column) -> dict[str, Column]:
     """filename, size in MB to 2 digits, upper-case type."""
     return {"filename": checks.base_name(path), "file_size_mb": F.bround(size / MB, 2),
@@ -129,7 +134,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Recognised text: parquet, json, or one document per text file."""
     if fmt == "text":
-        return spark.read.option("wholetext", "true").text(path).select(
+        return spark.read.text(path, wholetext=True).select(
             F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
     return spark.read.format(fmt).load(path)
 

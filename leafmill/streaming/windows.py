@@ -39,6 +39,30 @@ def sustained(windows: DataFrame, breach: Column, start: str, width_s: int, span
     return ends.groupBy(start).agg(F.count("*").alias("n")).filter(F.col("n") == spans).select(start)
 
 
+def gauge_alert(series: DataFrame, value: str, limit: float, above: bool, width: str, width_s: int, spans: int) -> DataFrame:
+    """Batch: starts of windows in which a gauge (columns ts and ``value``) has been beyond its limit for ``spans``
+    adjacent windows: all readings of a window over it, or with ``above`` false under it.  A window without a
+    reading ends a run."""
+    read = series.groupBy(F.window("ts", width).alias("w")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    breach = F.col("low") > limit if above else F.col("high") < limit
+    return sustained(read.select("w.start", "low", "high"), breach, "start", width_s, spans)
+
+
+def queue_length(jobs: DataFrame, width_s: int) -> DataFrame:
+    """Batch: jobs that wait at the end of each window (start, waiting): created and not yet started.
+
+    Jobs are counted per window first; the running sum sees one row per window of the covered time."""
+    steps = jobs.select(F.col("created_at").alias("ts"), F.lit(1).alias("d")).unionByName(
+        jobs.where("started_at is not null").select(F.col("started_at").alias("ts"), F.lit(-1).alias("d")))
+    slot = F.floor(F.unix_timestamp("ts") / width_s)
+    moved = steps.groupBy(slot.alias("slot")).agg(F.sum("d").alias("moved"))
+    every = moved.agg(F.min("slot").alias("low"), F.max("slot").alias("high")).select(
+        F.explode(F.sequence("low", "high")).alias("slot"))
+    running = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    return every.join(moved, "slot", "left").select(
+        F.timestamp_seconds(F.col("slot") * width_s).alias("start"), F.sum(F.coalesce("moved", F.lit(0))).over(running).alias("waiting"))
+
+
 def trailing_load(events: DataFrame, key: str, micros: Column, width_us: int, order: str | None = None) -> DataFrame:
     """Batch: requests of the same key in ``(t - width, t]`` for every request, as ``load``.
 
