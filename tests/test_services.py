@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
+from contract import markup_queries, service_queries, text_queries
 from leafmill.operators import dedup, jobs, notify
 from leafmill.plans import render, workflow
 from leafmill.session import shared_folder
@@ -206,8 +207,9 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-def test_every_query_but_signatures_has_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"webhook_signatures"}
+def test_every_query_has_sql():
+    for group in (text_queries, markup_queries, service_queries):
+        assert set(group.QUERIES) == set(group.ORACLES)
 
 
 def test_stream_admission_over_batches(spark, tmp_path):
