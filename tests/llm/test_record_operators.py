@@ -16,19 +16,7 @@ from leafmill.llm.common import new_folder, renamed
 from leafmill.llm.components import components
 from leafmill.llm.queries import RULES
 
-
-def groups(n, pairs):
-    top = list(range(n))
-
-    def find(i):
-        while top[i] != i:
-            i = top[i]
-        return i
-
-    for a, b in pairs:
-        a, b = sorted((find(a), find(b)))
-        top[b] = a
-    return [find(i) for i in range(n)]
+from .brute import brute_classes, groups
 
 
 def test_archive(spark):
@@ -130,10 +118,6 @@ def test_url_templates(spark):
     assert tree["", "userab", "x"].template == ["", "*", "x"]
 
 
-def jaccard(a, b):
-    return len(a & b) / len(a | b)
-
-
 def near_fixture():
     rng = random.Random(5)
     words = ["w%d" % i for i in range(3000)]
@@ -156,12 +140,6 @@ def near_fixture():
     return texts + [texts[0]] * 5 + ["", None, " ?! ", "one two", "One, two!", "one two three"]
 
 
-def brute_classes(texts):
-    words = [shingles.plain(t or "").split() for t in texts]
-    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
-    return groups(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if words[i] and words[j] and jaccard(sets[i], sets[j]) >= 0.8])
-
-
 def test_near_copies(spark, monkeypatch):
     texts = near_fixture()
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, node string")

@@ -45,6 +45,16 @@ def test_encoder_equals_library(encoders):
         check_encoding(own, ODD[::-1])
 
 
+def test_encoder_cache_is_bounded(encoders, monkeypatch):
+    monkeypatch.setattr("leafmill.llm.chunk_encoder.CACHE_ENTRIES", 6)
+    for own in encoders:
+        for _ in range(2):
+            check_encoding(own, [*ODD, "one two three four five six seven eight one two", "six  seven one"])
+        small = ChunkEncoder(*(word_tokenizer() if not own.blanks_count else byte_tokenizer()), own.blanks_count)
+        check_encoding(small, [f"w{i} same word again" for i in range(50)])
+        assert len(small.chunks.young) + len(small.chunks.old) <= 6
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aB é,.'\n\t \x00\x01<|>ndoftex12ß漢\u00a0"), max_size=40), min_size=1, max_size=6))
 def test_encoder_equals_library_on_any_text(encoders, texts):
