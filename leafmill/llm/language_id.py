@@ -34,6 +34,7 @@ MAX_CHARS = 10_000
 RIDGE = 1e-3
 BLOCK_CHARS, BLOCK_ROWS = 1 << 19, 64
 UNKNOWN = "und"
+FEW_LANGUAGES = 1000
 
 
 @dataclass
@@ -97,7 +98,10 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select(
         "lang", "text", F.abs(F.xxhash64("doc_id", "text") % (1 << 30)).alias("h"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    near = rows.join(F.broadcast(counts), "lang").where(  # one row per language; thins the sort below
+    few = counts.limit(FEW_LANGUAGES + 1).collect()
+    if len(few) <= FEW_LANGUAGES:  # so few rows may be broadcast; more are joined as the planner likes
+        counts = F.broadcast(docs.sparkSession.createDataFrame(few, counts.schema))
+    near = rows.join(counts, "lang").where(  # thins the sort below
         F.col("h") * F.col("n") < F.lit((1 << 30) * 4 * (per_language + 25)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return near.withColumn("rank", rank).where(F.col("rank") <= per_language).select(
