@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Characters for which lower case and normal form are the same in every library; other chunks go the library's whole way.
 PLAIN = re.compile("[ \n\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
 RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
@@ -32,6 +32,31 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Cache:
+    """At most ``CACHE_ENTRIES`` entries in two generations: when the young one is full it becomes the old one, and what
+    the old one is asked for comes back, so frequent words stay."""
+
+    def __init__(self):
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def get(self, key: str, missing: object) -> bytes | None | object:
+        value = self.young.get(key, missing)
+        if value is missing:
+            value = self.old.get(key, missing)
+            if value is not missing:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes | None) -> None:
+        if len(self.young) >= CACHE_ENTRIES // 2:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
+MISSING = object()
+
+
 class ChunkEncoder:
     """``pattern`` is the tokenizer's own pre-token pattern for plain chunks; None leaves every chunk to the library.
     ``blanks_count`` says whether blanks are part of the tokens (byte-level) or dropped (word-level, lower-cased)."""
@@ -44,16 +69,14 @@ class ChunkEncoder:
         self.pattern = regex.compile(pattern).findall if pattern else None
         self.blanks_count = blanks_count
         self.table = byte_table()
-        self.chunks: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Cache(), Cache()
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
+        ids = self.pieces.get(piece, MISSING)
+        if ids is MISSING:
             name = piece.encode().decode("latin-1").translate(self.table)
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+            self.pieces.put(piece, ids)
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -86,11 +109,10 @@ class ChunkEncoder:
         return self._content(body if first else ("\n" if key[0] == "\n" else " ") + body)
 
     def _cached(self, key: str) -> bytes | None:
-        if key in self.chunks:
-            return self.chunks[key]
-        if len(self.chunks) >= CACHE_ENTRIES:
-            self.chunks.clear()
-        ids = self.chunks[key] = self._chunk(key)
+        ids = self.chunks.get(key, MISSING)
+        if ids is MISSING:
+            ids = self._chunk(key)
+            self.chunks.put(key, ids)
         return ids
 
     def _runs(self, text: str) -> bytes:
@@ -100,12 +122,11 @@ class ChunkEncoder:
         for i, run in enumerate(runs):
             if run[-1].isspace() and (i + 1 < len(runs) or run.strip(" \n")):
                 return self.whole(text)
-            key = "\x01" + run
-            if key not in self.chunks:
-                if len(self.chunks) >= CACHE_ENTRIES:
-                    self.chunks.clear()
-                self.chunks[key] = self._content(run)
-            out.append(self.chunks[key])
+            ids = self.chunks.get("\x01" + run, MISSING)
+            if ids is MISSING:
+                ids = self._content(run)
+                self.chunks.put("\x01" + run, ids)
+            out.append(ids)
         return b"".join(out)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
