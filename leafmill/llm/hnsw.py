@@ -59,6 +59,39 @@ def beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarra
     return ids[:, :width], sims[:, :width]
 
 
+def both_ways(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links in either direction as (where each node's begin, their ends): a node that others dropped from their
+    lists still links to them."""
+    a, b = np.repeat(np.arange(len(links)), links.shape[1]), links.ravel()
+    a, b = a[b >= 0], b[b >= 0].astype(np.int64)
+    pairs = np.unique(np.concatenate([a * len(links) + b, b * len(links) + a]))
+    return np.searchsorted(pairs, np.arange(len(links) + 1) * len(links)), pairs % len(links)
+
+
+def reach(x: np.ndarray, edges: tuple[np.ndarray, np.ndarray], queries: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+    """Widen found sets to all nodes of at least the cosine that a path of such nodes joins to them.
+
+    ``start`` and the result are queries by nodes, true where a node belongs to the query."""
+    n, found, seen, front = len(x), start.copy(), start.copy(), start
+    begin, ends = edges
+    while front.any():
+        rows, nodes = np.nonzero(front)
+        front = np.zeros_like(start)
+        for k in range(0, len(rows), 4096):
+            own = nodes[k:k + 4096]
+            sizes = begin[own + 1] - begin[own]
+            shift = np.cumsum(sizes) - sizes
+            near = ends[np.repeat(begin[own] - shift, sizes) + np.arange(sizes.sum())]
+            keys = np.repeat(rows[k:k + 4096], sizes) * n + near
+            keys = np.unique(keys[~seen.ravel()[keys]])
+            r, c = keys // n, keys % n
+            seen[r, c] = True
+            good = np.einsum("kd,kd->k", x[c], queries[r]) >= least
+            front[r[good], c[good]] = True
+        found |= front
+    return found
+
+
 def diverse(x: np.ndarray, base: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
     """Up to ``most`` neighbours of each row of ``base`` from candidates: first those nearer to it than to any chosen
     one, which keeps groups of near copies tied to the rest, then the nearest others."""

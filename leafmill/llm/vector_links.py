@@ -1,9 +1,9 @@
 """Near copies among vectors: a small-world graph per shard, every shard asked for every vector.
 
 Equal vectors are one node.  Nodes are dealt to shards at random; each shard is one graph.  A block of queries meets a
-shard in one task, which searches the graph, widens the beam of every query whose beam is full of links, and audits
-itself: for some queries it compares all vectors of the shard, and as long as it found less than ``AUDIT`` of their
-links it doubles the beam of all.  A beam as wide as the shard is exact, so the loop ends with a passed audit.  Found
+shard in one task, which searches the graph, widens what the beam found along the graph as far as links go (a group of
+near copies may be larger than any beam), and audits itself: for some queries it compares all vectors of the shard, and as long as it found less than ``AUDIT`` of their
+links it doubles the beam of all; in the end it compares the whole shard, so the loop ends with a passed audit.  Found
 pairs are verified in double precision and joined to components.
 
 Defined cases: null or empty vectors, vectors of zeros, and those with null or non-finite components link with
@@ -30,6 +30,8 @@ SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 100_000, 8_192
 BEAM, AUDIT, AUDITED = 32, 0.995, 64
 STEP = 128
 SLACK = 1e-4
+#: A beam of more than one WIDEST-th of the shard gives way to comparing all of it, which costs no more.
+WIDEST = 16
 
 
 def nodes(embeddings: DataFrame, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -67,34 +69,34 @@ def graphs(points: DataFrame) -> DataFrame:
 def linked(graph: hnsw.Graph, exact: np.ndarray, queries: np.ndarray, cosine: float) -> list[np.ndarray]:
     """For each query the rows of the shard with at least ``cosine``; see the module's text."""
     x, wide = graph.vectors, queries.astype(np.float32)
-    width = np.full(len(queries), min(BEAM, len(x)))
+    width, edges = min(BEAM, len(x)), hnsw.both_ways(graph.layers[-1])
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
 
-    def search(some: np.ndarray) -> None:
-        while len(some):
-            again = []
-            for beam_width in np.unique(width[some]):
-                same = some[width[some] == beam_width]
-                step = max(1, min(STEP, 4_000_000 // (len(x) + 64 * int(beam_width))))
-                for k in range(0, len(same), step):
-                    rows = same[k:k + step]
-                    ids, sims = graph.search(wide[rows], int(beam_width))
-                    near = (sims >= cosine - SLACK) & (ids >= 0)
-                    for i, row in enumerate(rows):
-                        found[row] = ids[i][near[i]]
-                    again.append(rows[(near.sum(1) * 2 > beam_width) & (beam_width < len(x))])
-            some = np.concatenate(again)
-            width[some] = np.minimum(width[some] * 4, len(x))
-
-    search(np.arange(len(queries)))
+    def search() -> None:
+        step = max(1, min(STEP, 4_000_000 // (len(x) + 64 * width)))
+        for k in range(0, len(queries), step):
+            rows = np.arange(k, min(k + step, len(queries)))
+            ids, sims = graph.search(wide[rows], width)
+            near = (sims >= cosine - SLACK) & (ids >= 0)
+            start = np.zeros((len(rows), len(x)), bool)
+            start[np.nonzero(near)[0], ids[near]] = True
+            whole = hnsw.reach(x, edges, wide[rows], start, cosine - SLACK)
+            for i, row in enumerate(rows):
+                found[row] = np.flatnonzero(whole[i])
+
+    search()
     audited = np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int)
     truth = [np.flatnonzero(r >= cosine - SLACK) for r in wide[audited] @ x.T]
     while True:
         hits = sum(len(np.intersect1d(found[q], t)) for q, t in zip(audited, truth, strict=True))
-        if hits >= AUDIT * sum(map(len, truth)) or width.min() >= len(x):
+        if hits >= AUDIT * sum(map(len, truth)):
             break
-        width[:] = np.minimum(width * 2, len(x))
-        search(np.arange(len(queries)))
+        width *= 2
+        if width * WIDEST >= len(x):
+            found = [ids for k in range(0, len(queries), STEP) for ids in map(
+                np.flatnonzero, wide[k:k + STEP] @ x.T >= cosine - SLACK)]
+            break
+        search()
     out = []
     for row, ids in enumerate(found):
         ids = np.unique(ids)
