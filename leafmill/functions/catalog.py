@@ -397,3 +397,32 @@ CHAT_STYLES = {
     "quota.warning": ("#ff9800", ":warning: Quota Warning"),
 }
 DEFAULT_CHAT_STYLE = ("#808080", "Notification")
+
+# --- fixed values: page elements ------------------------------------------------------------
+PAGE_MARK = r"\n--- Page (\d+) ---\n"
+DISPLAY_EQUATION = r"\$\$([^$]+)\$\$"
+INLINE_EQUATION = r"\$([^$]+)\$"
+EQUATION_BLOCK = r"\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}"
+ALIGN_BLOCK = r"\\begin\{align\*?\}(.*?)\\end\{align\*?\}"
+IMAGE = r"<img>(.*?)</img>"
+WATERMARK = r"<watermark>(.*?)</watermark>"
+PRINTED_NUMBER = r"<page_number>(.*?)</page_number>"
+CHECKED, UNCHECKED = "☑", "☐"
+
+# --- fixed values: texts of rendered documents ----------------------------------------------
+NO_CSV = "No tables found or could not convert."
+NO_TABLES = "No HTML tables found."
+NO_EQUATIONS = "No LaTeX equations found."
+NO_IMAGES = "No image descriptions found."
+NO_WATERMARKS = "No watermarks found."
+NO_PAGE_NUMBERS = "No page numbers found."
+NO_ITEMS = "No tables found."
+ITEM_HEADER = ["Description", "Quantity", "Unit Price", "Total"]
+PREVIEW_HEAD = ('<div style="font-family: Arial, sans-serif; padding: 20px; background: #f5f5f5; border-radius: 8px;">\n'
+                '<h2 style="color: #333; border-bottom: 2px solid #4CAF50; padding-bottom: 10px;">📄 Document Preview</h2>')
+PREVIEW_BLOCK = '<div style="background: white; padding: 15px; border-radius: 5px; margin-top: 15px;">\n<h3>Page '
+PREVIEW_BODY = '</h3>\n<div style="line-height: 1.6;">'
+
+# --- fixed values: where a schema field's value may stand, from the field's spelling and the type's pattern ---
+SAME_LINE = r"{spelling}\s*[:\-=]\s*({kind})"
+NEXT_LINE = r"{spelling}\s*\n\s*({kind})"

@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions import catalog as C
 from leafmill.functions import text as T
 from leafmill.functions.regex import java
 from leafmill.operators import tables
 
-PAGE_MARK = r"\n--- Page \d+ ---\n"
-
 
 def page_array(text: Column) -> Column:
     """Pages of one document as ``array<struct<page_number, marker_no, text>>``.
@@ -22,8 +21,8 @@ def page_array(text: Column) -> Column:
     Blank pieces are dropped and the rest renumbered from 1; ``marker_no`` keeps
     the number printed on the marker in front of the piece (NULL before the first).
     """
-    pieces = F.split(text, java(PAGE_MARK))
-    marks = F.regexp_extract_all(text, F.lit(java(r"\n--- Page (\d+) ---\n")), F.lit(1))
+    pieces = F.split(text, java(C.PAGE_MARK))
+    marks = F.regexp_extract_all(text, F.lit(java(C.PAGE_MARK)), F.lit(1))
     tagged = F.transform(pieces, lambda p, i: F.struct(
         F.get(marks, i - 1).cast("string").alias("marker_no"), T.strip(p).alias("text")))
     kept = F.filter(tagged, lambda p: p["text"] != "")
@@ -44,11 +43,8 @@ def split_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def equations(text: Column) -> Column:
     """Display, inline, equation and align bodies, in that pattern order."""
     return T.non_blank(F.concat(
-        T.find_all(text, r"\$\$([^$]+)\$\$", dotall=True),
-        T.find_all(text, r"\$([^$]+)\$", dotall=True),
-        T.find_all(text, r"\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}", dotall=True),
-        T.find_all(text, r"\\begin\{align\*?\}(.*?)\\end\{align\*?\}", dotall=True),
-    ))
+        *[T.find_all(text, p, dotall=True)
+          for p in (C.DISPLAY_EQUATION, C.INLINE_EQUATION, C.EQUATION_BLOCK, C.ALIGN_BLOCK)]))
 
 
 def environment_equations(text: Column) -> Column:
@@ -62,15 +58,15 @@ def environment_equations(text: Column) -> Column:
 
 
 def images(text: Column, across_lines: bool = True) -> Column:
-    return T.non_blank(T.find_all(text, r"<img>(.*?)</img>", dotall=across_lines))
+    return T.non_blank(T.find_all(text, C.IMAGE, dotall=across_lines))
 
 
 def watermarks(text: Column) -> Column:
-    return T.non_blank(T.find_all(text, r"<watermark>(.*?)</watermark>"))
+    return T.non_blank(T.find_all(text, C.WATERMARK))
 
 
 def page_marks(text: Column) -> Column:
-    return T.non_blank(T.find_all(text, r"<page_number>(.*?)</page_number>"))
+    return T.non_blank(T.find_all(text, C.PRINTED_NUMBER))
 
 
 def checkboxes(text: Column) -> Column:
@@ -79,7 +75,7 @@ def checkboxes(text: Column) -> Column:
         return F.transform(T.find_all(text, mark + r"\s*([^\n☐☑]*)"),
                            lambda label: F.struct(F.lit(state).alias("checked"), T.strip(label).alias("label")))
 
-    return F.concat(boxes("☑", True), boxes("☐", False))
+    return F.concat(boxes(C.CHECKED, True), boxes(C.UNCHECKED, False))
 
 
 ELEMENTS = {

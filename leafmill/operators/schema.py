@@ -24,8 +24,8 @@ def ladder(name: str, spec: dict) -> list[tuple[str, float, int]]:
         rungs.append((spec["pattern"], C.CUSTOM_WEIGHT, 1 if "(" in spec["pattern"].replace("(?:", "") else 0))
     spellings = [name.replace("_", " "), name.replace("_", ""), name] + spec.get("description", "").split()[:3]
     for spelling in spellings:
-        rungs.append((rf"{spelling}\s*[:\-=]\s*({kind})", C.SAME_LINE_WEIGHT, 1))
-        rungs.append((rf"{spelling}\s*\n\s*({kind})", C.NEXT_LINE_WEIGHT, 1))
+        for place, weight in ((C.SAME_LINE, C.SAME_LINE_WEIGHT), (C.NEXT_LINE, C.NEXT_LINE_WEIGHT)):
+            rungs.append((place.replace("{spelling}", spelling).replace("{kind}", kind), weight, 1))
     rungs.append((f"({kind})", C.BARE_WEIGHT, 1))
     # a rung repeated later can only fail again, but it repeats its error: duplicates are kept
     return rungs

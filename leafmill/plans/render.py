@@ -9,14 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NO_CSV = "No tables found or could not convert."
-NO_TABLES = "No HTML tables found."
-NO_EQUATIONS = "No LaTeX equations found."
-NO_IMAGES = "No image descriptions found."
-NO_WATERMARKS = "No watermarks found."
-NO_PAGE_NUMBERS = "No page numbers found."
-NO_ITEMS = "No tables found."
-ITEM_HEADER = ["Description", "Quantity", "Unit Price", "Total"]
+from leafmill.functions import catalog as C
 
 
 def _flat(pages: Column, name: str) -> Column:
@@ -66,23 +59,20 @@ def as_csv(pages: Column) -> Column:
     tables = _flat(pages, "tables_csv")
     blocks = F.transform(tables, lambda t, i: F.concat(
         F.lit("--- Table "), (i + 1).cast("string"), F.lit(" ---\n"), t))
-    return _or(tables, F.array_join(blocks, "\n\n"), NO_CSV)
+    return _or(tables, F.array_join(blocks, "\n\n"), C.NO_CSV)
 
 
 def as_html(pages: Column) -> Column:
     """Preview page: a block per page, newlines as line breaks."""
-    head = ('<div style="font-family: Arial, sans-serif; padding: 20px; background: #f5f5f5; border-radius: 8px;">\n'
-            '<h2 style="color: #333; border-bottom: 2px solid #4CAF50; padding-bottom: 10px;">📄 Document Preview</h2>')
-    block = '<div style="background: white; padding: 15px; border-radius: 5px; margin-top: 15px;">\n<h3>Page '
     blocks = F.transform(pages, lambda p: F.concat(
-        F.lit(block), p["page_number"].cast("string"), F.lit('</h3>\n<div style="line-height: 1.6;">'),
+        F.lit(C.PREVIEW_BLOCK), p["page_number"].cast("string"), F.lit(C.PREVIEW_BODY),
         F.replace(p["raw_text"], F.lit("\n"), F.lit("<br>")), F.lit("</div>\n</div>")))
-    return F.array_join(F.concat(F.array(F.lit(head)), blocks, F.array(F.lit("</div>"))), "\n")
+    return F.array_join(F.concat(F.array(F.lit(C.PREVIEW_HEAD)), blocks, F.array(F.lit("</div>"))), "\n")
 
 
 def tables_html(pages: Column) -> Column:
     tables = _flat(pages, "tables_html")
-    return _or(tables, F.array_join(tables, "\n"), NO_TABLES)
+    return _or(tables, F.array_join(tables, "\n"), C.NO_TABLES)
 
 
 def _listing(pages: Column, name: str, line) -> Column:
@@ -92,7 +82,7 @@ def _listing(pages: Column, name: str, line) -> Column:
 def equation_listing(pages: Column) -> Column:
     lines = _listing(pages, "latex_equations", lambda n, x, i: F.concat(
         F.lit("--- Page "), n.cast("string"), F.lit(", Equation "), i.cast("string"), F.lit(" ---\n"), x))
-    return _or(lines, F.array_join(lines, "\n\n"), NO_EQUATIONS)
+    return _or(lines, F.array_join(lines, "\n\n"), C.NO_EQUATIONS)
 
 
 def _labelled(pages: Column, name: str, label: str, message: str) -> Column:
@@ -102,17 +92,17 @@ def _labelled(pages: Column, name: str, label: str, message: str) -> Column:
 
 
 def image_listing(pages: Column) -> Column:
-    return _labelled(pages, "image_descriptions", "Image", NO_IMAGES)
+    return _labelled(pages, "image_descriptions", "Image", C.NO_IMAGES)
 
 
 def watermark_listing(pages: Column) -> Column:
-    return _labelled(pages, "watermarks", "Watermark", NO_WATERMARKS)
+    return _labelled(pages, "watermarks", "Watermark", C.NO_WATERMARKS)
 
 
 def page_number_listing(pages: Column) -> Column:
     lines = _listing(pages, "page_numbers_extracted", lambda n, x, i: F.concat(
         F.lit("Page "), n.cast("string"), F.lit(": "), x))
-    return _or(lines, F.array_join(lines, "\n"), NO_PAGE_NUMBERS)
+    return _or(lines, F.array_join(lines, "\n"), C.NO_PAGE_NUMBERS)
 
 
 def _item_values(item: Column) -> Column:
@@ -122,11 +112,11 @@ def _item_values(item: Column) -> Column:
 def items_csv(items: Column) -> Column:
     """Line items as CSV text (values as found, not quoted)."""
     lines = F.transform(items, lambda i: F.array_join(_item_values(i), ","))
-    return _or(items, F.array_join(F.concat(F.array(F.lit(",".join(ITEM_HEADER))), lines), "\n"), NO_ITEMS)
+    return _or(items, F.array_join(F.concat(F.array(F.lit(",".join(C.ITEM_HEADER))), lines), "\n"), C.NO_ITEMS)
 
 
 def items_html(items: Column) -> Column:
-    head = "<tr>" + "".join(f"<th>{h}</th>" for h in ITEM_HEADER) + "</tr>"
+    head = "<tr>" + "".join(f"<th>{h}</th>" for h in C.ITEM_HEADER) + "</tr>"
     rows = F.transform(items, lambda i: F.concat(F.lit("<tr><td>"), F.array_join(_item_values(i), "</td><td>"),
                                                  F.lit("</td></tr>")))
     return _or(items, F.concat(F.lit(f"<table>{head}"), F.array_join(rows, ""), F.lit("</table>")),

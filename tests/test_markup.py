@@ -4,14 +4,14 @@ from leafmill.operators import pages, tables
 
 SAMPLE = """
 --- Page 1 ---
-Text with a table:
-<table><tr><td>A</td><td>B</td></tr></table>
-An equation: $E = mc^2$
-<img>A sample
-description</img>
-<watermark>CONFIDENTIAL</watermark>
-☑ Task done
-☐ Task pending
+Stock list
+<table><tr><td>bolt</td><td>12</td></tr></table>
+The area is $w \\cdot h$ here
+<img>a shelf
+with boxes</img>
+<watermark>DRAFT</watermark>
+☑ counted
+☐ signed
 ☑
 --- Page 9 ---
    --- Page 3 ---
@@ -23,12 +23,12 @@ def test_page_record(docs):
     rows = pages.parse_pages(docs(SAMPLE, "", "  \n ")).orderBy("doc_id", "page_number").collect()
     assert [(r.doc_id, r.page_number, r.marker_no) for r in rows] == [(0, 1, 1), (0, 2, 9)]
     first, second = rows
-    assert first.tables_html == ["<table><tr><td>A</td><td>B</td></tr></table>"]
-    assert first.tables_csv == ["0,1\nA,B\n"]
-    assert first.latex_equations == ["E = mc^2"]
-    assert first.image_descriptions == ["A sample\ndescription"]
-    assert first.watermarks == ["CONFIDENTIAL"]
-    assert [(c.checked, c.label) for c in first.checkboxes] == [(True, "Task done"), (True, ""), (False, "Task pending")]
+    assert first.tables_html == ["<table><tr><td>bolt</td><td>12</td></tr></table>"]
+    assert first.tables_csv == ["0,1\nbolt,12\n"]
+    assert first.latex_equations == ["w \\cdot h"]
+    assert first.image_descriptions == ["a shelf\nwith boxes"]
+    assert first.watermarks == ["DRAFT"]
+    assert [(c.checked, c.label) for c in first.checkboxes] == [(True, "counted"), (True, ""), (False, "signed")]
     # an indented marker does not split
     assert second.raw_text.startswith("--- Page 3 ---") and second.page_numbers_extracted == ["5/10"]
 
