@@ -7,9 +7,10 @@ the Jaccard similarity of shingles in order).  Classes are the components of the
 
 No bucket is expanded into all its pairs.  First each member is aligned with one member picked by a hash, another one
 in each bucket, and what that links is joined.  Only buckets whose members then still belong to several components go
-on: small ones with all their pairs across components, larger ones with finer sketches of their members, whose buckets
-split those that only share a passage.  The last, finest level takes all remaining pairs across components, so
-nothing is capped.  A pair of similarity 0.8 meets at a level with a probability of at least 0.99998.
+on.  Small ones are compared in full across components; a pair of similarity 0.8 meets in a bucket with a probability of
+0.99999.  The members of larger ones go through an exact filter: two texts of similarity 0.8 share a shingle among
+the rarest fifth of each, so only such pairs across components are aligned.  Nothing is capped, and texts that merely
+share a passage, or are edited too much, have no rare shingle in common.
 
 Defined cases: null texts and texts without words are never linked; fewer than five words are one shingle; equal
 texts are linked whatever their length; the class is named by its smallest doc_id (null first); rows with the same
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import shingles
@@ -30,8 +31,8 @@ from leafmill.llm.common import checkpointed, sliced
 from leafmill.llm.components import components
 
 TENTHS = 8
-#: Shingles in a sketch and sketches of a text, from coarse to fine.
-LEVELS = ((3, 16), (6, 40), (12, 160))
+#: Shingles in a sketch and sketches of a text.
+KEPT, SKETCHES = 3, 16
 #: Buckets up to this size are compared in full where components differ.
 SMALL = 32
 
@@ -54,17 +55,16 @@ def _long_lists(values: np.ndarray) -> pa.Array:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, a hash of its text, the digest of its words (null without words), the first level's sketches."""
+    """Per row: doc_id, a hash of its text, the digest of its words (null without words), its sketches."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    kept, count = LEVELS[0]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             lines = [shingles.plain(t or "") for t in batch.column("text").to_pylist()]
-            found = np.zeros((len(lines), count), np.uint64)
+            found = np.zeros((len(lines), SKETCHES), np.uint64)
             for group in _groups(lines):
                 found[group.start:group.stop] = shingles.sketches(
-                    *shingles.shingle_numbers(lines[group.start:group.stop]), kept, count, 0)
+                    *shingles.shingle_numbers(lines[group.start:group.stop]), KEPT, SKETCHES, 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"),
                  pa.array([shingles.digest(x) if x else None for x in lines], pa.binary()), _long_lists(found)],
@@ -91,18 +91,18 @@ def sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(one, "node long, seq binary").dropDuplicates(["node"])
 
 
-def finer(seqs: DataFrame, level: int) -> DataFrame:
-    """(node, sketch) at a level, from the sequences."""
-    kept, count = LEVELS[level]
+def marked(seqs: DataFrame) -> DataFrame:
+    """(node, marks): the occurrence-labelled shingles of each node, all different."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "seq"):
             own = [np.frombuffer(s, np.uint32) for s in batch.column("seq").to_pylist()]
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int64)
-            found = shingles.sketches(np.concatenate([np.zeros(0, np.uint32), *own]), bounds, kept, count, level)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _long_lists(found)], names=["node", "sketch"])
+            marks = shingles.labelled(np.concatenate([np.zeros(0, np.uint32), *own]), bounds).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(
+                pa.array(bounds.astype(np.int32)), pa.array(marks))], names=["node", "marks"])
 
-    return seqs.mapInArrow(one, "node long, sketch array<long>")
+    return seqs.mapInArrow(one, "node long, marks array<long>")
 
 
 def buckets(sketched: DataFrame) -> DataFrame:
@@ -134,9 +134,9 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _labels(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with the component."""
-    named = members.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their component as label."""
+    named = members.join(components(found), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     return named.join(spread.select("bucket"), "bucket", "left_semi")
 
@@ -148,27 +148,41 @@ def _across(members: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("xl < yl").select(*_ordered("x", "y")).distinct()
 
 
+def rare(seqs: DataFrame, members: DataFrame, tenths: int = TENTHS) -> DataFrame:
+    """(mark, node, label, place, n) of the rarest shingles of ``members`` (node, label): so many that two nodes of the
+    similarity surely share one.  Shingles that only one node has come first and need no row."""
+    rows = marked(seqs.join(members.select("node").distinct(), "node", "left_semi")).select(
+        "node", F.size("marks").alias("n"), F.explode("marks").alias("mark"))
+    common = rows.groupBy("mark").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("node")
+    placed = rows.join(common, "mark").select(
+        "mark", "node", "n", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "mark"))).alias("place"),
+        (F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1).alias("last"))
+    first = placed.where("place <= last").select("mark", "node", "n", "place")
+    return first.join(members.select("node", "label").distinct(), "node")
+
+
+def sharing(marks: DataFrame, tenths: int = TENTHS) -> DataFrame:
+    """Pairs across components that share a rare shingle so early that what follows it in both can still reach the
+    similarity.  At the first shingle that two nodes share, no more than the rest of either can be common."""
+    side = lambda k: marks.select("mark", *[F.col(c).alias(c[0] + k) for c in ("node", "label", "place")], F.col("n").alias("size" + k))
+    most = F.least(F.col("sizex") - F.col("px"), F.col("sizey") - F.col("py")) + 1
+    reach = most * (10 + tenths) >= (F.col("sizex") + F.col("sizey")) * tenths
+    return side("x").join(side("y"), "mark").where((F.col("lx") < F.col("ly")) & reach).select(*_ordered("nx", "ny")).distinct()
+
+
 def links(sketched: DataFrame, seqs_of) -> DataFrame:
     """Verified links (a, b) that span the components; ``seqs_of`` gives the sequences of a (node) frame."""
     members = checkpointed(buckets(sketched))
     seqs = checkpointed(seqs_of(members.select("node").distinct()))
-    found = None
-    for level in range(len(LEVELS)):
-        if level:
-            members = checkpointed(buckets(finer(seqs.join(members.select("node").distinct(), "node", "left_semi"), level)))
-        stars = members.where("node <> leader").select(*_ordered("node", "leader")).distinct()
-        new = verified(stars, seqs)
-        found = checkpointed(new if found is None else found.unionByName(new))
-        spread = checkpointed(_labels(members, components(found)))
-        last = level == len(LEVELS) - 1
-        full = spread if last else spread.where(F.col("size") <= SMALL)
-        found = checkpointed(found.unionByName(verified(_across(full), seqs)))
-        members = spread.where(F.col("size") > SMALL)
-        if last or not members.take(1):
-            return found
-        members = _labels(members.drop("label"), components(found))
-        if not members.take(1):
-            return found
+    found = checkpointed(verified(members.where("node <> leader").select(*_ordered("node", "leader")).distinct(), seqs))
+    spread = checkpointed(_open(members, found))
+    found = checkpointed(found.unionByName(verified(_across(spread.where(F.col("size") <= SMALL)), seqs)))
+    large = spread.where(F.col("size") > SMALL)
+    if not large.take(1):
+        return found
+    large = checkpointed(_open(large.drop("label"), found).select("node", "label").distinct())
+    return found.unionByName(checkpointed(verified(sharing(checkpointed(rare(seqs, large))), seqs)))
 
 
 def classes(docs: DataFrame) -> DataFrame:

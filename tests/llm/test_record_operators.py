@@ -144,9 +144,9 @@ def test_near_copies(spark, monkeypatch):
     texts = near_fixture()
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, node string")
     want = brute_classes(texts)
-    for small, levels in ((32, near_dedup.LEVELS), (4, ((1, 16), (2, 24), (6, 40)))):
+    for small, kept in ((32, 3), (2, 3), (1, 1)):
         monkeypatch.setattr(near_dedup, "SMALL", small)
-        monkeypatch.setattr(near_dedup, "LEVELS", levels)
+        monkeypatch.setattr(near_dedup, "KEPT", kept)
         got = {r.doc_id: r for r in near_dedup.classes(docs).collect()}
         assert [got[i].class_id for i in range(len(texts))] == want
         assert all(got[i].kept == (want[i] == i) for i in got)
