@@ -2,9 +2,12 @@
 
 Equal vectors are one node.  Nodes are dealt to shards at random; each shard is one graph.  A block of queries meets a
 shard in one task, which searches the graph, widens what the beam found along the graph as far as links go (a group of
-near copies may be larger than any beam), and audits itself: for some queries it compares all vectors of the shard, and as long as it found less than ``AUDIT`` of their
-links it doubles the beam of all; in the end it compares the whole shard, so the loop ends with a passed audit.  Found
-pairs are verified in double precision and joined to components.
+near copies may be larger than any beam), and audits itself against all vectors of the shard.  A query's own node is no
+link there.  Queries are drawn at random until ``TESTED`` links are known, at most a ``WIDEST``-th of them: where links
+are rare, the missing ones are planted, each a query turned from a random node of the shard by just the angle of
+``cosine``, which is the hardest link there is.  As long as less than ``AUDIT`` of the drawn or of the planted links
+are found the beam is doubled; in the end all queries are compared with the whole shard, so the loop ends with a passed
+audit.  Found pairs are verified in double precision and joined to components.
 
 Defined cases: null or empty vectors, vectors of zeros, and those with null or non-finite components link with
 nothing and are kept; vectors of different lengths never link; repeated rows are vectors of their own that link
@@ -27,7 +30,7 @@ from leafmill.llm.components import components
 
 COSINE = 0.95
 SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 100_000, 8_192
-BEAM, AUDIT, AUDITED = 32, 0.995, 64
+BEAM, AUDIT, AUDITED, TESTED = 32, 0.995, 64, 200
 STEP = 128
 SLACK = 1e-4
 #: A beam of more than one WIDEST-th of the shard gives way to comparing all of it, which costs no more.
@@ -66,40 +69,66 @@ def graphs(points: DataFrame) -> DataFrame:
         one, "dim int, shard long, blocks long, graph binary, numbers binary, exact binary"))
 
 
-def linked(graph: hnsw.Graph, exact: np.ndarray, queries: np.ndarray, cosine: float) -> list[np.ndarray]:
-    """For each query the rows of the shard with at least ``cosine``; see the module's text."""
+def planted(x: np.ndarray, number: int, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors that are turned from random rows of ``x`` by the angle of ``cosine``, in any direction."""
+    rows = x[rng.choice(len(x), min(number, len(x)), replace=False)].astype(np.float64)
+    aside = rng.normal(size=rows.shape)
+    aside -= np.einsum("kd,kd->k", aside, rows)[:, None] * rows
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    turned = cosine * rows + np.sqrt(max(0.0, 1 - cosine * cosine)) * aside / np.maximum(length, 1e-300)
+    return np.where(length > 1e-9, turned, rows).astype(np.float32)
+
+
+def audit(x: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float, rng: np.random.Generator) -> list[tuple]:
+    """The drawn and the planted links of the shard: (queries, for each the rows linked with it but its own)."""
+    known: list[tuple[int, np.ndarray]] = []
+    order, tested = rng.permutation(len(queries)), 0
+    for k in range(0, max(AUDITED, len(queries) // WIDEST), AUDITED):
+        rows = order[k:k + AUDITED]
+        for row, near in zip(rows, queries[rows] @ x.T >= cosine - SLACK, strict=True):
+            ids = np.flatnonzero(near)
+            if len(ids := ids[ids != own[row]]):
+                known.append((row, ids))
+                tested += len(ids)
+        if tested >= TESTED:
+            break
+    extra = planted(x, max(0, TESTED - tested), cosine, rng)
+    return [(queries[[row for row, _ in known]], [ids for _, ids in known]),
+            (extra, [np.flatnonzero(near) for near in extra @ x.T >= cosine - SLACK])]
+
+
+def linked(graph: hnsw.Graph, exact: np.ndarray, queries: np.ndarray, cosine: float, own: np.ndarray | None = None,
+           seed: int = 0) -> list[np.ndarray]:
+    """For each query the rows of the shard with at least ``cosine``; see the module's text.  ``own`` has the row that
+    a query itself is, or -1."""
     x, wide = graph.vectors, queries.astype(np.float32)
     width, edges = min(BEAM, len(x)), hnsw.both_ways(graph.layers[-1])
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
 
-    def search() -> None:
-        step = max(1, min(STEP, 4_000_000 // (len(x) + 64 * width)))
-        for k in range(0, len(queries), step):
-            rows = np.arange(k, min(k + step, len(queries)))
-            ids, sims = graph.search(wide[rows], width)
+    def search(asked: np.ndarray) -> list[np.ndarray]:
+        found, step = [], max(1, min(STEP, 4_000_000 // (len(x) + 64 * width)))
+        for k in range(0, len(asked), step):
+            some = asked[k:k + step]
+            ids, sims = graph.search(some, width)
             near = (sims >= cosine - SLACK) & (ids >= 0)
-            start = np.zeros((len(rows), len(x)), bool)
+            start = np.zeros((len(some), len(x)), bool)
             start[np.nonzero(near)[0], ids[near]] = True
-            whole = hnsw.reach(x, edges, wide[rows], start, cosine - SLACK)
-            for i, row in enumerate(rows):
-                found[row] = np.flatnonzero(whole[i])
-
-    search()
-    audited = np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int)
-    truth = [np.flatnonzero(r >= cosine - SLACK) for r in wide[audited] @ x.T]
-    while True:
-        hits = sum(len(np.intersect1d(found[q], t)) for q, t in zip(audited, truth, strict=True))
-        if hits >= AUDIT * sum(map(len, truth)):
-            break
+            found += map(np.flatnonzero, hnsw.reach(x, edges, some, start, cosine - SLACK))
+        return found
+
+    def passed(asked: np.ndarray, truth: list[np.ndarray]) -> bool:
+        hits = sum(len(np.intersect1d(f, t)) for f, t in zip(search(asked), truth, strict=True))
+        return hits >= AUDIT * sum(map(len, truth))
+
+    tests = audit(x, wide, np.full(len(wide), -1) if own is None else own, cosine, np.random.default_rng([17, seed]))
+    while width * WIDEST < len(x) and not all(passed(*test) for test in tests):
         width *= 2
-        if width * WIDEST >= len(x):
-            found = [ids for k in range(0, len(queries), STEP) for ids in map(
-                np.flatnonzero, wide[k:k + STEP] @ x.T >= cosine - SLACK)]
-            break
-        search()
+    if width * WIDEST < len(x):
+        found = search(wide)
+    else:
+        found = [ids for k in range(0, len(wide), STEP) for ids in map(
+            np.flatnonzero, wide[k:k + STEP] @ x.T >= cosine - SLACK)]
     out = []
     for row, ids in enumerate(found):
-        ids = np.unique(ids)
         out.append(ids[np.einsum("kd,d->k", exact[ids], queries[row]) >= cosine])
     return out
 
@@ -118,8 +147,10 @@ def links(points: DataFrame, cosine: float = COSINE) -> DataFrame:
         graph = hnsw.Graph.unpacked(shard["graph"].iat[0])
         numbers = np.frombuffer(shard["numbers"].iat[0], "<i8")
         exact = hnsw.unit(np.frombuffer(shard["exact"].iat[0], "<f8").reshape(len(numbers), -1))
-        own = queries["node"].to_numpy()
-        near = linked(graph, exact, hnsw.unit(np.stack(queries["embedding"].to_numpy())), cosine)
+        own, order = queries["node"].to_numpy(), np.argsort(numbers)
+        at = order[np.minimum(np.searchsorted(numbers, own, sorter=order), len(order) - 1)]
+        near = linked(graph, exact, hnsw.unit(np.stack(queries["embedding"].to_numpy())), cosine,
+                      np.where(numbers[at] == own, at, -1), int(shard["block"].iat[0]))
         a, b = np.repeat(own, list(map(len, near))), numbers[np.concatenate([*near, np.zeros(0, np.int64)]).astype(int)]
         other = a != b
         return pd.DataFrame({"a": np.minimum(a, b)[other], "b": np.maximum(a, b)[other]})

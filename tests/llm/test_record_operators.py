@@ -239,6 +239,29 @@ def test_beam_widens_until_audit_passes():
     assert all(truth[i, ids].all() for i, ids in enumerate(found))
 
 
+def test_rare_links_are_audited():
+    rng = np.random.default_rng(12)
+    x = hnsw.unit(rng.normal(size=(1500, 32))).astype(np.float32)
+    graph, lost = hnsw.build(x), rng.choice(np.arange(200, 1500), 300, replace=False)
+    for links in graph.layers:  # nodes that no search comes to
+        links[np.isin(links, lost)] = -1
+        links[lost[lost < len(links)]] = -1
+    queries = hnsw.unit(rng.normal(size=(1200, 32)))
+    partners = lost[:12]
+    queries[100:112] = hnsw.unit(x[partners] + 0.02 * rng.normal(size=(12, 32)))
+    found = vector_links.linked(graph, x.astype(np.float64), queries, 0.95)
+    assert [ids.tolist() for ids in found[100:112]] == [[p] for p in partners]
+    _, (extra, truth) = vector_links.audit(x, queries.astype(np.float32), np.full(1200, -1), 0.95, rng)
+    assert sum(map(len, truth)) + 12 >= vector_links.TESTED and np.allclose((extra @ x.T).max(1), 0.95, atol=1e-4)
+
+
+def test_audit_leaves_own_nodes_out():
+    x = hnsw.unit(np.random.default_rng(13).normal(size=(400, 32))).astype(np.float32)
+    (asked, truth), _ = vector_links.audit(x, x, np.arange(400), 0.95, np.random.default_rng(1))
+    assert not len(asked) and not truth
+    assert vector_links.planted(np.ones((3, 1), np.float32), 9, 0.95, np.random.default_rng(1)).tolist() == [[1.0]] * 3
+
+
 def test_renamed(spark):
     df, back = renamed(spark.createDataFrame([(1, 2)], "Score int, other int"), {"score"})
     assert df.columns == ["__own_0", "other"] and df.withColumnsRenamed(back).columns == ["Score", "other"]
