@@ -22,13 +22,13 @@ from leafmill.llm import decontaminate, language_id, near_dedup, packing
 from leafmill.llm.common import new_folder
 from leafmill.llm.queries import CAPACITY, word_tokenizer
 
-#: Below this score a text resembles none of the learned languages; real texts score at least twice as much.
-LEAST_SCORE = 0.1
+#: A text with a smaller share of its language's letter runs, as times the usual share, is in none of the learned languages.
+LEAST_SHARE = 0.6
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.known(docs, LEAST_SCORE)
+    return language_id.known(docs, LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

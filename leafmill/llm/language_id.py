@@ -8,6 +8,10 @@ scored by two matrix products, presence by landmarks and kernel by weights.
 Training reads a bounded sample: ``per_language`` labelled texts of each language, in the order of a hash, the first
 ``MAX_CHARS`` characters of each (prediction takes whole texts).  Everything else covers all rows.
 
+Scores rank the learned languages; those of a text add up to about one, so they cannot tell that none of them fits.
+``known`` asks something else: which share of a text's three-letter runs the training texts of its predicted language
+hold, against the share that these texts find among one another.  It does not depend on the number of languages.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled rows all texts are
 ``und``; a null doc_id counts as held out; equal scores go to the language first in order; a very long text is
 read in segments that overlap by an n-gram; extra columns stay, a clashing ``lang_pred`` or ``score`` is replaced.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,7 @@ LANDMARKS = 128
 MAX_CHARS = 10_000
 RIDGE = 1e-3
 BLOCK_CHARS, BLOCK_ROWS = 1 << 19, 64
+RUN_BITS, PRIOR = 18, 5.0
 UNKNOWN = "und"
 FEW_LANGUAGES = 1000
 
@@ -93,6 +99,56 @@ def presence(texts: list[str]) -> np.ndarray:
     return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
 
 
+@cache
+def _letters() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def letter_runs(text: str) -> np.ndarray:
+    """Hashed runs of three letters, one for each place; words are marked at both ends by one blank, whatever is between."""
+    out, lowered, last = [], text.lower(), np.array([32], np.uint64)
+    for at in range(0, len(lowered), BLOCK_CHARS):
+        codes = np.frombuffer(lowered[at:at + BLOCK_CHARS].encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.concatenate([last, np.where(_letters()[codes], codes, 32).astype(np.uint64)])
+        if at + BLOCK_CHARS >= len(lowered):
+            codes = np.append(codes, np.uint64(32))
+        codes = codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))]
+        mixed = ((codes[:-2] << np.uint64(42)) ^ (codes[1:-1] << np.uint64(21)) ^ codes[2:]) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - RUN_BITS))
+        last = codes[-2:]
+    return np.concatenate([*out, np.zeros(0, np.uint64)]).astype(np.int64)
+
+
+@dataclass
+class Profile:
+    """Of one language: the runs its training texts hold (packed bits), and the share of a text's runs that the others
+    hold, for the middle text."""
+
+    runs: np.ndarray
+    usual: float
+
+    def share(self, text: str) -> float:
+        """The share of the text's runs, times the usual one's inverse; a few runs more of the usual kind steady that of
+        a short text."""
+        runs = letter_runs(text)
+        held = int(((self.runs[runs >> 3] >> (7 - (runs & 7)).astype(np.uint8)) & 1).sum())
+        return (held + PRIOR * self.usual) / (len(runs) + PRIOR) / self.usual if self.usual else 1.0
+
+
+def profiles(sample: list) -> dict[str, Profile]:
+    """For each language of the training rows; repeated texts count once.  A language with one text has no usual share
+    and turns nothing away."""
+    out, texts = {}, {}
+    for r in sample:
+        texts.setdefault(r["lang"], set()).add(r["text"])
+    for lang, own in texts.items():
+        number, runs = np.zeros(1 << RUN_BITS, np.int32), [letter_runs(t) for t in sorted(own)]
+        for r in runs:
+            number[np.unique(r)] += 1
+        out[lang] = Profile(np.packbits(number > 0), float(np.median([(number[r] > 1).mean() if len(r) else 1.0 for r in runs])))
+    return out
+
+
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The bounded sample: at most ``per_language`` rows (lang, text) of each language, none of them held out."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select(
@@ -110,7 +166,14 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """Train on the bounded sample (on the driver: at most ``per_language`` short texts of each language)."""
-    sample = [r for r in training_rows(docs, per_language).orderBy("rank", "lang").collect() if has_letter(r["text"])]
+    return trained(sampled(docs, per_language), landmarks)
+
+
+def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
+    return [r for r in training_rows(docs, per_language).orderBy("rank", "lang").collect() if has_letter(r["text"])]
+
+
+def trained(sample: list, landmarks: int = LANDMARKS) -> Model | None:
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
@@ -133,15 +196,16 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
     return np.clip((kernel @ model.weights + model.offsets + 1) / 2, 0, 1)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; whole texts, no shuffle."""
+def predict(docs: DataFrame, model: Model | None, usual: dict[str, Profile] | None = None, least_share: float = 0) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; whole texts, no shuffle.  With profiles, texts below the share of
+    their language are ``und`` as well."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, usual))
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, told = shared.value
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -150,15 +214,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 some = letters[k:k + BLOCK_ROWS]
                 found = scores(own, [texts[i] for i in some])
                 for i, c, s in zip(some, found.argmax(1), found.max(1), strict=True):
-                    names[i], best[i] = own.languages[c], s
+                    if told is None or told[own.languages[c]].share(texts[i]) >= least_share:
+                        names[i], best[i] = own.languages[c], s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best)],
                                              names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(rows, schema)
 
 
-def known(docs: DataFrame, least_score: float) -> DataFrame:
-    """The documents in a learned language, with their own columns: not ``und`` and at least the score."""
+def known(docs: DataFrame, least_share: float) -> DataFrame:
+    """The documents in a learned language, with their own columns: not ``und``, and of the runs that a training text of
+    the predicted language shares with the others usually, at least ``least_share`` times as many."""
     rows, back = renamed(docs, {"lang_pred", "score"})
-    kept = predict(rows, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    sample = sampled(docs)
+    kept = predict(rows, trained(sample), profiles(sample), least_share).where(F.col("lang_pred") != UNKNOWN)
     return kept.drop("lang_pred", "score").withColumnsRenamed(back)

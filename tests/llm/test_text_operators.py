@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -227,6 +228,32 @@ def test_language(spark):
     assert language_id.known(docs.limit(0), 0.1).count() == 0
 
 
+WORDS = {"en": "the weather was fine and they walked along river with friends while children played near old house under tall trees this morning",
+         "de": "das wetter war schön und sie gingen mit freunden am fluss entlang während kinder unter hohen bäumen beim alten haus spielten",
+         **{f"x{k}": " ".join(a + b + c for a in "bdfgklmn"[k % 8] + "pt" for b in "aeiou" for c in "rstvz"[k % 5] + "h") for k in range(10)}}
+STRANGE = ["ήταν μια όμορφη μέρα και περπατούσαν δίπλα στο ποτάμι", "тёплым утром дети играли у старого дома", "tänään oli kaunis ilma ja kävelimme pitkin jokea ystäviemme kanssa",
+           "qxzj vkwq jjxq zzkv wqxj kxvq qqzx", "Добрый день"]
+
+
+@pytest.mark.parametrize("languages", [1, 2, 12])
+def test_unlearned_languages_are_rejected(spark, languages):
+    rng = random.Random(4)
+    rows = [(lang, " ".join(rng.choices(WORDS[lang].split(), k=rng.choice([2, 3, 8, 60])))) for lang in list(WORDS)[:languages] for _ in range(120)]
+    rows += [(None, t) for t in STRANGE] + [(None, "The weather was fine!"), (None, "old house, 12 trees")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    kept = {r.text for r in language_id.known(docs, corpus_pipeline.LEAST_SHARE).collect()}
+    assert kept == {t for _, t in rows} - set(STRANGE)
+
+
+def test_letter_runs_ignore_segments(monkeypatch):
+    texts = ["abc déf,  12 " * 50, "", "x", " 1 " * 99 + "zz", "a b" * 70]
+    whole = [language_id.letter_runs(t).tolist() for t in texts]
+    assert list(map(len, whole)) == [399, 0, 1, 2, len(whole[4])]
+    for size in (3, 64):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", size)
+        assert whole == [language_id.letter_runs(t).tolist() for t in texts]
+
+
 def test_presence_ignores_segments(monkeypatch):
     texts = ["abc déf " * 50, "", "x", "zz " * 70]
     whole = language_id.presence(texts)
