@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from leafmill.llm import (
-    archive, chat, decontaminate, language_id, near_dedup, packing, token_files, trie_counts, url_templates,
-    vector_links,
+    archive, chat, decontaminate, language_id, near_dedup, packing, run_detection, substring_dedup, token_alignment,
+    token_files, trie_counts, url_templates, vector_links,
 )
 from leafmill.llm.common import new_folder
 
@@ -145,3 +145,53 @@ def _(spark, sf_dir):
 @register("op10_vector_links")
 def _(spark, sf_dir):
     return vector_links.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def with_planted_runs(docs):
+    """``docs`` in which the words of every tenth document, by the checksum of its id, turn periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size("words").cast("long")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("words"))
+    rows = rows.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(n > 0, F.col("g") % n))
+    rows = rows.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    planted = F.array_join(F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.element_at("words", (1 + F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))), " ")
+    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_run_detection")
+def _(spark, sf_dir):
+    found = run_detection.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = found.withColumn("best", run_detection.strongest())
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start"), F.col("best.length"), F.col("best.period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def alignment_files() -> tuple[str, str, str]:
+    """A's ranks (the vocabulary of byte_bpe_50k.json) and pattern, and B's pieces."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op12_token_alignment")
+def _(spark, sf_dir):
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), *alignment_files())
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                          F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+
+
+@register("op13_substring_dedup", r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    g as (select doc_id, i, w[i:i + 19] as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)),
+    later as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as nth from g) where nth > 1),
+    gone as (select distinct doc_id, unnest(range(i, i + 20)) as k from later),
+    words as (select doc_id, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from d),
+    kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by k) as text from words anti join gone using (doc_id, k) group by 1)
+    select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+    from d left join kept using (doc_id)""")
+def _(spark, sf_dir):
+    cleaned = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", substring_dedup.n_removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = registry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and names["pipeline"]
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and names["pipeline"]
     assert not set(queries.ORACLES) - set(names)
 
 
