@@ -4,7 +4,8 @@ Every window of ``WINDOW`` consecutive words has a Rabin-Karp hash, rolled over
 slice of texts the windows that repeat an earlier one are marked at once, so at most one window of each sequence leaves
 a slice, however often a passage occurs.  The others go, packed as columns, to the bucket that a second rolling hash
 names; Spark shuffles the buckets, each of which sorts its hashes and marks all places of a hash but the first.  The
-marks come back to their documents by doc_id, where overlapping windows merge into maximal removal intervals.
+marks are gathered by parts of the documents, packed again, and joined to their documents by doc_id, where overlapping
+windows merge into maximal removal intervals.
 
 The earlier place is the one with the smaller doc_id, then the smaller start.  Windows are judged on the input, not on
 what is left.  Buckets hold the windows of about ``BUCKET_BYTES`` of text whatever the size of the corpus, so memory is
@@ -142,7 +143,7 @@ def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             bucket = (rolled(words, window, BASES[1])[inside] >> np.uint64(32)) % np.uint64(buckets)
             of, starts = ids[order][doc[inside]], inside - bounds[doc[inside]]
             later = np.sort(repeats(hashes, of, starts))
-            out = [_row(int(batch_no), of[part], starts[part], None) for batch_no, part in [(int(bucket[later[0]]), later)]] if len(later) else []
+            out = [_row(int(bucket[later[0]]), of[later], starts[later], None)] if len(later) else []
             left = np.ones(len(hashes), bool)
             left[later] = False
             left = np.flatnonzero(left)
@@ -154,18 +155,17 @@ def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, PACKED)
 
 
-def _marks(windows: DataFrame) -> DataFrame:
-    """(doc_id, starts) of the windows that repeat an earlier one, several rows a document."""
+def _later(windows: DataFrame, parts: int) -> DataFrame:
+    """Packed windows that repeat an earlier one, by part: one row for each bucket and part of the documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def marked(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((starts, docs))
-            docs, starts = docs[order], starts[order]
-            fresh = np.flatnonzero(np.concatenate([[True], np.diff(docs) != 0])) if len(docs) else np.zeros(0, np.int64)
-            parts = [s.astype("<u4").tobytes() for s in np.split(starts, fresh[1:])] if len(docs) else []
-            return pa.RecordBatch.from_arrays([pa.array(docs[fresh], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "starts"])
+        def dealt(docs: np.ndarray, starts: np.ndarray) -> list[tuple]:
+            part = (mix(docs.astype(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
+            order = np.lexsort((starts, docs, part))
+            groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+            return [_row(int(part[g[0]]), docs[g], starts[g], None) for g in groups]
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -173,14 +173,32 @@ def _marks(windows: DataFrame) -> DataFrame:
                 if row["hashes"]:
                     held.append((np.frombuffer(row["hashes"], "<u8"), docs, starts.astype(np.uint32)))
                 else:
-                    yield marked(docs, starts)
+                    yield _batch(dealt(docs, starts))
         if held:
             hashes, docs, starts = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             later = repeats(hashes, docs, starts)
-            yield marked(docs[later], starts[later])
+            if len(later):
+                yield _batch(dealt(docs[later], starts[later].astype(np.int64)))
 
-    return windows.mapInArrow(rows, "doc_id long, starts binary")
+    return windows.mapInArrow(rows, PACKED)
+
+
+def _by_document(later: DataFrame) -> DataFrame:
+    """(doc_id, starts): one row per document and task, a part's documents in one task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpacked(row["docs"], row["counts"], row["starts"]) for batch in batches for row in batch.to_pylist()]
+        if not held:
+            return
+        docs, starts = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((starts, docs))
+        docs, starts = docs[order], starts[order]
+        fresh = np.flatnonzero(np.concatenate([[True], np.diff(docs) != 0]))
+        parts = [s.astype("<u4").tobytes() for s in np.split(starts, fresh[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[fresh], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "starts"])
+
+    return later.mapInArrow(rows, "doc_id long, starts binary")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -189,17 +207,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // BUCKET_BYTES)
-    marks = _marks(_windows(docs, window, buckets).repartitionById(buckets, "bucket"))
-    found = marks.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
+    later = _later(_windows(docs, window, buckets).repartitionById(buckets, "bucket"), buckets)
+    marks = _by_document(later.repartitionById(buckets, "bucket"))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sizes, texts, intervals = [], [], []
-            for text, lists in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, marked in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = (text or b"").split()
                 sizes.append(len(words))
-                starts = np.concatenate([np.frombuffer(s, "<u4") for s in lists or [b""]]).astype(np.int64)
+                starts = np.frombuffer(marked or b"", "<u4").astype(np.int64)
                 starts = starts[starts + window <= len(words)]
                 edges = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + window, minlength=len(words) + 1)
                 gone = np.concatenate([[0], (np.cumsum(edges) > 0).astype(np.int8)])
