@@ -12,21 +12,33 @@ replay only what is left, in time order:
   queue is replayed on its own.
 
 A replay streams a stretch through one task with constant state: sorted partitions, never a
-group in memory.  A key overloaded without any break is one stretch, sequential by definition;
-its quiet times and all other keys run in parallel.  All running values over a key are taken
-per time bucket and carried between buckets, so a busy key is spread there too.
+group in memory.  A key overloaded without any break is one long stretch: it is cut into
+segments of about ``SEGMENT`` requests that are replayed at once from speculated states and
+repaired in rounds (``_entries``).  All running values over a key are taken per time bucket and
+carried between buckets, so a busy key is spread there too.
 """
 
 from __future__ import annotations
 
+import json
+import logging
+import uuid
+from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.session import shared_folder
 from leafmill.streaming.windows import HALO_FACTOR, trailing_load
 
+LOGGER = logging.getLogger(__name__)
+#: Requests of a segment of a stretch, and rounds of speculation before the rest is replayed in order.
+SEGMENT = 50_000
+ROUNDS = 6
+
 
 def _bucketed(rows: DataFrame, bucket_us: int) -> DataFrame:
     return rows.withColumn("_b", F.floor(F.col("_us") / bucket_us))
@@ -52,70 +64,218 @@ def _running(rows: DataFrame, key: str, value: Column, how: str, name: str, befo
     return joined.withColumn(name, both).drop("_v", "_local", "_carry")
 
 
+class SlidingLog:
+    """One key's log: ``log(micros)`` is (allowed, retry_after, remaining)."""
+
+    def __init__(self, limit: int, width_us: int, state: str | None = None):
+        self.limit, self.width_us = limit, width_us
+        self.log = deque(json.loads(state) if state else [])
+
+    def __call__(self, us: int) -> tuple[bool, int, int]:
+        log, begin = self.log, us - self.width_us
+        while log and log[0] <= begin:
+            log.popleft()
+        if len(log) >= self.limit:
+            return False, (log[0] - begin) // 1_000_000 + 1, 0
+        log.append(us)
+        return True, 0, self.limit - len(log)
+
+    def same(self, other: SlidingLog) -> bool:
+        """Right after the same request: will both decide alike from now on."""
+        return self.log == other.log
+
+    def state(self) -> str:
+        return json.dumps(list(self.log))
+
+
+class TokenBucket:
+    """One key's bucket: ``bucket(micros)`` is (allowed, tokens, retry_after)."""
+
+    def __init__(self, rate_per_s: float, capacity: float, state: str | None = None):
+        self.rate, self.capacity = rate_per_s, capacity
+        self.tokens, self.last = json.loads(state) if state else (float(capacity), None)
+
+    def __call__(self, us: int) -> tuple[bool, float, int]:
+        tokens = self.tokens
+        if self.last is not None:
+            tokens = min(self.capacity, tokens + (us - self.last) / 1e6 * self.rate)
+        allowed = tokens >= 1
+        self.tokens, self.last = (tokens - 1 if allowed else tokens), us
+        return allowed, self.tokens, 0 if allowed else int((1 - tokens) / self.rate) + 1
+
+    def same(self, other: TokenBucket) -> bool:
+        return self.tokens == other.tokens
+
+    def state(self) -> str:
+        return json.dumps([self.tokens, self.last])
+
+
+def sliding_log(limit: int, width_us: int):
+    """Factory of logs: empty, or with the state of another one."""
+    return partial(SlidingLog, limit, width_us)
+
+
+def token_bucket(rate_per_s: float, capacity: float):
+    """Factory of buckets: full, or with the state of another one."""
+    return partial(TokenBucket, rate_per_s, capacity)
+
+
+def _headed(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``rows`` and ``heads``, told apart by ``_body`` (0 for a head); columns that heads lack hold any value there."""
+    spare = [F.lit(0).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in heads.columns]
+    return rows.withColumn("_body", F.lit(1)).unionByName(heads.select("*", *spare, F.lit(0).alias("_body")))
+
+
+def _exits(rows: DataFrame, key: str, segments: DataFrame, decide) -> DataFrame:
+    """(key, _run, _seg, exit): the state after each segment of ``segments``, from its state ``_new``.
+
+    A segment that was replayed from ``_entry`` to ``_exit`` before runs from both states side by side and is done
+    as soon as they meet: the rest and the exit are as before."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    place = [key, "_run", "_seg"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, known, old, new = None, None, None, None
+        for pdf in batches:
+            done = []
+            for at, us, entry, exit_, fresh in zip(zip(*(pdf[c].tolist() for c in place)), pdf["_us"].tolist(),
+                                                   pdf["_entry"].tolist(), pdf["_exit"].tolist(), pdf["_new"].tolist()):
+                if at != current:  # the row with the states comes first
+                    if current is not None:
+                        done.append((*current, known if new is None else new.state()))
+                    current, known, new = at, exit_, decide(state=fresh)
+                    old = decide(state=entry) if exit_ else None
+                elif new is not None:
+                    new(us)
+                    if old is not None:
+                        old(us)
+                        if old.same(new):
+                            new = None
+            yield pd.DataFrame(done, columns=[*place, "exit"])
+        if current is not None:
+            yield pd.DataFrame([(*current, known if new is None else new.state())], columns=[*place, "exit"])
+
+    text = F.lit(None).cast("string")
+    body = rows.join(segments.select(*place), place, "left_semi").select(
+        *place, "_us", "_id", text.alias("_entry"), text.alias("_exit"), text.alias("_new"))
+    ordered = _headed(body, segments.select(*place, "_entry", "_exit", "_new")).repartition(*place).sortWithinPartitions(
+        *place, "_body", "_us", "_id")
+    return ordered.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in place) + ", exit string")
+
+
+def _entries(rows: DataFrame, key: str, decide) -> DataFrame:
+    """(key, _run, _seg, _entry): the state in which each segment of the cut stretches begins.
+
+    Speculation: every segment is first replayed from the fresh state, all at once.  Then each takes the exit of the one
+    before as its entry, and those whose entry changed are replayed again, again at once, until none changes.  After
+    round r the first r + 1 segments of a stretch are right, and from wherever a replay meets the earlier one nothing
+    changes, so the rounds are as many as the segments that the longest difference lasts.  What is open after ``ROUNDS``
+    rounds (stretches whose states never meet) is replayed one segment after the other.
+    """
+    spark, place = rows.sparkSession, [key, "_run", "_seg"]
+    segments = rows.select(*place).distinct()
+    text = F.lit(None).cast("string")
+    first = _exits(rows, key, segments.select(*place, *[text.alias(c) for c in ("_entry", "_exit", "_new")]), decide)
+    segments = _kept(first.select(*place, text.alias("_entry"), F.col("exit").alias("_exit")), "segments")
+    order = Window.partitionBy(key, "_run").orderBy("_seg")
+    for spent in range(ROUNDS + 1):
+        chained = segments.withColumn("_new", F.lag("_exit").over(order)).withColumn("_open", ~F.col("_new").eqNullSafe(F.col("_entry")))
+        opened = chained.filter("_open")
+        n_open = opened.count()
+        LOGGER.info("replay round %d: %d segments open", spent, n_open)
+        if not n_open:
+            break
+        if spent == ROUNDS:  # from the first open segment of a stretch on, one after the other
+            begins = opened.groupBy(key, "_run").agg(F.min("_seg").alias("_begin"))
+            rest = chained.join(begins, [key, "_run"]).filter("_seg >= _begin")
+            exits = _exits_in_order(rows, key, rest, decide)
+            follow = rest.join(exits, place).withColumn("_new", F.coalesce(F.lag("exit").over(order), "_new")).select(*place, F.col("_new").alias("_seq"))
+            return chained.join(follow, place, "left").select(*place, F.coalesce("_seq", "_entry").alias("_entry"))
+        exits = _exits(rows, key, opened, decide)
+        segments = _kept(chained.join(exits, place, "left").select(
+            *place, F.when(F.col("_open"), F.col("_new")).otherwise(F.col("_entry")).alias("_entry"),
+            F.coalesce("exit", "_exit").alias("_exit")), "segments")
+    return segments.select(*place, "_entry")
+
+
+def _exits_in_order(rows: DataFrame, key: str, segments: DataFrame, decide) -> DataFrame:
+    """(key, _run, _seg, exit) of the last segments of stretches, each stretch in one sorted pass."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    place = [key, "_run", "_seg"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, step = None, None
+        for pdf in batches:
+            done = []
+            for at, us, fresh, begin in zip(zip(*(pdf[c].tolist() for c in place)), pdf["_us"].tolist(), pdf["_new"].tolist(), pdf["_begin"].tolist()):
+                if at != current:
+                    if current is not None:
+                        done.append((*current, step.state()))
+                    if at[2] == begin:
+                        step = decide(state=fresh)
+                    current = at
+                step(us)
+            yield pd.DataFrame(done, columns=[*place, "exit"])
+        if current is not None:
+            yield pd.DataFrame([(*current, step.state())], columns=[*place, "exit"])
+
+    state = F.when(F.col("_seg") == F.col("_begin"), F.col("_new"))
+    body = rows.join(segments.select(*place, "_begin", state.alias("_new")), place).select(*place, "_us", "_id", "_new", "_begin")
+    ordered = body.repartition(key, "_run").sortWithinPartitions(*place, "_us", "_id")
+    return ordered.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in place) + ", exit string")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _replay(rows: DataFrame, key: str, decide, extra: str) -> DataFrame:
-    """Stream every stretch in time order through ``decide()``: a factory of step functions
-    ``micros -> tuple`` with fresh state.  Columns: key, _id, _us, _run and optionally _own."""
-    names = [key, "_id", "_us", "_run", *(["_own"] if "_own" in rows.columns else [])]
-    kept = [n for n in names if n != "_run"]
+    """Stream every stretch in time order through ``decide()``: a factory of machines ``micros -> tuple`` that start
+    fresh or from a state.  Columns: key, _id, _us, _run and optionally _own.
+
+    A stretch of more than ``SEGMENT`` requests is cut by time into segments of about that many, whose entry states
+    are found first (``_entries``); then all segments are replayed at once.
+    """
+    own = ["_own"] if "_own" in rows.columns else []
+    rows = _kept(rows.select(key, "_run", "_id", "_us", *own), "replay")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kept = [key, "_id", "_us", *own]
     schema = ", ".join(f"`{n}` {types[n]}" for n in kept) + ", " + extra
     out_names = [part.split()[0] for part in extra.split(",")]
+    sizes = rows.groupBy(key, "_run").agg(F.count("*").alias("_n"), F.min("_us").alias("_low"), F.max("_us").alias("_high")).filter(
+        F.col("_n") > SEGMENT)
+    if sizes.isEmpty():
+        marked = rows.withColumns({"_seg": F.lit(0).cast("long"), "_entry": F.lit(None).cast("string"), "_body": F.lit(1)})
+    else:
+        part = (F.col("_us") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.ceil(F.col("_n") / SEGMENT)
+        cut = rows.join(sizes, [key, "_run"], "left").withColumn("_seg", F.coalesce(F.floor(part), F.lit(0)))
+        entries = _entries(cut.filter("_n is not null"), key, decide)
+        marked = _headed(cut.select(*kept, "_run", "_seg", F.lit(None).cast("string").alias("_entry")), entries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, step = None, None
         for pdf in batches:
-            results = []
-            for k, r, us in zip(pdf[key].tolist(), pdf["_run"].tolist(), pdf["_us"].tolist()):
-                if (k, r) != current:
-                    current, step = (k, r), decide()
-                results.append(step(us))
-            out = pdf[kept].copy()
+            results, body = [], pdf["_body"] == 1
+            for at, us, entry, is_body in zip(zip(pdf[key].tolist(), pdf["_run"].tolist(), pdf["_seg"].tolist()),
+                                              pdf["_us"].tolist(), pdf["_entry"].tolist(), body.tolist()):
+                if at != current:
+                    current, step = at, decide(state=entry)
+                if is_body:
+                    results.append(step(us))
+            out = pdf.loc[body, kept].copy()
             for name, values in zip(out_names, zip(*results)):
                 out[name] = values
-            yield out
+            if results:
+                yield out
 
-    ordered = rows.select(*names).repartition(F.col(key), F.col("_run")).sortWithinPartitions(key, "_run", "_us", "_id")
+    ordered = marked.repartition(key, "_run", "_seg").sortWithinPartitions(
+        key, "_run", "_seg", "_body", "_us", "_id")
     return ordered.mapInPandas(run, schema)
 
 
-def sliding_log(limit: int, width_us: int):
-    """Step function of one sliding log: micros -> (allowed, retry_after, remaining)."""
-    def fresh():
-        from collections import deque
-        log = deque()
-
-        def step(us: int):
-            while log and log[0] <= us - width_us:
-                log.popleft()
-            if len(log) >= limit:
-                return False, (log[0] - (us - width_us)) // 1_000_000 + 1, 0
-            log.append(us)
-            return True, 0, limit - len(log)
-
-        return step
-
-    return fresh
-
-
-def token_bucket(rate_per_s: float, capacity: float):
-    """Step function of one bucket: micros -> (allowed, tokens, retry_after)."""
-    def fresh():
-        state = [float(capacity), None]
-
-        def step(us: int):
-            tokens, last = state
-            if last is not None:
-                tokens = min(capacity, tokens + (us - last) / 1e6 * rate_per_s)
-            allowed = tokens >= 1
-            state[0], state[1] = (tokens - 1 if allowed else tokens), us
-            retry = 0 if allowed or tokens >= 1 else int((1 - tokens) / rate_per_s) + 1
-            return allowed, state[0], retry
-
-        return step
-
-    return fresh
-
-
 def _open_chains(open_rows: DataFrame, key: str, width_us: int) -> DataFrame:
     """``_run`` of every open request: time of the first one of its chain."""
     timed = _running(_bucketed(open_rows, width_us * HALO_FACTOR), key, F.col("_us"), "max", "_prev", before=True)

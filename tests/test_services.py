@@ -62,6 +62,60 @@ def test_admission_equals_replay_one_by_one(spark, limit):
             assert got[number] == pytest.approx(values, abs=1e-6), number
 
 
+def _replayed(rows, step):
+    return {number: step(at) for number, _, at in sorted(rows, key=lambda r: (r[2], r[0]))}
+
+
+@pytest.mark.parametrize("rounds", [6, 1])
+def test_long_stretches_are_cut_and_repaired(spark, monkeypatch, rounds):
+    """Segments of 40 requests, whose states meet late, early or (evenly spaced requests) never."""
+    monkeypatch.setattr(admission, "SEGMENT", 40)
+    monkeypatch.setattr(admission, "ROUNDS", rounds)
+    rng, rows, at = random.Random(5), [], 0
+    for user, gap in ((0, lambda: int(rng.expovariate(1 / 7e6))), (1, lambda: 7_000_000), (2, lambda: int(rng.expovariate(1 / 25e6)))):
+        at = 0
+        for _ in range(500):
+            at += gap()
+            rows.append((len(rows) + 2**60, user, at))
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, us long").repartition(5)
+    for factory, result, columns in (
+            (admission.sliding_log(3, 60_000_000), admission.admit_sliding(frame, "user_id", "event_id", F.col("us"), 3, 60_000_000),
+             ("allowed", "retry_after", "remaining")),
+            (admission.token_bucket(3 / 60, 3), admission.admit_bucket(frame, "user_id", "event_id", F.col("us"), 3),
+             ("allowed", "tokens", "retry_after"))):
+        want = {}
+        for user in range(3):
+            want |= _replayed([r for r in rows if r[1] == user], factory())
+        got = {r.event_id: tuple(r[c] for c in columns) for r in result.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[n] == pytest.approx(want[n], abs=1e-9) for n in want)
+
+
+def test_one_overloaded_key_is_replayed_by_many_tasks(spark, caplog):
+    """A million requests of one key, ten times its limit without a break."""
+    caplog.set_level("INFO", logger=admission.__name__)
+    n, width = 1_000_000, 60_000_000
+    gap = 20_000_000 * (F.xxhash64("id") % 1000 + 1000) / 2000
+    requests = spark.range(n).select(F.col("id").alias("event_id"), F.lit("k").alias("user_id"),
+                                     (F.col("id") * 10_000_000 + F.floor(gap)).alias("us"))
+    times = sorted((r.us, r.event_id) for r in requests.toLocalIterator())
+    step = admission.sliding_log(1, width)()
+    want = {number: step(at)[0] for at, number in times}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = admission.admit_sliding(requests, "user_id", "event_id", F.col("us"), 1, width).select(
+            "event_id", "allowed", F.spark_partition_id().alias("task")).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got["task"].nunique() >= 8 and got.groupby("task").size().max() < n / 4
+    assert dict(zip(got["event_id"].tolist(), got["allowed"].tolist(), strict=True)) == want
+    rounds = [r.args for r in caplog.records if r.name == admission.__name__]
+    assert rounds[-1][1] == 0 and sum(o for _, o in rounds) <= 3 * rounds[0][1]  # work: a few times the segments
+
+
 def test_five_of_seven_requests(spark):
     frame = spark.createDataFrame([(i, "test", i * 1000) for i in range(7)], "event_id long, user_id string, us long")
     rows = admission.admit_sliding(frame, "user_id", "event_id", F.col("us"), 5, 10_000_000).orderBy("event_id").collect()
