@@ -146,3 +146,19 @@ def tongues(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = (F.col("o_orderkey") % len(TONGUES) + 1).cast("int")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(
         F.element_at(texts, pick), F.lit(" "), F.col("o_orderkey").cast("string")).alias("text"))
+
+
+def spanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table per order: two header rows with spans, the order's key over all its lines, for even keys a sum line."""
+    cell = lambda c: F.concat(F.lit("<td>"), c.cast("string"), F.lit("</td>"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    money = lambda c: F.format_number(c / 100, 2)
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.concat(
+        cell(F.col("l_linenumber")), cell(F.col("l_quantity").cast("bigint")), cell(money(cents)), F.lit("</tr>")).alias("html"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
+        F.sort_array(F.collect_list(line)).alias("lines"), F.sum(cents).alias("total"))
+    key = F.concat(F.lit('<td rowspan="'), F.size("lines").cast("string"), F.lit('">'), F.col("doc_id").cast("string"), F.lit("</td>"))
+    body = F.array_join(F.transform("lines", lambda x, i: F.concat(F.lit("<tr>"), F.when(i == 0, key).otherwise(""), x["html"])), "\n")
+    total = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<tr><td COLSPAN=3>Sum, net</td>"), cell(money(F.col("total"))), F.lit("</tr>"))).otherwise("")
+    head = '<table><tr><th rowspan="2">Order</th><th colspan="3">Line</th></tr><tr><th>No</th><th>Quantity</th><th>Price</th></tr>\n'
+    return rows.select("doc_id", F.concat(F.lit(head), body, total, F.lit("</table>")).alias("text"))

@@ -4,7 +4,7 @@ Ordinary tables are cut out with native regexes.  Text whose tables are nested o
 badly closed goes through one Arrow function over the standard HTML tokenizer;
 other rows send it NULL, so their text is not shipped to Python.  Row, cell and CSV functions take a
 table's ``own`` form (for an ordinary table that is its source).
-Cell text is kept as written: no number inference.
+Cell text is kept as written: no number inference, no spans (``table_grid`` has both).
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ def _tokenized_tables(texts: Column) -> Column:
     """Arrow function over arrays of texts: ``TABLES`` of each, in order of the opening tags.
 
     ``html`` is the source from the opening tag to its end.  ``own`` repeats the rows and cells of the
-    table's own level, each closed, with the text of everything inside; tags of inner levels become ``<x>``.
+    table's own level, each closed, cells with their spans, with the text of everything inside; tags of inner levels
+    become ``<x>``.
     """
 
     @pandas_udf(f"array<{TABLES}>")
@@ -99,7 +100,8 @@ def _tokenized_tables(texts: Column) -> Column:
                         table["own"].append("<tr>")
                         table["row"] = True
                     if tag != "tr":
-                        table["own"].append(f"<{tag}>")
+                        spans = "".join(f' {k}="{v}"' for k, v in attrs if k in ("rowspan", "colspan") and (v or "").strip().isdigit())
+                        table["own"].append(f"<{tag}{spans}>")
                         table["cell"] = tag
                 else:
                     self.put("<x>")
