@@ -2,4 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from contract.service_queries import _BUCKETS, _TOKENS, collected, event_stream, micros
+from leafmill.streaming import admission, windows
+
 QUERIES, ORACLES = {}, {}
+
+
+def register(name, oracle=None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return fn
+    return keep
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+#: A time after all events and delays: an event then closes all windows.
+LAST = "2030-01-01 00:00:00"
+
+
+@register("stream_alerts", f"""with {_BUCKETS}, b as (select w from w where n_failed / n > 0.05)
+    select epoch_us(a.w) as window_us from b a where exists (select 1 from b where b.w = a.w - interval 5 minute)""")
+def _(spark, sf):
+    alerts = windows.stream_sustained(event_stream(spark, sf, late_hours=24, last=LAST), F.col("event_type") == "error", 0.05, "5 minutes", 2, "2 days")
+    return collected(spark, alerts.select(micros("start").alias("window_us")), "window_us bigint").select("window_us")
+
+
+@register("stream_sessions", """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+    n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as no from g)
+    select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts) + interval 6 hour) as end_us, count(*) as n from n group by user_id, no""")
+def _(spark, sf):
+    found = windows.stream_sessions(event_stream(spark, sf, late_hours=24, last=LAST), "user_id", "6 hours", "2 days").select(
+        "user_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n")
+    return collected(spark, found, "user_id bigint, start_us bigint, end_us bigint, n bigint").drop("_batch")
+
+
+@register("stream_token_bucket", f"""with a as ({_TOKENS}) select user_id, count(*) filter (allowed) as allowed, count(*) filter (not allowed) as denied
+    from a join events using (event_id) group by user_id""")
+def _(spark, sf):
+    counts = admission.stream_bucket(event_stream(spark, sf), "user_id", 1, "1 hour")
+    rows = collected(spark, counts, "user_id bigint, allowed bigint, denied bigint", "update")
+    return rows.groupBy("user_id").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))

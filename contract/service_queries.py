@@ -551,25 +551,32 @@ def _(spark, sf):
     n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as no from g)
     select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts) + interval 6 hour) as end_us, count(*) as n from n group by user_id, no""")
 def _(spark, sf):
-    return windows.sessions(B.events(spark, sf), "user_id", "6 hours").select(
+    return windows.sessions(B.events(spark, sf), "user_id", 21_600).select(
         "user_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n")
 
 
-def _event_stream(spark, sf, late_hours: int = 0):
-    """The events in four files by time, one per micro-batch, so state goes from batch to batch.  With
-    ``late_hours`` rows arrive up to that many hours late, by their id."""
+FILES = 4  # of a micro-batch
+
+
+def event_stream(spark, sf, late_hours: int = 0, last: str | None = None):
+    """The events in four slots by time, one per micro-batch of several files, so state goes from batch to batch.  With
+    ``late_hours`` rows arrive up to that many hours late, by their id.  ``last`` is the time of one more event, of no
+    user, after all others, which moves the watermark past them."""
     path = scratch(spark) + "/events"
     events = B.events(spark, sf)
     arrival = F.unix_seconds("ts") + F.col("event_id") % (late_hours + 1) * 3600
     low, high = events.agg(F.min(arrival), F.max(arrival)).first()
     for k in range(4):  # one after another: the source takes files by age
         slot = F.least(F.floor((arrival - low) * 4 / (high - low + 1)), F.lit(3))
-        events.where(slot == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.option("maxFilesPerTrigger", 1).schema(
+        events.where(slot == k).repartition(FILES).write.mode("append").parquet(path)
+    if last:
+        events.limit(1).select("event_id", F.lit(last).cast("timestamp").alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("").alias(
+            "event_type"), "value", "props").write.mode("append").parquet(path)
+    return spark.readStream.option("maxFilesPerTrigger", FILES).schema(
         "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").parquet(path)
 
 
-def _collected(spark, stream, schema: str, mode: str = "append"):
+def collected(spark, stream, schema: str, mode: str = "append"):
     """Run a stream over what is there and read back what each batch wrote; the last version of a
     row is found by its batch number."""
     base = scratch(spark)
@@ -585,31 +592,31 @@ def _collected(spark, stream, schema: str, mode: str = "append"):
 
 @register("stream_request_rates", f"with {_BUCKETS} select epoch_us(w) as window_us, n, n_failed from w")
 def _(spark, sf):
-    rates = windows.request_rates(_event_stream(spark, sf, late_hours=24), _failed(), watermark="2 days").select(
+    rates = windows.request_rates(event_stream(spark, sf, late_hours=24), _failed(), watermark="2 days").select(
         micros("w.start").alias("window_us"), "n", "n_failed")
-    rows = _collected(spark, rates, "window_us bigint, n bigint, n_failed bigint", "update")
+    rows = collected(spark, rates, "window_us bigint, n bigint, n_failed bigint", "update")
     return rows.groupBy("window_us").agg(F.max_by("n", "_batch").alias("n"), F.max_by("n_failed", "_batch").alias("n_failed"))
 
 
 @register("stream_deduplicated", "select distinct user_id, event_type from events")
 def _(spark, sf):
-    fresh = windows.deduplicated(_event_stream(spark, sf), ["user_id", "event_type"], "40 days").select("user_id", "event_type")
-    return _collected(spark, fresh, "user_id bigint, event_type string").drop("_batch")
+    fresh = windows.deduplicated(event_stream(spark, sf), ["user_id", "event_type"], "40 days").select("user_id", "event_type")
+    return collected(spark, fresh, "user_id bigint, event_type string").drop("_batch")
 
 
 @register("stream_job_status", f"{_REPLAY} select job_id, retries, status from f")
 def _(spark, sf):
-    e = _event_stream(spark, sf, late_hours=24).filter(F.col("event_type").isin("error", "purchase", "signup"))
+    e = event_stream(spark, sf, late_hours=24).filter(F.col("event_type").isin("error", "purchase", "signup"))
     outcome = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("cancel")
     status = jobs.folded_status(e.select(F.col("user_id").alias("job_id"), "ts", "event_id", outcome.alias("outcome"))).drop("last_ts")
-    rows = _collected(spark, status, "job_id bigint, retries bigint, status string", "update")
+    rows = collected(spark, status, "job_id bigint, retries bigint, status string", "update")
     return rows.groupBy("job_id").agg(F.max_by("retries", "_batch").alias("retries"), F.max_by("status", "_batch").alias("status"))
 
 
 @register("stream_sliding_log", f"with a as ({_ADMIT}) select user_id, count(*) filter (allowed) as allowed, count(*) filter (not allowed) as denied from a join events using (event_id) group by user_id")
 def _(spark, sf):
-    counts = admission.stream_sliding(_event_stream(spark, sf), "user_id", 2, 43_200, "1 hour")
-    rows = _collected(spark, counts, "user_id bigint, allowed bigint, denied bigint", "update")
+    counts = admission.stream_sliding(event_stream(spark, sf), "user_id", 2, 43_200, "1 hour")
+    rows = collected(spark, counts, "user_id bigint, allowed bigint, denied bigint", "update")
     return rows.groupBy("user_id").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
 
 
@@ -680,7 +687,7 @@ def _(spark, sf):
     def write(batch, number):
         batch.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
 
-    documents.run_batches(_event_stream(spark, sf), write, f"{base}/checkpoint")
+    documents.run_batches(event_stream(spark, sf), write, f"{base}/checkpoint")
     rows = spark.read.parquet(f"{base}/out")
     return rows.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("n_batches"))
 

@@ -10,11 +10,13 @@ from pyspark.sql import SparkSession
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on; safe to call on any session, local or cluster.
 
-    Adaptive execution stays on (coalescing, skew joins), times are UTC.
+    Adaptive execution stays on (coalescing, skew joins), times are UTC, streams merge a task's sessions before they
+    shuffle them.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
 

@@ -27,6 +27,7 @@ from collections import deque
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +81,10 @@ class SlidingLog:
         log.append(us)
         return True, 0, self.limit - len(log)
 
+    def fresh_at(self) -> int:
+        """From when on it decides like a new one."""
+        return self.log[-1] + self.width_us if self.log else 0
+
     def same(self, other: SlidingLog) -> bool:
         """Right after the same request: will both decide alike from now on."""
         return self.log == other.log
@@ -103,6 +108,10 @@ class TokenBucket:
         self.tokens, self.last = (tokens - 1 if allowed else tokens), us
         return allowed, self.tokens, 0 if allowed else int((1 - tokens) / self.rate) + 1
 
+    def fresh_at(self) -> int:
+        """From when on it decides like a new one."""
+        return 0 if self.last is None else self.last + int((self.capacity - self.tokens) / self.rate * 1e6) + 1
+
     def same(self, other: TokenBucket) -> bool:
         return self.tokens == other.tokens
 
@@ -331,35 +340,39 @@ def admit_bucket(events: DataFrame, key: str, id_col: str, micros: Column, per_m
 
 
 def stream_sliding(events: DataFrame, key: str, limit: int, width_s: int, watermark: str = "10 minutes") -> DataFrame:
-    """Structured Streaming form (columns: key, ts): per key and batch the admitted and denied counts.
+    """Structured Streaming form of the sliding log (columns: key, ts): admitted and denied counts per key and batch."""
+    return _stream(events, key, sliding_log(limit, width_s * 1_000_000), watermark)
+
+
+def stream_bucket(events: DataFrame, key: str, per_minute: int, watermark: str = "10 minutes") -> DataFrame:
+    """Structured Streaming form of the token bucket (columns: key, ts): admitted and denied counts per key and batch."""
+    return _stream(events, key, token_bucket(per_minute / 60, per_minute), watermark)
+
 
-    Requests are judged in the order of arrival: within a micro-batch by time, and one that is older
-    than the newest time seen of its key is judged as if it came at that time, as it does.  The state of a
-    key is its log of at most ``limit`` timestamps and that newest time.  A call holds the timestamps of one key in
-    one micro-batch, whose size the source's rate limit sets; a key that stays silent past its window is
-    dropped by an event-time timeout.
+def _stream(events: DataFrame, key: str, decide, watermark: str) -> DataFrame:
+    """Requests are judged in the order of arrival: within a micro-batch by time, and one that is older than the
+    newest time seen of its key is judged as if it came at that time, as it does.  The state of a key is that of its
+    log or bucket, and that newest time.  A call holds the times of one key in one micro-batch, 8 bytes each, whose
+    number the source's rate limit sets.  A key's state goes by an event-time timeout when it is as good as fresh: its
+    log is empty, or its bucket full.
     """
-    width_us = width_s * 1_000_000
     key_type = events.schema[key].dataType.simpleString()
 
     def run(group, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        log, newest = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        allowed = denied = 0
-        for us in sorted(int(t.value // 1000) for pdf in batches for t in pdf["ts"]):
-            us = newest = max(us, newest)
-            log = [t for t in log if t > us - width_us]
-            if len(log) >= limit:
-                denied += 1
-            else:
-                log.append(us)
-                allowed += 1
-        state.update((log, newest))
-        if log:
-            state.setTimeoutTimestamp(max(max(log) // 1000 + width_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [group[0]], "allowed": [allowed], "denied": [denied]})
-
-    return events.withWatermark("ts", watermark).select(key, "ts").groupBy(key).applyInPandasWithState(
-        run, f"`{key}` {key_type}, allowed long, denied long", "log array<long>, newest long", "update", "EventTimeTimeout")
+        kept, newest = state.get if state.exists else (None, 0)
+        machine, times = decide(state=kept), [pdf["us"].to_numpy() for pdf in batches]
+        allowed = total = 0
+        for us in np.maximum(np.sort(np.concatenate(times)), newest).tolist():
+            newest = us
+            total += 1
+            allowed += machine(us)[0]
+        state.update((machine.state(), newest))
+        state.setTimeoutTimestamp(max(machine.fresh_at() // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [group[0]], "allowed": [allowed], "denied": [total - allowed]})
+
+    timed = events.withWatermark("ts", watermark).select(key, "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy(key).applyInPandasWithState(
+        run, f"`{key}` {key_type}, allowed long, denied long", "state string, newest long", "update", "EventTimeTimeout")

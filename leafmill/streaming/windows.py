@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +94,59 @@ def deduplicated(events: DataFrame, keys: list[str], ttl: str) -> DataFrame:
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Activity sessions per key."""
-    return events.groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select(
-        key, "s.start", "s.end", "n")
+def stream_sustained(events: DataFrame, failed: Column, limit: float, width: str, spans: int, watermark: str) -> DataFrame:
+    """Stream, append mode: ``start`` of windows that end a run of ``spans`` adjacent windows with an error share over
+    ``limit``: ``sustained`` over ``request_rates``, told once the watermark has passed the window.
+
+    Two stateful steps in a chain: windows of requests, then windows over the times of breaching windows, as long as
+    the run and sliding by one window; one that holds ``spans`` breaches is all breaches.  Late rows count as long as
+    the watermark allows; a window without requests ends a run.
+    """
+    rates = request_rates(events, failed, width, watermark)
+    breaches = rates.filter(F.col("error_ratio") > limit).select(F.window_time("w").alias("at"))
+    whole = F.expr(f"interval '{width}' * {spans}")
+    length = events.sparkSession.range(1).select(F.unix_seconds(F.timestamp_seconds(F.lit(0)) + whole).alias("s")).first().s
+    runs = breaches.groupBy(F.window("at", f"{length} seconds", width).alias("r")).agg(F.count("*").alias("n")).filter(F.col("n") == spans)
+    return runs.select((F.col("r.end") - F.expr(f"interval '{width}'")).alias("start"), "n")
+
+
+def sessions(events: DataFrame, key: str, gap_s: int) -> DataFrame:
+    """Batch: activity sessions per key (start, end, n); requests at least ``gap_s`` apart part them, a session ends
+    ``gap_s`` after its last request.
+
+    Each batch of a task's rows is merged into sessions first (``_local_sessions``); only those are shuffled, and
+    sessions of a key that touch are merged by a running maximum of ends.
+    """
+    local = _local_sessions(events.select(key, F.unix_micros("ts").alias("us")), key, gap_s * 1_000_000)
+    order = Window.partitionBy(key).orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("first") - before >= gap_s * 1_000_000, F.lit(True)).cast("int")
+    numbered = local.withColumn("fresh", fresh).withColumn("no", F.sum("fresh").over(order))
+    return numbered.groupBy(key, "no").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).select(
+        key, F.timestamp_micros("first").alias("start"), F.timestamp_micros(F.col("last") + gap_s * 1_000_000).alias("end"), "n")
+
+
+def _local_sessions(rows: DataFrame, key: str, gap_us: int) -> DataFrame:
+    """(key, first, last, n): sessions of the rows of one batch of one task, in microseconds."""
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, first long, last long, n long"
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("us"))).sort_by([(key, "ascending"), ("us", "ascending")])
+            if not batch.num_rows:
+                continue
+            us = batch.column("us").to_numpy()
+            code = pc.fill_null(batch.column(key).dictionary_encode().indices, -1).to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(us) >= gap_us)]))
+            end = np.append(begin[1:], len(us))
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(begin)), pa.array(us[begin]), pa.array(us[end - 1]),
+                                              pa.array(end - begin)], names=[key, "first", "last", "n"])
+
+    return rows.mapInArrow(merged, schema)
+
+
+def stream_sessions(events: DataFrame, key: str, gap: str, watermark: str) -> DataFrame:
+    """Stream: activity sessions per key (start, end, n).  The state holds a key's open sessions; a late row that
+    bridges two of them makes one.  Rows are merged into sessions before the shuffle (set in ``session.prepare``)."""
+    return events.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", gap).alias("s")).agg(
+        F.count("*").alias("n")).select(key, "s.start", "s.end", "n")
