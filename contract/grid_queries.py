@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contract import markup_queries, service_queries
 from fixtures import render_docs as R
-from leafmill.operators import table_grid, tables
+from leafmill.operators import classify, fields, reuse, table_function, table_grid, tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -54,3 +55,64 @@ def _(spark, sf):
     found = tables.table_rows(R.spanned_tables(spark, sf), ["doc_id"]).select(table_grid.grid(F.col("own")).alias("g"))
     kinds = found.select(F.posexplode(table_grid.types(F.col("g"))).alias("col", "type"))
     return kinds.groupBy("col", "type").agg(F.count("*").alias("n_tables"))
+
+
+_FLAT = markup_queries.ORACLES["table_cells"].replace("0::int as", "1::int as table_index, 0::int as", 1).replace("select doc_id, r::int", "select doc_id, 1::int, r::int", 1)
+
+
+@register("table_function", _FLAT)
+def _(spark, sf):
+    table_function.register(spark)
+    markup_queries.inv(spark, sf).createOrReplaceTempView("invoice_texts")
+    return spark.sql("select d.doc_id, t.* from invoice_texts d, lateral extract_tables(d.text) t")
+
+
+@register("table_function_nested", markup_queries.ORACLES["nested_cells"].replace("p[1] as table_index, p[2] as row, p[3] as col", "p[1]::int as table_index, p[2]::int as row, p[3]::int as col"))
+def _(spark, sf):
+    table_function.register(spark)
+    R.forms(spark, sf).createOrReplaceTempView("form_texts")
+    return spark.sql("select d.doc_id, t.* from form_texts d, lateral extract_tables(d.text) t")
+
+
+# --- corpus reports ------------------------------------------------------------------------------
+
+
+_PAPER_TYPE = "list_value({})[c_custkey % 10 + 1]".format(", ".join(f"'{t}'" for t in R.PAPER_TYPES))
+
+
+@register("paper_type_distribution", f"""select {_PAPER_TYPE} as document_type, count(*) as n_docs from customer group by 1""")
+def _(spark, sf):
+    return classify.type_distribution(classify.classify(R.papers(spark, sf))).select("document_type", "n_docs")
+
+
+@register("fill_rates_by_type", """with v as (select ['F', 'O', 'P'][(doc_id % 3 + 1)::int] as kind, unnest(['Alpha', 'Beta', 'Gamma']) as field, unnest([true, doc_id % 2 = 0, false]) as found
+      from (select o_orderkey as doc_id from orders)),
+    g as (select kind, field, grouping(kind) * 2 + grouping(field) as level, count(*) as n_values, count(*) filter (found) as n_found from v group by rollup (kind, field))
+    select kind, field, level::int as level, n_values, n_found, round_even(n_found / n_values * 100, 1)::double as fill_rate from g""")
+def _(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    beta = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("\nBeta: b"), key)).otherwise("")
+    docs = R.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Alpha: a"), key, beta).alias("text"))
+    rows = fields.label_rows(docs, enabled=[], extra=["Alpha", "Beta", "Gamma"])
+    kind = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return fields.fill_rates_by_type(rows.withColumn("kind", kind), "kind")
+
+
+# --- reuse of results ----------------------------------------------------------------------------
+
+
+def scratch_database(spark) -> str:
+    """A new database below the shared folder, for tables that a query writes and reads back."""
+    path = service_queries.scratch(spark)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"create database {name} location '{path}'")
+    return name
+
+
+@register("incremental_documents", service_queries.ORACLES["uncached_documents"])
+def _(spark, sf):
+    table = f"{scratch_database(spark)}.known"
+    done = service_queries._done(spark, sf)
+    reuse.write_keys(done, table, 8)
+    blocks = reuse.filter_blocks(spark.table(table).count())
+    return reuse.new_keys(service_queries._keyed(spark, sf), table, reuse.key_filter(spark.table(table), blocks), blocks).select("doc_id")

@@ -92,6 +92,14 @@ def fill_rates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.count_if("found").alias("n_found"))
 
 
+def fill_rates_by_type(rows: DataFrame, type_col: str = "document_type") -> DataFrame:
+    """Fill rates per type and field, per type, and over all, in one pass (``level`` 0, 1 and 3: which of type and
+    field are summed over)."""
+    return rows.rollup(type_col, "field").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("n_values"), F.count_if("found").alias("n_found"),
+        F.bround(F.count_if("found") / F.count("*") * 100, 1).alias("fill_rate"))
+
+
 # --- structured fields -------------------------------------------------------------------
 
 

@@ -351,8 +351,8 @@ def stream_bucket(events: DataFrame, key: str, per_minute: int, watermark: str =
 
 def _stream(events: DataFrame, key: str, decide, watermark: str) -> DataFrame:
     """Requests are judged in the order of arrival: within a micro-batch by time, and one that is older than the
-    newest time seen of its key is judged as if it came at that time, as it does.  The state of a key is that of its
-    log or bucket, and that newest time.  A call holds the times of one key in one micro-batch, 8 bytes each, whose
+    newest time seen of its key is judged as if it came at that time, as it does; one behind the watermark is dropped.
+    The state of a key is that of its log or bucket, and that newest time.  A call holds the times of one key in one micro-batch, 8 bytes each, whose
     number the source's rate limit sets.  A key's state goes by an event-time timeout when it is as good as fresh: its
     log is empty, or its bucket full.
     """
