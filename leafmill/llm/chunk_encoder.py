@@ -1,9 +1,10 @@
 """Whole texts to token ids with the tokenizers library, each distinct word encoded once per batch and cache.
 
 The library needs about a microsecond a byte.  Texts repeat their words, so a batch is cut into chunks at blanks,
-its distinct chunks are found by Arrow, and only chunks that the cache lacks reach the library's model.  The ids
-equal ``Tokenizer.encode(text, add_special_tokens=False).ids`` for every text: chunks are cut only where the
-tokenizer itself always ends a pre-token, and a text with any other white space there is encoded as a whole.
+its distinct chunks are found by Arrow, without a comma or full stop after a letter or digit, and only chunks that the
+cache lacks reach the library's model.  The ids equal ``Tokenizer.encode(text, add_special_tokens=False).ids`` for
+every text: chunks are cut only where the tokenizer itself always ends a pre-token, and a text with any other white
+space there is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ CACHE_ENTRIES = 250_000
 #: Characters for which lower case and normal form are the same in every library; other chunks go the library's whole way.
 PLAIN = re.compile("[ \n\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
 RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-FIRST = "\x00"
+FIRST, RUN = "\x00", "\x01"
 
 
 def byte_table() -> dict[int, str]:
@@ -32,29 +33,35 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: A last character that is a pre-token of its own.
+TAIL = "[A-Za-z0-9À-ÖØ-öø-ÿ][,.]$"
+
+
 class Cache:
     """At most ``CACHE_ENTRIES`` entries in two generations: when the young one is full it becomes the old one, and what
     the old one is asked for comes back, so frequent words stay."""
 
     def __init__(self):
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, key: str, missing: object) -> bytes | None | object:
-        value = self.young.get(key, missing)
-        if value is missing:
-            value = self.old.get(key, missing)
-            if value is not missing:
-                self.put(key, value)
-        return value
+    def values(self, keys: list[str], make) -> list[bytes]:
+        """The values of distinct keys; those that are missing are made."""
+        found = list(map(self.young.get, keys))
+        for i, value in enumerate(found):
+            if value is None:
+                key = keys[i]
+                value = self.old.get(key)
+                if value is None:
+                    value = make(key)
+                if len(self.young) >= CACHE_ENTRIES // 2:
+                    self.young, self.old = {}, self.young
+                found[i] = self.young[key] = value
+        return found
 
-    def put(self, key: str, value: bytes | None) -> None:
-        if len(self.young) >= CACHE_ENTRIES // 2:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
 
-
-MISSING = object()
+#: Stands for the ids of a chunk whose ends don't allow to cut there.
+UNSAFE = b"\xff"
 
 
 class ChunkEncoder:
@@ -69,15 +76,16 @@ class ChunkEncoder:
         self.pattern = regex.compile(pattern).findall if pattern else None
         self.blanks_count = blanks_count
         self.table = byte_table()
-        self.chunks, self.pieces = Cache(), Cache()
+        self.blank = self.table[32]
+        self.chunks = Cache()
+        self.tails = [b"", self._piece(","), self._piece(".")]
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece, MISSING)
-        if ids is MISSING:
-            name = piece.encode().decode("latin-1").translate(self.table)
-            ids = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
-            self.pieces.put(piece, ids)
-        return ids
+        if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            piece = piece.replace(" ", self.blank)
+        else:
+            piece = piece.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         """Ids of any text by one call of the library."""
@@ -92,42 +100,29 @@ class ChunkEncoder:
         word = plain[1:] if plain[0] == " " else plain
         if word.isalpha():
             return self._piece(plain)
-        if word[:-1].isalpha() and word[-1] in ",.":
-            return self._piece(plain[:-1]) + self._piece(word[-1])
         return b"".join([self._piece(p) for p in self.pattern(plain)])
 
-    def _chunk(self, key: str) -> bytes | None:
-        """Ids of a chunk, None if its ends don't allow to cut there.  A chunk after a blank comes without it."""
+    def _chunk(self, key: str) -> bytes:
+        """Ids of a chunk, ``UNSAFE`` if its ends don't allow to cut there.  A chunk after a blank comes without it; one of
+        blanks and a word that stays with them comes after an own mark."""
+        if key.startswith(RUN):
+            return self._content(key[1:])
         if not self.blanks_count:
             return self._content(key.removeprefix(FIRST).removeprefix("\n"))
         first = key.startswith(FIRST)
         body = key[1:] if first or key.startswith("\n") else key
         if not body:
-            return b"" if first else None
+            return b"" if first else UNSAFE
         if body[-1].isspace():
-            return None
+            return UNSAFE
         return self._content(body if first else ("\n" if key[0] == "\n" else " ") + body)
 
-    def _cached(self, key: str) -> bytes | None:
-        ids = self.chunks.get(key, MISSING)
-        if ids is MISSING:
-            ids = self._chunk(key)
-            self.chunks.put(key, ids)
-        return ids
-
     def _runs(self, text: str) -> bytes:
         """A text with runs of blanks: each run stays with the word after it."""
-        out = []
         runs = RUNS(text)
-        for i, run in enumerate(runs):
-            if run[-1].isspace() and (i + 1 < len(runs) or run.strip(" \n")):
-                return self.whole(text)
-            ids = self.chunks.get("\x01" + run, MISSING)
-            if ids is MISSING:
-                ids = self._content(run)
-                self.chunks.put("\x01" + run, ids)
-            out.append(ids)
-        return b"".join(out)
+        if any(run[-1].isspace() and (i + 1 < len(runs) or run.strip(" \n")) for i, run in enumerate(runs)):
+            return self.whole(text)
+        return b"".join(self.chunks.values([RUN + run for run in runs], self._chunk))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one entry more than texts)."""
@@ -141,10 +136,15 @@ class ChunkEncoder:
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
-        values = [self._cached(k) for k in coded.dictionary.to_pylist()]
-        unsafe = np.array([v is None for v in values])
+        tailed = pc.match_substring_regex(coded.dictionary, TAIL)
+        tails = (tailed.cast(pa.int8()).to_numpy() * (1 + pc.ends_with(coded.dictionary, ".").cast(pa.int8()).to_numpy())).tolist()
+        bare = pc.if_else(tailed, pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary).dictionary_encode()
+        found = self.chunks.values(bare.dictionary.to_numpy(zero_copy_only=False).tolist(), self._chunk)
+        values = [found[c] + self.tails[t] if t else found[c] for c, t in zip(bare.indices.to_numpy().tolist(), tails, strict=True)]
+        unsafe = np.array([v is UNSAFE for v in values])
+        for i in np.flatnonzero(unsafe):
+            values[i] = b""
         whole = odd | (np.add.reduceat(unsafe[index].astype(np.int64), bounds[:-1]) > 0)
-        values = [v or b"" for v in values]
         if whole.any():
             empty = len(values)
             values.append(b"")
