@@ -85,7 +85,10 @@ class ChunkEncoder:
             piece = piece.replace(" ", self.blank)
         else:
             piece = piece.encode().decode("latin-1").translate(self.table)
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return self._ids(piece)
+
+    def _ids(self, name: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         """Ids of any text by one call of the library."""
@@ -105,6 +108,8 @@ class ChunkEncoder:
     def _chunk(self, key: str) -> bytes:
         """Ids of a chunk, ``UNSAFE`` if its ends don't allow to cut there.  A chunk after a blank comes without it; one of
         blanks and a word that stays with them comes after an own mark."""
+        if key.isascii() and key.isalpha():  # most are
+            return self._ids(self.blank + key if self.blanks_count else key.lower())
         if key.startswith(RUN):
             return self._content(key[1:])
         if not self.blanks_count:
