@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from leafmill.functions import catalog as C
+
 WORD = r"\p{L}\p{N}_"
 _SPACE_JAVA = r"\s\x1C-\x1F\x{85}\p{Z}"
 _SPACE_RE2 = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
@@ -45,21 +47,31 @@ def _spell(pattern: str, space: str) -> str:
 # group recurses once per repetition in Java unless it is possessive, and a pattern that starts
 # with a run retries at every position of the run; a start inside a run is allowed only
 # right behind the previous match (\G).
-_COMPANY = r"(?:Inc\.|Corp\.|LLC|Ltd\.)"
-STEADY = {
-    rf"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+{_COMPANY}":
-        rf"(?:\G|(?<![A-Z][a-z]{{1,40}}\s{{1,20}}))[A-Z][a-z]+(?:\s+(?!{_COMPANY})[A-Z][a-z]+)*+\s+{_COMPANY}",
-    r"[A-Z]{2,}\s+(?:Corporation|Company|Industries)":
-        r"(?:\G|(?<![A-Z]))[A-Z]{2,}+\s+(?:Corporation|Company|Industries)",
-    r"[\d,]+\.?\d*\s*(?:USD|EUR|GBP)": r"(?:\G|(?<![\d,]))[\d,]++(?:\.\d*+)?+\s*+(?:USD|EUR|GBP)",
-    r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}":
-        r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    r"(?:name|from|to)\s*:?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)":
-        r"(?:name|from|to)\s*:?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+)",
-    r"_+\s*\(.*?\)": r"(?<!_)_++\s*+\(.*?\)",
-    r"(?:^|\n)\s*(?:[\•\-\*]|\d+\.)\s*(.+?)(?:\n|$)":
-        r"(?:^|(?:\G|(?<!\n))\n)\s*+(?:[\•\-\*]|\d++\.)\s*(.+?)(?:\n|$)",
-}
+
+
+def alternatives(pattern: str) -> str:
+    """The last plain group of alternatives in a pattern, with its brackets; '' without one."""
+    groups = [g for g in re.findall(r"\(\?:[^()]*\)(?![?*])", pattern) if "|" in g]
+    return groups[-1] if groups else ""
+
+
+def _steady() -> dict[str, str]:
+    company, maker = C.ENTITY_PATTERNS["organization"]
+    amount, mail = C.ENTITY_PATTERNS["money"][1], C.ENTITY_PATTERNS["email"][0]
+    form, name = C.DOCUMENT_RULES["form"][2][3], C.QUESTION_PATTERNS["name"]
+    ends = alternatives(company)
+    return {
+        company: rf"(?:\G|(?<![A-Z][a-z]{{1,40}}\s{{1,20}}))[A-Z][a-z]+(?:\s+(?!{ends})[A-Z][a-z]+)*+\s+{ends}",
+        maker: r"(?:\G|(?<![A-Z]))[A-Z]{2,}+\s+" + alternatives(maker),
+        amount: r"(?:\G|(?<![\d,]))[\d,]++(?:\.\d*+)?+\s*+" + alternatives(amount),
+        mail: r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++" + mail[mail.index("@"):],
+        name: name.replace("*)", "*+)"),
+        form: r"(?<!_)_++\s*+" + form[form.index(r"\("):],
+        C.BULLET_PATTERN: r"(?:^|(?:\G|(?<!\n))\n)\s*+" + C.BULLET_PATTERN[C.BULLET_PATTERN.index(r"\s*") + 3:].replace(r"\d+", r"\d++"),
+    }
+
+
+STEADY = _steady()
 
 
 def java(pattern: str, ignore_case: bool = False, multiline: bool = False, dotall: bool = False) -> str:
@@ -68,6 +80,8 @@ def java(pattern: str, ignore_case: bool = False, multiline: bool = False, dotal
     head = tail = ""
     if body.startswith(r"\b"):
         head, body = rf"(?<![{WORD}])", body[2:]
+        if first := re.match(r"\[[^\]^][^\]]*\]", body):  # tested before what stands in front, as it mostly fails
+            head = f"(?={first.group()}){head}"
     if body.endswith(r"\b"):
         tail, body = rf"(?![{WORD}])", body[:-2]
     flags = "d" + ("iu" if ignore_case else "") + ("m" if multiline else "") + ("s" if dotall else "")

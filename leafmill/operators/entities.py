@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import catalog as C
 from leafmill.functions import text as T
-from leafmill.functions.regex import java, needed_literals
-
-# substring or character every match of a pattern must contain: tested before the regex
-_NEEDS = {
-    C.ENTITY_PATTERNS["person"][1]: r"M(?:r|rs|s)\.|Dr\.",
-    C.ENTITY_PATTERNS["organization"][0]: r"Inc\.|Corp\.|LLC|Ltd\.",
-    C.ENTITY_PATTERNS["organization"][1]: r"Corporation|Company|Industries",
-    C.ENTITY_PATTERNS["date"][1]: r"January|February|March|April|May|June|July|August|September|October|November|December",
-    C.ENTITY_PATTERNS["money"][0]: r"\$",
-    C.ENTITY_PATTERNS["money"][1]: r"USD|EUR|GBP",
-    C.ENTITY_PATTERNS["money"][2]: r"[€£¥]",
-    C.ENTITY_PATTERNS["email"][0]: r"@",
-    C.ENTITY_PATTERNS["address"][0]: r"St|Ave|R(?:oa)?d|B(?:oulevar|lv)d",
-}
+from leafmill.functions.regex import alternatives, java, needed_literals
+
+
+def _needed(pattern: str) -> list[str]:
+    """Substrings of which every match of an entity pattern holds one, from the pattern's last alternatives or its one
+    fixed character; those that contain another one are left out."""
+    arms = [a.replace("\\", "") for a in alternatives(pattern)[3:-1].split("|")] if alternatives(pattern) else []
+    fixed = arms or [c for c in "@$" if c in pattern and "|" not in pattern]
+    return [x for x in fixed if not any(y != x and y in x for y in fixed)]
+
+
+def _gates(text: Column, pattern: str) -> list[Column]:
+    """Conditions that hold wherever an entity pattern matches and cost less than it, the cheapest last (it is tested
+    first): its needed substrings, and digits it must end with."""
+    gates = [T.any_of([text.contains(x) for x in _needed(pattern)])] if _needed(pattern) else []
+    _, group, tail = pattern.rpartition(alternatives(pattern) or "\0")
+    if group and tail.startswith(r"\s+\d"):
+        gates.append(text.rlike(java(tail.removeprefix(r"\s+"))))
+    elif pattern.count("?") > 2:  # many optional parts: what follows the last but one of them
+        gates.append(text.rlike(java("?".join(pattern.split("?")[-2:]))))
+    return gates
 
 
 def _kept_person(value: Column) -> Column:
@@ -28,14 +35,12 @@ def _kept_person(value: Column) -> Column:
     return ~lower.isin(C.PERSON_LABELS) & ~T.any_of([lower.contains(w) for w in C.PERSON_STOP_PARTS])
 
 
-_STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd)"
-
-
 def _addresses(text: Column) -> Column:
     """Same matches as the address pattern in two steps without a backtracking group: number with
     the whole chain of capitalised words behind it, cut after the last street word."""
     chains = T.find_all(text, r"(?<!\d)\d++\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)++", 0)
-    cut = java(rf"^(\d+\s+[A-Z][a-z]+(?=\s).*(?<=\s){_STREET})", dotall=True)
+    street = alternatives(C.ENTITY_PATTERNS["address"][0])
+    cut = java(rf"^(\d+\s+[A-Z][a-z]+(?=\s).*(?<=\s){street})", dotall=True)
     return F.filter(F.transform(chains, lambda c: F.regexp_extract(c, cut, 1)), lambda a: a != "")
 
 
@@ -57,8 +62,8 @@ def entity_array(text: Column, types: list[str] | None = None) -> Column:
             continue
         for no, pattern in enumerate(patterns):
             values = _addresses(text) if kind == "address" else T.find_all(text, pattern, 0)
-            if pattern in _NEEDS:
-                values = F.when(text.rlike(_NEEDS[pattern]), values).otherwise(F.array().cast("array<string>"))
+            for gate in _gates(text, pattern):
+                values = F.when(gate, values).otherwise(F.array().cast("array<string>"))
             if kind == "person":
                 values = F.filter(values, _kept_person)
             parts.append(_tagged(values, kind, no))
