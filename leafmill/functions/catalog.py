@@ -362,6 +362,24 @@ BATCH_FILE_LIMIT = 10
 MAX_JOB_RETRIES = 3
 MAX_DELIVERY_ATTEMPTS = 3
 
+# --- fixed values: messages of checks ---------------------------------------------------------
+
+UNSUPPORTED_FILE = "Unsupported file type: {extension}. Supported: {supported}"
+INVALID_URL = "Invalid URL format: {url}"
+KEY_MISSING = "API key is required"
+KEY_SHORT = "API key must be at least {low} characters"
+TOKENS_LOW = "Max tokens must be at least {low}"
+TOKENS_HIGH = "Max tokens cannot exceed {high}"
+IMAGE_SIZE_LOW = "Image size must be at least {low}"
+IMAGE_SIZE_HIGH = "Image size cannot exceed {high}"
+TYPE_MISFIT = "Value '{value}' doesn't match type '{kind}'"
+NOT_ALLOWED = "Value '{value}' not in allowed values: {allowed}"
+BELOW_MINIMUM = "Value below minimum ({low})"
+ABOVE_MAXIMUM = "Value above maximum ({high})"
+TOO_SHORT = "Value too short (min: {low})"
+TOO_LONG = "Value too long (max: {high})"
+REQUIRED_MISSING = "Required field '{name}' not found"
+
 # --- fixed values: notification texts ------------------------------------------------------
 # event type -> (subject, body); {name} marks a value
 
@@ -409,6 +427,14 @@ WATERMARK = r"<watermark>(.*?)</watermark>"
 PRINTED_NUMBER = r"<page_number>(.*?)</page_number>"
 CHECKED, UNCHECKED = "☑", "☐"
 
+# one alternation in document order; only the bodies of environments are groups
+ANY_EQUATION = (r"\$\$[^$]+\$\$|\$[^$]+\$|\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}"
+                r"|\\begin\{align\*?\}(.*?)\\end\{align\*?\}")
+# signs of a table, an equation and an image
+TABLE_SIGN = r"(?i)<table[\s>/]"
+EQUATION_SIGN = r"\$\$[^$]+\$\$|\$[^$]+\$"
+IMAGE_SIGN = r"<img>.*?</img>"
+
 # --- fixed values: texts of rendered documents ----------------------------------------------
 NO_CSV = "No tables found or could not convert."
 NO_TABLES = "No HTML tables found."

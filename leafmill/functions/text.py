@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from html.entities import html5
 
@@ -53,6 +54,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def message(template: str, **values: object) -> Column:
+    """A fixed text with its ``{places}`` filled by columns or plain values."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    parts = [F.lit(p) if i % 2 == 0 else values[p] if isinstance(values[p], Column) else F.lit(str(values[p])) for i, p in enumerate(pieces)]
+    return F.concat(*parts)
+
+
 def first_match(col: Column, pattern: str, group: int = 1, **flags) -> Column:
     """Group of the first match; NULL without a match (an empty group is a match)."""
     spelled = java(pattern, **flags)

@@ -28,28 +28,28 @@ def extension(path: Column) -> Column:
 
 def url_error(url: Column) -> Column:
     ok = url.isNull() | (url == "") | T.matches(url, _URL, ignore_case=True)
-    return F.when(~ok, F.concat(F.lit("Invalid URL format: "), url))
+    return F.when(~ok, T.message(C.INVALID_URL, url=url))
 
 
 def extension_error(path: Column) -> Column:
     allowed = C.IMAGE_EXTENSIONS + C.DOCUMENT_EXTENSIONS
-    return F.when(~extension(path).isin(allowed), F.concat(
-        F.lit("Unsupported file type: "), extension(path), F.lit(f". Supported: {', '.join(allowed)}")))
+    return F.when(~extension(path).isin(allowed), T.message(
+        C.UNSUPPORTED_FILE, extension=extension(path), supported=", ".join(allowed)))
 
 
 def key_error(key: Column) -> Column:
-    return F.when(F.coalesce(key, F.lit("")) == "", "API key is required").when(
-        F.length(key) < C.MIN_KEY_LENGTH, f"API key must be at least {C.MIN_KEY_LENGTH} characters")
+    return F.when(F.coalesce(key, F.lit("")) == "", C.KEY_MISSING).when(
+        F.length(key) < C.MIN_KEY_LENGTH, T.message(C.KEY_SHORT, low=C.MIN_KEY_LENGTH))
 
 
 def tokens_error(n: Column) -> Column:
     low, high = C.TOKEN_RANGE
-    return F.when(n < low, f"Max tokens must be at least {low}").when(n > high, f"Max tokens cannot exceed {high}")
+    return F.when(n < low, T.message(C.TOKENS_LOW, low=low)).when(n > high, T.message(C.TOKENS_HIGH, high=high))
 
 
 def image_size_error(n: Column) -> Column:
     low, high = C.IMAGE_SIZE_RANGE
-    return F.when(n < low, f"Image size must be at least {low}").when(n > high, f"Image size cannot exceed {high}")
+    return F.when(n < low, T.message(C.IMAGE_SIZE_LOW, low=low)).when(n > high, T.message(C.IMAGE_SIZE_HIGH, high=high))
 
 
 def safe_name(path: Column, fallback: str | None = None) -> Column:

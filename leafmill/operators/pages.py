@@ -50,8 +50,7 @@ def equations(text: Column) -> Column:
 def environment_equations(text: Column) -> Column:
     """Variant with one alternation in document order: dollar maths is consumed but
     contributes nothing, only equation/align bodies are returned."""
-    pattern = (r"\$\$[^$]+\$\$|\$[^$]+\$|\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}"
-               r"|\\begin\{align\*?\}(.*?)\\end\{align\*?\}")
+    pattern = C.ANY_EQUATION
     bodies = F.zip_with(T.find_all(text, pattern, 1, dotall=True), T.find_all(text, pattern, 2, dotall=True),
                         lambda a, b: F.concat(a, b))
     return T.non_blank(bodies)
@@ -138,9 +137,9 @@ def parse_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def element_flags(text: Column) -> dict[str, Column]:
     """Does the text show a table, an equation, an image."""
     return {
-        "has_table": text.rlike(r"(?i)<table[\s>/]"),
-        "has_equation": text.rlike(java(r"\$\$[^$]+\$\$|\$[^$]+\$")),
-        "has_image": text.rlike(java(r"<img>.*?</img>")),
+        "has_table": text.rlike(C.TABLE_SIGN),
+        "has_equation": text.rlike(java(C.EQUATION_SIGN)),
+        "has_image": text.rlike(java(C.IMAGE_SIGN)),
     }
 
 

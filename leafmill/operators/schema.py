@@ -98,8 +98,7 @@ def _misfits(attempts: Column, kind: str) -> Column:
     """Errors of the attempts in front of the first that fits."""
     fitting = F.array_position(F.transform(attempts, lambda a: a["v"].isNotNull()), F.lit(True))
     before = F.when(fitting > 0, F.slice(attempts, F.lit(1), (fitting - 1).cast("int"))).otherwise(attempts)
-    return F.transform(before, lambda a: F.concat(
-        F.lit("Value '"), a["raw"], F.lit(f"' doesn't match type '{kind}'")))
+    return F.transform(before, lambda a: T.message(C.TYPE_MISFIT, value=a["raw"], kind=kind))
 
 
 def _judge(name: str, spec: dict, required: bool, picked: Column, misfits: Column) -> Column:
@@ -111,20 +110,20 @@ def _judge(name: str, spec: dict, required: bool, picked: Column, misfits: Colum
     checks = []
     if spec.get("enum"):
         outside = F.coalesce(~falsy & ~_listed(value, kind, spec["enum"]), F.lit(False))
-        checks.append(F.when(outside, F.concat(F.lit("Value '"), value, F.lit(
-            f"' not in allowed values: {_python_list(spec['enum'])}"))))
+        checks.append(F.when(outside, T.message(
+            C.NOT_ALLOWED, value=value, allowed=_python_list(spec["enum"]))))
         value = F.when(~outside, value)
         falsy = falsy | outside
     if kind in ("integer", "number"):
         number = value.try_cast("double")
         if "minimum" in spec:
-            checks.append(F.when(~falsy & (number < spec["minimum"]), F.lit(f"Value below minimum ({spec['minimum']})")))
+            checks.append(F.when(~falsy & (number < spec["minimum"]), T.message(C.BELOW_MINIMUM, low=spec["minimum"])))
         if "maximum" in spec:
-            checks.append(F.when(~falsy & (number > spec["maximum"]), F.lit(f"Value above maximum ({spec['maximum']})")))
+            checks.append(F.when(~falsy & (number > spec["maximum"]), T.message(C.ABOVE_MAXIMUM, high=spec["maximum"])))
     errors = F.concat(misfits, F.array_compact(F.array(*checks))) if checks else misfits
     valid = (F.size(errors) == 0) & value.isNotNull()
     if required:
-        errors = F.when(falsy, F.array_append(errors, F.lit(f"Required field '{name}' not found"))).otherwise(errors)
+        errors = F.when(falsy, F.array_append(errors, T.message(C.REQUIRED_MISSING, name=name))).otherwise(errors)
         valid = valid & ~falsy
     return F.struct(F.lit(name).alias("field"), value.alias("value"),
                     F.coalesce(picked["w"], F.lit(0.0)).alias("confidence"), valid.alias("valid"),
@@ -192,19 +191,19 @@ def check_values(value: Column, spec: dict) -> Column:
     if spec.get("type", "string") in ("integer", "number"):
         number = value.try_cast("double")
         live = F.coalesce(number != 0, F.lit(False))
-        checks += [F.when(live & (number < spec["minimum"]), F.lit(f"Value below minimum ({spec['minimum']})"))
+        checks += [F.when(live & (number < spec["minimum"]), T.message(C.BELOW_MINIMUM, low=spec["minimum"]))
                    ] if "minimum" in spec else []
-        checks += [F.when(live & (number > spec["maximum"]), F.lit(f"Value above maximum ({spec['maximum']})"))
+        checks += [F.when(live & (number > spec["maximum"]), T.message(C.ABOVE_MAXIMUM, high=spec["maximum"]))
                    ] if "maximum" in spec else []
     else:
         live = value != ""
         checks += [F.when(live & (F.length(value) < spec["minLength"]),
-                          F.lit(f"Value too short (min: {spec['minLength']})"))] if "minLength" in spec else []
+                          T.message(C.TOO_SHORT, low=spec["minLength"]))] if "minLength" in spec else []
         checks += [F.when(live & (F.length(value) > spec["maxLength"]),
-                          F.lit(f"Value too long (max: {spec['maxLength']})"))] if "maxLength" in spec else []
+                          T.message(C.TOO_LONG, high=spec["maxLength"]))] if "maxLength" in spec else []
     if spec.get("enum"):
-        checks.append(F.when(live & ~_listed(value, spec.get("type", "string"), spec["enum"]), F.concat(
-            F.lit("Value '"), value, F.lit(f"' not in allowed values: {_python_list(spec['enum'])}"))))
+        checks.append(F.when(live & ~_listed(value, spec.get("type", "string"), spec["enum"]), T.message(
+            C.NOT_ALLOWED, value=value, allowed=_python_list(spec["enum"]))))
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
