@@ -78,17 +78,22 @@ def header(name: str) -> Column:
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: what its header says, the payload (a revisit's comes from the store as well) and the exact
-    bytes of the original record."""
+    bytes of the original record.  Every record is rebuilt; one whose length or payload digest differs from what its own
+    header says fails the query."""
     store = spark.read.parquet(f"{folder}/payloads")
     sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("damaged payload "), "digest")).cast("binary"))
     rows = spark.read.parquet(f"{folder}/headers").join(store.select("digest", sound.alias("payload")), "digest")
     number = lambda name: F.nullif(header(name), F.lit("")).cast("long")
     block = F.when(header("WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
+    rows = rows.withColumn("record", F.concat(F.col("head").cast("binary"), block, F.lit("\r\n\r\n").cast("binary")))
+    fits = (F.octet_length("record") == F.octet_length("head") + number("Content-Length") - len(HTTP) + 4) & (
+        header("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.sha1("payload")))
+    whole = F.when(fits, F.col("payload")).otherwise(
+        F.raise_error(F.concat(F.lit("a record differs from its header: page "), header("Page"))).cast("binary"))
     return rows.select(
         number("Page").alias("page_id"), header("WARC-Target-URI").alias("url"), header("WARC-Type").alias("record_type"),
-        number("Refers-To-Page").alias("refers_to"), "digest", "payload", F.concat(
-            F.col("head").cast("binary"), block, F.lit("\r\n\r\n").cast("binary")).alias("record"))
+        number("Refers-To-Page").alias("refers_to"), "digest", whole.alias("payload"), "record")
 
 
 def export_warc(records: DataFrame, folder: str) -> None:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.chunk_encoder import encoder
 from leafmill.llm.common import checkpointed, sliced
 
+#: An exchange that saves fewer bins than one in so many brings nothing more.
+LEAST_SAVED = 1000
 PIECES_PER_PART = 50_000
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", part long, bin int, offset long, fill long, gap int"
@@ -116,33 +118,39 @@ def pack_parts(rows: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(rows: DataFrame, capacity: int, pieces_per_part: int = PIECES_PER_PART) -> DataFrame:
-    """``pieces`` rows with ``sequence_id`` and ``offset``.  Reopened pools shrink, so rounds end by themselves."""
+    """``pieces`` rows with ``sequence_id`` and ``offset``.
+
+    After each round the open bins of parts with a gap, and underfilled bins of all, exchange their pieces and are
+    packed anew.  When an exchange saves fewer than one bin in ``LEAST_SAVED``, only underfilled bins go on; when
+    that saves none either, or one part holds what is left, the rounds end."""
     rows = checkpointed(rows)
     shown = [c.split()[0] for c in PIECES.split(", ")]
     done = [rows.where(F.col("length") == capacity).select(
         *shown, (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    pool, left, turn = rows.where(F.col("length") < capacity), None, 0
-    while True:
-        number = pool.count()
-        if not number or left is not None and number * 10 > left * 9:
-            break
-        left, parts = number, max(1, -(-number // pieces_per_part))
+    pool, before, tails, turn = rows.where(F.col("length") < capacity), None, False, 0
+    while number := pool.count():
+        parts = max(1, -(-number // pieces_per_part))
         placed = checkpointed(pack_parts(pool.select(*shown, F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)).alias(
             "part")), capacity))
-        spare = F.when(F.col("gap") > 0, F.col("fill") < capacity).otherwise(F.col("fill") * 10 < capacity * 9)
-        again = spare if parts > 1 else F.lit(False)
         sequence = F.lit((turn + 1) * ROUND_IDS) + F.col("part") * PART_IDS + F.col("bin")
         settled = placed.withColumn("sequence_id", sequence)
+        saved = None if before is None else before - _bins(placed)
+        if parts == 1 or tails and saved * LEAST_SAVED < before:
+            done.append(settled.select(*shown, "sequence_id", "offset"))
+            break
+        tails = tails or saved is not None and saved * LEAST_SAVED < before
+        underfilled = F.col("fill") * 10 < capacity * 9
+        again = underfilled if tails else F.when(F.col("gap") > 0, F.col("fill") < capacity).otherwise(underfilled)
         done.append(settled.where(~again).select(*shown, "sequence_id", "offset"))
         pool, turn = placed.where(again), turn + 1
-        last = settled.where(again).select(*shown, "sequence_id", "offset")
-        if parts == 1:
-            return _union(done)
-    if number:
-        done.append(last)  # nearly all bins would be opened again and again; they stay as they are
+        before = _bins(pool)
     return _union(done)
 
 
+def _bins(placed: DataFrame) -> int:
+    return placed.select("part", "bin").distinct().count()
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

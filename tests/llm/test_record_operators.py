@@ -43,6 +43,13 @@ def test_archive(spark):
     empty = new_folder(spark, "a")
     archive.write_archive(pages.limit(0), empty)
     assert archive.read_archive(spark, empty).count() == 0
+    for wrong in ("Content-Length: 1", "WARC-Payload-Digest: sha1:0"):  # a header that doesn't fit its payload
+        name = wrong.split(":")[0]
+        heads = spark.read.parquet(f"{folder}/headers").withColumn("head", F.regexp_replace("head", rf"\r\n{name}: [^\r]*", f"\r\n{wrong}"))
+        heads.write.parquet(f"{folder}-{name}/headers")
+        spark.read.parquet(f"{folder}/payloads").write.parquet(f"{folder}-{name}/payloads")
+        with pytest.raises(Exception, match="differs from its header"):
+            archive.read_archive(spark, f"{folder}-{name}").select(F.sha1("payload")).collect()
 
 
 def test_archive_finds_damage(spark):

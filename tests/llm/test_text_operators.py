@@ -120,6 +120,22 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(docs.limit(0), *word_tokenizer(), 0, 128), 128).count() == 0
 
 
+def test_parts_with_a_gap_exchange_pieces(spark, monkeypatch):
+    """Even lengths and an odd capacity: no sequence can be exactly full, all parts have a gap."""
+    rounds, once = [], packing.pack_parts
+    monkeypatch.setattr(packing, "pack_parts", lambda rows, capacity: rounds.append(rows.select("part").distinct().count()) or once(rows, capacity))
+    lengths = F.lit(20) + 2 * F.pmod(F.xxhash64("id"), F.lit(50))
+    columns = {"doc_id": F.col("id"), "uid": F.col("id"), "length": lengths}
+    rows = spark.range(8000).select(*[columns.get(c.split()[0], F.lit(0)).cast(c.split()[1]).alias(c.split()[0]) for c in packing.PIECES.split(", ")])
+    got = packing.pack(rows, 127, pieces_per_part=2000).select("sequence_id", "offset", "length").toPandas()
+    ends = got.groupby("sequence_id")["length"].sum()
+    assert len(got) == 8000 and ends.max() <= 127 and rounds[0] == 4 and len(rounds) >= 2
+    apart = once(rows.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(0)), F.lit(4))), 127).select("part", "bin").distinct().count()
+    sizes = np.array(got["length"])
+    assert packing.lower_bound(np.bincount(sizes, minlength=128)) <= len(ends) <= apart
+    assert len(ends) <= len(packing.best_fit(sizes, 127)[2]) + 2 * rounds[0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
 def test_bound_is_below_optimum(lengths):
