@@ -7,10 +7,16 @@ the Jaccard similarity of shingles in order).  Classes are the components of the
 
 No bucket is expanded into all its pairs.  First each member is aligned with one member picked by a hash, another one
 in each bucket, and what that links is joined.  Only buckets whose members then still belong to several components go
-on.  Small ones are compared in full across components; a pair of similarity 0.8 meets in a bucket with a probability of
-0.99999.  The members of larger ones go through an exact filter: two texts of similarity 0.8 share a shingle among
-the rarest fifth of each, so only such pairs across components are aligned.  Nothing is capped, and texts that merely
-share a passage, or are edited too much, have no rare shingle in common.
+on; nodes that such buckets connect are a cluster, whose most central member (in the most and largest buckets) is its hub.
+Every node is aligned with its hub, which links what is near it.  For the rest it is enough to look at differences: with
+D(a) the shingles that a and the hub do not share, a pair of similarity 0.8 of which one node is not near the hub has a
+common shingle in D(a) and D(b) (its symmetric difference is |D(a)| + |D(b)| less twice the common part, and D of the one
+alone exceeds what is allowed).  Copies of one text differ from it at their own places, so these sets are small and rare
+where whole texts have nearly everything in common.  Pairs across components that share a shingle so early in the order
+of rarity that the similarity can still be reached are aligned.  Nodes farther from the hub than their own length are
+compared by all their shingles in the same way; those from 0.6 of it on in both ways, so no pair falls between.  Nodes with
+the hub's shingles in another order, thus near but not aligned, are compared with the near ones by all their shingles.
+Nothing is capped and nothing depends on a size; a pair of similarity 0.8 meets in a bucket with a probability of 0.99999.
 
 Defined cases: null texts and texts without words are never linked; fewer than five words are one shingle; equal
 texts are linked whatever their length; the class is named by its smallest doc_id (null first); rows with the same
@@ -33,8 +39,10 @@ from leafmill.llm.components import components
 TENTHS = 8
 #: Shingles in a sketch and sketches of a text.
 KEPT, SKETCHES = 3, 16
-#: Buckets up to this size are compared in full where components differ.
-SMALL = 32
+#: Parts into which the nodes of one hub are dealt.
+SALTS = 32
+#: How a node's marks are meant: those that differ from the hub's, or all.
+DIFFERENT, ALL = 0, 1
 
 
 def _groups(lines: list[bytes]) -> Iterator[range]:
@@ -141,34 +149,79 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(spread.select("bucket"), "bucket", "left_semi")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs of different components within each bucket."""
-    left = members.select("bucket", F.col("node").alias("x"), F.col("label").alias("xl"))
-    right = members.select("bucket", F.col("node").alias("y"), F.col("label").alias("yl"))
-    return left.join(right, "bucket").where("xl < yl").select(*_ordered("x", "y")).distinct()
+def clusters(spread: DataFrame) -> DataFrame:
+    """(node, hub): the nodes that open buckets connect, and the most central one of them."""
+    joined = components(spread.select("node", "leader"), "node", "leader")
+    weighed = spread.groupBy("node").agg(F.sum("size").alias("weight")).join(joined, "node")
+    hubs = weighed.groupBy("component").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    return weighed.join(hubs, "component").select("node", "hub")
 
 
-def rare(seqs: DataFrame, members: DataFrame, tenths: int = TENTHS) -> DataFrame:
-    """(mark, node, label, place, n) of the rarest shingles of ``members`` (node, label): so many that two nodes of the
-    similarity surely share one.  Shingles that only one node has come first and need no row."""
-    rows = marked(seqs.join(members.select("node").distinct(), "node", "left_semi")).select(
-        "node", F.size("marks").alias("n"), F.explode("marks").alias("mark"))
-    common = rows.groupBy("mark").agg(F.count("*").alias("held")).where("held > 1")
-    own = Window.partitionBy("node")
-    placed = rows.join(common, "mark").select(
-        "mark", "node", "n", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "mark"))).alias("place"),
-        (F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1).alias("last"))
-    first = placed.where("place <= last").select("mark", "node", "n", "place")
-    return first.join(members.select("node", "label").distinct(), "node")
+def against_hubs(members: DataFrame, seqs: DataFrame, tenths: int = TENTHS) -> DataFrame:
+    """For (node, hub): whether they are linked, whether their shingles alone reach the similarity (near), the number of
+    the node's shingles, and its rows of marks (kind, marks).  A hub's nodes are dealt over parts."""
+    hubs = seqs.select(F.col("node").alias("hub"), F.col("seq").alias("hub_seq")).join(
+        members.select("hub").distinct(), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = members.join(seqs, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(
+        hubs, ["hub", "salt"]).select("node", "hub", "seq", "hub_seq")
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(sliced([whole], "seq"), "hub_seq"):
+                out: dict[str, list] = {c: [] for c in ("node", "hub", "linked", "near", "n", "kinds")}
+                for node, hub, seq, hub_seq in zip(*(batch.column(c) for c in ("node", "hub", "seq", "hub_seq")), strict=True):
+                    a, h = (np.frombuffer(x.as_buffer(), np.uint32) for x in (seq, hub_seq))
+                    own, other = (shingles.labelled(x, np.array([0, len(x)])).view(np.int64) for x in (a, h))
+                    differ = np.setxor1d(own, other, assume_unique=True)
+                    near = (10 + tenths) * len(differ) <= (10 - tenths) * (len(a) + len(h))
+                    kinds = [{"kind": DIFFERENT, "marks": differ}] if len(differ) <= len(a) else []
+                    if 10 * len(differ) > 6 * len(a):
+                        kinds.append({"kind": ALL, "marks": own})
+                    found = (node.as_py(), hub.as_py(), near and shingles.similar(a, h, tenths), near, len(a), kinds)
+                    for column, value in zip(out.values(), found, strict=True):
+                        column.append(value)
+                kinds = pa.list_(pa.struct([("kind", pa.int32()), ("marks", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out["node"], pa.int64()), pa.array(out["hub"], pa.int64()), pa.array(out["linked"], pa.bool_()),
+                     pa.array(out["near"], pa.bool_()), pa.array(out["n"], pa.int64()), pa.array(out["kinds"], kinds)],
+                    names=list(out))
+
+    return rows.mapInArrow(one, "node long, hub long, linked boolean, near boolean, n long, kinds array<struct<kind:int,marks:array<long>>>")
+
+
+def rare(told: DataFrame) -> DataFrame:
+    """(hub, kind, mark, node, label, near, n, d, place) of the rarest marks of each node, with d marks in all: so many
+    that it surely shares one with any node of the similarity.  Marks that only one node has come first and need no row.
+
+    What two similar nodes share of their marks is at least (d + d' - (n + n') / 9) / 2; as d' is at least d - (n + n') / 9
+    and n' at most 5 / 4 n, that is at least d - n / 4."""
+    rows = told.select("hub", "node", "label", "near", "n", F.inline("kinds")).select(
+        "hub", "kind", "node", "label", (F.col("near") & (F.col("kind") == DIFFERENT)).alias("near"), "n",
+        F.size("marks").alias("d"), F.explode("marks").alias("mark"))
+    held = rows.groupBy("hub", "kind", "mark").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("node", "kind")
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "mark"))
+    return rows.join(held, ["hub", "kind", "mark"]).withColumn("place", place).drop("held").where(
+        F.col("place") <= F.floor(F.col("n") / 4) + 1)
 
 
 def sharing(marks: DataFrame, tenths: int = TENTHS) -> DataFrame:
-    """Pairs across components that share a rare shingle so early that what follows it in both can still reach the
-    similarity.  At the first shingle that two nodes share, no more than the rest of either can be common."""
-    side = lambda k: marks.select("mark", *[F.col(c).alias(c[0] + k) for c in ("node", "label", "place")], F.col("n").alias("size" + k))
-    most = F.least(F.col("sizex") - F.col("px"), F.col("sizey") - F.col("py")) + 1
-    reach = most * (10 + tenths) >= (F.col("sizex") + F.col("sizey")) * tenths
-    return side("x").join(side("y"), "mark").where((F.col("lx") < F.col("ly")) & reach).select(*_ordered("nx", "ny")).distinct()
+    """Pairs across components that share a mark so early that what follows it in both can still reach the similarity.
+    At the first mark that two nodes share, no more than the rest of either can be common."""
+    side = lambda k: marks.select("hub", "kind", "mark", *[
+        F.col(c).alias(c + k) for c in ("node", "label", "near", "n", "d", "place")])
+    most = F.least(F.col("dx") - F.col("placex"), F.col("dy") - F.col("placey")) + 1
+    least = (F.col("dx") + F.col("dy")) * (10 + tenths) - (F.col("nx") + F.col("ny")) * (10 - tenths)
+    fits = (F.col("labelx") < F.col("labely")) & ~(F.col("nearx") & F.col("neary")) & (most * 2 * (10 + tenths) >= least)
+    return side("x").join(side("y"), ["hub", "kind", "mark"]).where(fits).select(*_ordered("nodex", "nodey")).distinct()
+
+
+def turned(told: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Pairs of nodes near a hub of which one is not aligned with it: by all their marks."""
+    hubs = told.where("near and not linked").select("hub").distinct()
+    some = told.where("near").join(hubs, "hub", "left_semi")
+    every = F.array(F.struct(F.lit(ALL).alias("kind"), F.col("marks")))
+    return sharing(rare(some.drop("kinds").join(marked(seqs), "node").withColumn("kinds", every)))
 
 
 def links(sketched: DataFrame, seqs_of) -> DataFrame:
@@ -177,12 +230,15 @@ def links(sketched: DataFrame, seqs_of) -> DataFrame:
     seqs = checkpointed(seqs_of(members.select("node").distinct()))
     found = checkpointed(verified(members.where("node <> leader").select(*_ordered("node", "leader")).distinct(), seqs))
     spread = checkpointed(_open(members, found))
-    found = checkpointed(found.unionByName(verified(_across(spread.where(F.col("size") <= SMALL)), seqs)))
-    large = spread.where(F.col("size") > SMALL)
-    if not large.take(1):
+    if not spread.take(1):
         return found
-    large = checkpointed(_open(large.drop("label"), found).select("node", "label").distinct())
-    return found.unionByName(checkpointed(verified(sharing(checkpointed(rare(seqs, large))), seqs)))
+    told = checkpointed(against_hubs(clusters(spread), seqs))
+    found = checkpointed(found.unionByName(told.where("linked and node <> hub").select(*_ordered("node", "hub")).distinct()))
+    told = told.join(components(found), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    across = sharing(checkpointed(rare(told)))
+    if told.where("near and not linked").take(1):
+        across = across.unionByName(turned(told, seqs)).distinct()
+    return found.unionByName(checkpointed(verified(checkpointed(across), seqs)))
 
 
 def classes(docs: DataFrame) -> DataFrame:

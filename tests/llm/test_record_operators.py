@@ -151,14 +151,52 @@ def test_near_copies(spark, monkeypatch):
     texts = near_fixture()
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, node string")
     want = brute_classes(texts)
-    for small, kept in ((32, 3), (2, 3), (1, 1)):
-        monkeypatch.setattr(near_dedup, "SMALL", small)
+    for kept in (3, 1):
         monkeypatch.setattr(near_dedup, "KEPT", kept)
         got = {r.doc_id: r for r in near_dedup.classes(docs).collect()}
         assert [got[i].class_id for i in range(len(texts))] == want
         assert all(got[i].kept == (want[i] == i) for i in got)
 
 
+def test_copies_at_the_border(spark):
+    """Copies with one to five changed words of a hundred (the border lies between two and three) and turned halves."""
+    rng = random.Random(11)
+    words = ["w%d" % i for i in range(500)]
+    hot, texts = rng.choices(words, k=100), []
+    for i in range(150):
+        copy = list(hot)
+        for at in rng.sample(range(30 if i % 3 else 100), 1 + i % 5):
+            copy[at] = rng.choice(words)
+        half = 50 if i % 10 == 7 else 0
+        texts.append(" ".join(copy[half:] + copy[:half]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_differences_from_the_hub_lose_no_pair(spark):
+    """Every linked pair across components of one cluster comes out, with any node as the hub."""
+    rng = random.Random(12)
+    words, texts = ["w%d" % i for i in range(400)], []
+    base = rng.choices(words, k=60)
+    for i in range(40):
+        copy = base + rng.choices(words, k=i % 13) if i % 2 else list(base)
+        for at in rng.sample(range(40), i % 7):
+            copy[at] = rng.choice(words)
+        texts.append(" ".join(copy if i % 5 else copy[30:] + copy[:30]))
+    texts += [" ".join(rng.choices(words, k=60)) for _ in range(3)]
+    lists = [shingles.shingle_numbers([shingles.plain(t)])[0] for t in texts]
+    want = {(a, b) for a in range(len(lists)) for b in range(a + 1, len(lists)) if shingles.similar(lists[a], lists[b], 8)}
+    seqs = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(lists)], "node long, seq binary")
+    for hub in (0, 7, 41):
+        told = near_dedup.against_hubs(seqs.select("node", F.lit(hub).cast("long").alias("hub")), seqs).withColumn("label", F.col("node"))
+        linked = {(min(r.node, hub), max(r.node, hub)) for r in told.where("linked").collect()} - {(hub, hub)}
+        assert linked == {p for p in want if hub in p}
+        pairs = near_dedup.sharing(near_dedup.rare(told)).unionByName(near_dedup.turned(told, seqs)).collect()
+        star = {b if a == hub else a for a, b in linked} | {hub}  # their pairs join one component by the hub
+        assert {p for p in want if not star.issuperset(p)} <= {(r.a, r.b) for r in pairs}
+
+
 def test_near_copies_odd_rows(spark):
     long = "a b c d e f g h " * 20_000
     rows = [(4, "x y z q r s"), (4, "x y z q r s"), (4, "other words are here now"), (2, "x y z q r s"), (None, "X Y Z Q R S!"), (9, None), (9, None),
