@@ -8,7 +8,7 @@ too, marks its words as hit.
 The benchmark is collected only up to ``max_bytes`` of text; a larger one is scanned in several passes over groups of
 items, each within the bound, whose results merge row by row without a shuffle.
 
-Defined cases: a null text has no words; a text without words has no hits; a null item is no window; items with
+Defined cases: a null text has no words; a text without words has no hits; an item with a null id or text has no window; items with
 the same window are all found; repeated rows are judged each; clashing extra columns are replaced; empty tables give no
 rows (documents) or no hits (benchmark).
 """

@@ -8,7 +8,7 @@ statistics and page index, and a reader of the counts never touches the id pages
 
 Defined cases: a null text counts as empty; an empty text has only the end id; rows with the same doc_id stand in
 the order of a hash of their texts, each a row of its own; a null doc_id sorts first; other columns are ignored; an
-empty table gives an empty corpus.  Texts are taken whole whatever their length; a task holds one Arrow batch.
+empty table gives an empty corpus.  Texts are taken whole whatever their length; a task holds a slice of them.
 """
 
 from __future__ import annotations
