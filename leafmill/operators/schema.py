@@ -76,22 +76,31 @@ def _python_list(items: list) -> str:
 FLAGS = {"ignore_case": True, "multiline": True}
 
 
+ATTEMPTS = "array<struct<raw:string,v:string,w:double>>"
+
+
 def _attempts(text: Column, hits: Column, spec: dict, rungs: list) -> Column:
-    """What the rungs that match find: ``array<struct<raw, v, w>>`` in ladder order, v NULL where
-    the text does not fit the type.  The last, unlabelled rung runs only when no other fitted."""
-    def rules(some: list) -> Column:
-        return T.constant([{"re": java(p, **FLAGS), "w": w, "group": g, "needs": needed_literals(p)} for p, w, g in some],
-                          "array<struct<re:string,w:double,group:int,needs:array<string>>>")
-
-    def tried(tries: Column) -> Column:
-        raws = F.transform(T.rule_hits(text, hits, tries), lambda r: F.struct(
-            T.strip(F.call_function("regexp_extract", text, r["re"], r["group"])).alias("raw"), r["w"]))
-        return F.transform(raws, lambda r: F.struct(r["raw"], cast_value(r["raw"], spec).alias("v"), r["w"]))
-
-    labelled = tried(rules(rungs[:-1]))
-    bare = tried(rules(rungs[-1:]))
-    return T.let(labelled, lambda found: F.when(
-        F.exists(found, lambda a: a["v"].isNotNull()), found).otherwise(F.concat(found, bare)))
+    """What the rungs that match find, up to the first that fits the type: ``ATTEMPTS`` in ladder order, v NULL where
+    the text does not fit.  Rungs behind the first fitting one cannot change a verdict and are not run.
+
+    Every regex is a literal of the plan, so that it is compiled once a task, not once a row."""
+    def found(k: Column) -> Column:
+        raw = F.lit(None).cast("string")
+        for i, (p, _, group) in enumerate(rungs):
+            matched = F.when(T.gated_match(text, hits, p, **FLAGS), T.strip(F.regexp_extract(text, java(p, **FLAGS), group)))
+            raw = matched if i == 0 else F.when(k == i, matched).otherwise(raw)
+        return raw
+
+    def step(state: Column, k: Column) -> Column:
+        raws = F.filter(F.array(found(k)), lambda r: r.isNotNull())
+        tried = F.transform(raws, lambda r: F.struct(
+            r.alias("raw"), cast_value(r, spec).alias("v"), F.get(weights, k).alias("w")))
+        fits = F.coalesce(F.get(state, F.size(state) - 1)["v"].isNotNull(), F.lit(False))
+        return F.when(fits, state).otherwise(F.concat(state, tried)).cast(ATTEMPTS)
+
+    weights = T.constant([float(w) for _, w, _ in rungs], "array<double>")
+    numbers = F.sequence(F.lit(0), F.lit(len(rungs) - 1))
+    return F.aggregate(numbers, F.array().cast(ATTEMPTS), step)
 
 
 def _misfits(attempts: Column, kind: str) -> Column:

@@ -186,3 +186,11 @@ def test_html_references(docs):
              "no reference", "", "&#65", "&frac12;&there4;"]
     got = [r.u for r in docs(*texts).orderBy("doc_id").select(T.html_unescape(F.col("text")).alias("u")).collect()]
     assert got == [html.unescape(t) for t in texts]
+
+
+def test_schema_ladder_stops_at_the_first_fit(docs):
+    rungs = [("a=(.)", 0.9, 1), ("b=(.)", 0.8, 1), ("c=(.)", 0.7, 1), ("(.)", 0.5, 1)]
+    df = docs("a=x b=1 c=2", "c=3", "b=x", None)
+    tried = df.select("doc_id", schema._attempts(F.col("text"), F.array(F.lit("a"), F.lit("b"), F.lit("c")), {"type": "number"}, rungs).alias("t"))
+    got = {r.doc_id: [(a.raw, a.v, a.w) for a in r.t] for r in tried.collect()}
+    assert got == {0: [("x", None, 0.9), ("1", "1.0", 0.8)], 1: [("3", "3.0", 0.7)], 2: [("x", None, 0.8), ("b", None, 0.5)], 3: []}
