@@ -70,7 +70,8 @@ def _(spark, sf):
 @register("table_function_nested", markup_queries.ORACLES["nested_cells"].replace("p[1] as table_index, p[2] as row, p[3] as col", "p[1]::int as table_index, p[2]::int as row, p[3]::int as col"))
 def _(spark, sf):
     table_function.register(spark)
-    R.forms(spark, sf).createOrReplaceTempView("form_texts")
+    # a customer file may be a single task; the tokenizer is to run in as many as there are cores
+    R.forms(spark, sf).repartition("doc_id").createOrReplaceTempView("form_texts")
     return spark.sql("select d.doc_id, t.* from form_texts d, lateral extract_tables(d.text) t")
 
 

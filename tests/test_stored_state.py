@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from contract.grid_queries import scratch_database
-from leafmill.operators import audit, reuse, sketches, table_function
+from contract import grid_queries
+from leafmill.operators import audit, reuse, sketches, table_function, table_tokenizer
 from leafmill.sources import partitions
 from leafmill.streaming import admission, windows
 
@@ -200,3 +201,26 @@ def test_admission_streams_keep_their_state(spark, tmp_path, form):
                 allowed += step(newest)[0]
             want.append((n, key, allowed, len(times) - allowed))
     assert got == sorted(want)
+
+
+def test_plain_tables_need_no_tokenizer(monkeypatch):
+    plain = "☑ x\n<img>a</img><table><tr><th>H</th></tr>\n<tr><td> 1 </td><td></td></tr></table> & <table></table></b>"
+    odd = ["<table><tr><td>a<table><tr><td>in</td></tr></table></td></tr></table>", "<table><tr><td>open", "<TABLE><tr><td>1</td></tr></table>",
+           "<script><table></table></script>", "<table><tr><td>&amp;</td></tr></table>", "<!-- <table></table> -->", "a < b <table></table>"]
+    for text in [plain, *odd]:
+        own = [t["own"] for t in table_tokenizer.tables_in(text)]
+        rows = lambda found: [[table_function._CELL.findall(r) for r in table_function._ROW.findall(t)] for t in found]
+        assert rows(table_function._own_tables(text)) == rows(own)
+    asked = []
+    monkeypatch.setattr(table_function, "tables_in", lambda text: asked.append(text) or [])
+    for text in [plain, *odd]:
+        table_function._own_tables(text)
+    assert asked == odd
+
+
+def test_tables_of_forms_run_in_several_tasks(spark, tmp_path):
+    rows = [(i, f"c{i}", "s") for i in range(4000)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = grid_queries.QUERIES["table_function_nested"](spark, str(tmp_path))
+    assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == 8 * len(rows)
