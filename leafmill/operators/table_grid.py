@@ -21,27 +21,27 @@ from leafmill.operators.tables import _CELL, _ROW, cell_text
 
 #: Largest spans, as HTML sets them.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-_WHOLE_CELL = r"(?is)<t[hd]\b[^>]*>.*?</t[hd]\s*>"
 _INTEGER = r"^[+-]?\d[\d,]*$"
 _DECIMAL = r"^[+-]?(\d[\d,]*\.?\d*|\.\d+)$"
 _SPOTS = "array<struct<at: int, text: string, left: int>>"
 
 
-def _span(cell: Column, name: str, most: int) -> Column:
+def _span(tag: Column, name: str, most: int) -> Column:
     """Value of a span attribute of a cell's opening tag, 1 without one."""
-    tag = F.regexp_extract(cell, r"(?is)^<t[hd]\b[^>]*>", 0)
     digits = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
-    return F.when(digits == "", 1).otherwise(F.least(F.coalesce(digits.try_cast("int"), F.lit(most)), F.lit(most)))
+    return F.when(F.length(tag) == len("<td>"), 1).otherwise(T.let(digits, lambda d: F.when(d == "", 1).otherwise(
+        F.least(F.coalesce(d.try_cast("int"), F.lit(most)), F.lit(most)))))
 
 
 def _spanned_cells(table: Column) -> Column:
     """``array<array<struct<text, cols, rows, head>>>`` of a table's own level."""
     def cell(c: Column) -> Column:
-        return F.struct(cell_text(F.regexp_extract(c, _CELL, 1)).alias("text"), _span(c, "colspan", MOST_COLUMNS).alias("cols"),
-                        _span(c, "rowspan", MOST_ROWS).alias("rows"), c.rlike(r"(?i)^<th\b").alias("head"))
+        return T.let(F.substring_index(c, ">", 1), lambda tag: T.let(F.concat(tag, F.lit(">")), lambda tag: F.struct(
+            cell_text(F.regexp_extract(c, _CELL, 1)).alias("text"), _span(tag, "colspan", MOST_COLUMNS).alias("cols"),
+            _span(tag, "rowspan", MOST_ROWS).alias("rows"), tag.rlike(r"(?i)^<th\b").alias("head"))))
 
     return F.transform(F.regexp_extract_all(table, F.lit(_ROW), F.lit(1)),
-                       lambda r: F.transform(F.regexp_extract_all(r, F.lit(_WHOLE_CELL), F.lit(0)), cell))
+                       lambda r: F.transform(F.regexp_extract_all(r, F.lit(_CELL), F.lit(0)), cell))
 
 
 def _spot(at: Column, text: Column, left: Column) -> Column:

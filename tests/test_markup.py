@@ -132,3 +132,25 @@ def test_spans_of_nested_tables(docs):
     text = '<table><tr><td rowspan="2">a<table><tr><td colspan=2>in</td></tr></table></td><td>5</td></tr><tr><td>6</td></tr></table>'
     rows = tables.table_rows(docs(text), ["doc_id"]).select("table_index", table_grid.typed_csv(F.col("own")).alias("c")).orderBy("table_index").collect()
     assert [r.c for r in rows] == ["0,1\nain,5\nain,6\n", "0,1\nin,in\n"]
+
+
+def test_table_patterns_equal_their_plain_spelling(spark):
+    """The patterns that look for an end only behind a ``<`` find what ``.*?`` finds, whatever the tags look like."""
+    plain = {tables._TABLE: r"(?is)<table\b[^>]*>.*?</table\s*>", tables._ROW: r"(?is)<tr\b[^>]*>(.*?)</tr\s*>",
+             tables._CELL: r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"}
+    draw = random.Random(5)
+    parts = ["<table>", "<TABLE a='1'>", "</table>", "</Table\n >", "<tr>", "<tr\n>", "</tr>", "</TR >", "<td>", "<th rowspan=2>", "<thead>",
+             "</td>", "</tH>", "</t", "<", ">", "x", "\n", "☑", "&amp;", "<b>y</b>", ""]
+    texts = [("".join(draw.choices(parts, k=draw.randint(0, 25))),) for _ in range(3000)]
+    rows = spark.createDataFrame([*texts, (None,)], "t string")
+    found = rows.select(*[F.array(*[F.regexp_extract_all("t", F.lit(p), F.lit(g)) for p in pair]).alias(f"p{n}_{g}")
+                          for n, pair in enumerate(plain.items()) for g in range(2 if n else 1)])
+    assert all(value[0] == value[1] for row in found.collect() for value in row)
+
+
+def test_spans_come_from_the_opening_tag_alone(spark):
+    table = ('<table><tr><th COLSPAN="2">a</th></tr><tr><td>x colspan=3 > y</td><td class="k">1</td></tr>'
+             '<tr><td rowspan=2>p</td><td>2</td></tr><tr><td colspan = \'1\'>3</td></tr></table>')
+    grid = spark.createDataFrame([(table,)], "t string").select(table_grid.grid(F.col("t")).alias("g")).first()["g"]
+    assert grid["header"] == [["a", "a"]]
+    assert grid["body"] == [["x colspan=3 > y", "1"], ["p", "2"], ["p", "3"]]
