@@ -49,7 +49,9 @@ def _extract(df: DataFrame, config: dict) -> tuple[DataFrame, Column, Column]:
     hits = T.literal_hits(T.fold_labels(F.col("text")), fields_op.label_literals(names))
     rows = df.withColumn("_hits", hits)
     values = fields_op.value_map(fields_op.label_array(F.col("text"), F.col("_hits"), names))
-    return rows, values, _no_error()
+    # later steps, conditions and filters read the values; the text is searched once
+    live = F.col("workflow_status") == "running"
+    return T.bound(rows, _values=F.when(live, values)), F.col("_values"), _no_error()
 
 
 def _validate(df: DataFrame, config: dict) -> tuple[DataFrame, Column, Column]:
@@ -123,7 +125,7 @@ def run(df: DataFrame, steps: list[Step]) -> DataFrame:
         after = {"fail": "failed", "retry": "running", "skip": "running"}[step.on_failure]
         out = out.withColumn("workflow_status", F.when(done == "failed", after).otherwise(F.col("workflow_status")))
     return out.withColumn("workflow_status", F.when(
-        F.col("workflow_status") == "running", "completed").otherwise(F.col("workflow_status"))).drop("_hits", "_wanted")
+        F.col("workflow_status") == "running", "completed").otherwise(F.col("workflow_status"))).drop("_hits", "_values", "_wanted")
 
 
 def dead_letters(result: DataFrame) -> DataFrame:

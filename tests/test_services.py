@@ -220,6 +220,21 @@ def test_sinks(spark, tmp_path):
     assert [sinks.rendered_format(f) for f in ("xml", "csv", "other")] == ["xml", "csv", "json"]
 
 
+def test_workflow_searches_each_text_once(spark):
+    texts = ["Total Amount: 5\nNotes: none", "Notes: later", "", None]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, part string").select(
+        "doc_id", F.concat("part", F.lit("\nmade here")).alias("text"))
+    steps = [workflow.Step("extract", "field_extract", {"fields": ["Total Amount", "Notes"]}),
+             workflow.Step("gate", "no_such_handler", condition="extract_output['Total Amount'] = ''")]
+    dead = workflow.dead_letters(workflow.run(made, steps))
+    plan = dead._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("ArrowEvalPython ["), plan.count("made here")) == (1, 1)
+    assert "_values" not in dead.columns
+    rows = {r.doc_id: r for r in dead.collect()}
+    assert set(rows) == {1, 2, 3} and rows[1].gate_error == "Unknown handler: no_such_handler"
+    assert rows[1].extract_output == {"Total Amount": "", "Notes": "later"}
+
+
 def test_workflow_policies(spark):
     def explode(df, config):
         return df, F.lit("out"), F.when(F.col("n") > 1, F.lit("too big"))
