@@ -20,6 +20,8 @@ import regex
 from tokenizers import Tokenizer
 
 CACHE_ENTRIES = 250_000
+#: Pieces of a few characters that are kept by themselves: line ends, signs behind a word.
+SHORT, SHORT_ENTRIES = 4, 20_000
 #: Characters for which lower case and normal form are the same in every library; other chunks go the library's whole way.
 PLAIN = re.compile("[ \n\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
 RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
@@ -38,10 +40,11 @@ TAIL = "[A-Za-z0-9À-ÖØ-öø-ÿ][,.]$"
 
 
 class Cache:
-    """At most ``CACHE_ENTRIES`` entries in two generations: when the young one is full it becomes the old one, and what
+    """At most ``entries`` entries in two generations: when the young one is full it becomes the old one, and what
     the old one is asked for comes back, so frequent words stay."""
 
-    def __init__(self):
+    def __init__(self, entries: int | None = None):
+        self.entries = entries or CACHE_ENTRIES
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -54,7 +57,7 @@ class Cache:
                 value = self.old.get(key)
                 if value is None:
                     value = make(key)
-                if len(self.young) >= CACHE_ENTRIES // 2:
+                if len(self.young) >= self.entries // 2:
                     self.young, self.old = {}, self.young
                 found[i] = self.young[key] = value
         return found
@@ -66,9 +69,10 @@ UNSAFE = b"\xff"
 
 class ChunkEncoder:
     """``pattern`` is the tokenizer's own pre-token pattern for plain chunks; None leaves every chunk to the library.
-    ``blanks_count`` says whether blanks are part of the tokens (byte-level) or dropped (word-level, lower-cased)."""
+    ``blanks_count`` says whether blanks are part of the tokens (byte-level) or dropped (word-level, lower-cased);
+    ``entries`` is the size of its cache of chunks."""
 
-    def __init__(self, path: str, pattern: str | None, blanks_count: bool):
+    def __init__(self, path: str, pattern: str | None, blanks_count: bool, entries: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         specials = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
@@ -77,10 +81,21 @@ class ChunkEncoder:
         self.blanks_count = blanks_count
         self.table = byte_table()
         self.blank = self.table[32]
-        self.chunks = Cache()
+        self.chunks = Cache(entries)
+        self.short: dict[str, bytes] = {}
         self.tails = [b"", self._piece(","), self._piece(".")]
 
     def _piece(self, piece: str) -> bytes:
+        if len(piece) > SHORT:
+            return self._long_piece(piece)
+        found = self.short.get(piece)
+        if found is None:
+            found = self._long_piece(piece)
+            if len(self.short) < SHORT_ENTRIES:
+                self.short[piece] = found
+        return found
+
+    def _long_piece(self, piece: str) -> bytes:
         if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
             piece = piece.replace(" ", self.blank)
         else:
@@ -170,9 +185,9 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, pattern: str | None, blanks_count: bool) -> ChunkEncoder:
+def encoder(path: str, pattern: str | None, blanks_count: bool, entries: int | None = None) -> ChunkEncoder:
     """The worker's encoder for these parameters; its bounded cache outlives a task."""
-    key = (path, pattern, blanks_count)
+    key = (path, pattern, blanks_count, entries)
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(*key)
     return _ENCODERS[key]

@@ -29,6 +29,8 @@ WRITER = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 1
           "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
           "parquet.dictionary.page.size": str(1 << 20)}
 ENCODINGS = {"dictionary": "true", "delta": "false"}
+#: Words a worker keeps encoded, some 100 MB; most of a corpus's words are rare, and a small cache forgets them between slices.
+KEPT_WORDS = 500_000
 TOKENS = "doc_id long, tokens array<int>, n_tokens int, part int, start_in_part long"
 
 
@@ -39,7 +41,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int) ->
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, start = encoder(tokenizer, pattern, True), TaskContext.get().partitionId(), 0
+        own, part, start = encoder(tokenizer, pattern, True, KEPT_WORDS), TaskContext.get().partitionId(), 0
         for batch in sliced(batches):
             ids, bounds = own.encode(batch.column("text"))
             n = batch.num_rows

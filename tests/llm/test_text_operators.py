@@ -46,6 +46,18 @@ def test_encoder_equals_library(encoders):
         check_encoding(own, ODD[::-1])
 
 
+def test_short_pieces_reach_the_model_once_and_the_cache_has_the_size_asked_for():
+    own = ChunkEncoder(*byte_tokenizer(), True, 100)
+    assert own.chunks.entries == 100
+    asked, ids = [], own._ids
+    own._ids = lambda name: asked.append(name) or ids(name)
+    texts = [f"Zug{i}a$$$\nRad{i}b$$$\nTor{i}c$$$" for i in range(60)]
+    found, bounds = own.encode(pa.array(texts))
+    assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [
+        own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count(own.table[10]) <= 1 and asked.count("$$$") <= 1
+
+
 def test_encoder_cache_is_bounded(encoders, monkeypatch):
     monkeypatch.setattr("leafmill.llm.chunk_encoder.CACHE_ENTRIES", 6)
     for own in encoders:
