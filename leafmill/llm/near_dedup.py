@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import shingles
@@ -261,8 +261,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, with its own columns; a row that is repeated stays once."""
-    kept = classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("__hash") == F.col("kept_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    """One document of each class, with its own columns; a row that is repeated stays once.
+
+    Join and removal of repeated rows deal and order the texts by the same plain columns, so these are shuffled and
+    sorted once."""
+    keys = ["__id", "__null", "__hash"]
+
+    def keyed(rows: DataFrame, text_hash: Column) -> DataFrame:
+        number = F.col("doc_id").cast("long")
+        return rows.withColumns({"__id": F.coalesce(number, F.lit(0)), "__null": number.isNull(), "__hash": text_hash})
+
+    kept = keyed(classes(docs).where("kept"), F.col("text_hash")).select(*keys)
+    return keyed(docs, F.xxhash64("text")).join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

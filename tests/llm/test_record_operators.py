@@ -208,6 +208,19 @@ def test_near_copies_odd_rows(spark):
     assert near_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_kept_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "a b c d e f")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.deduplicated(docs)
+        above, below = kept._jdf.queryExecution().executedPlan().toString().split("LeftSemi")
+        assert "Exchange" not in above and above.count("Sort [") == 0 and below.count("Exchange") > 0
+        assert [tuple(r) for r in kept.collect()] == [(None, "a b c d e f")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
 def test_alignment(a, b):
