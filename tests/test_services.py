@@ -27,6 +27,20 @@ def test_hmac_equals_stdlib(spark):
         assert r.signature == want
 
 
+def test_fan_out_of_one_file_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(notify, "BLOCK_BITS", 2)
+    lists = [["a", "b"], ["a", "a"], ["b", None], None, [], ["c"]]
+    hooks = [(None if i % 9 == 8 else f"w{i % 20}", lists[i % 6], i % 4 != 0) for i in range(40)]
+    events = [(i, [None, "a", "b", "d"][i % 4]) for i in range(50)] + [(1, "a")]
+    want = sorted((str(w), t, e) for e, t in events for w, found, active in hooks if active and t and t in (found or []))
+    frames = (spark.createDataFrame(events, "event_id long, event_type string").coalesce(1),
+              spark.createDataFrame(hooks, "id string, events array<string>, active boolean"))
+    got = notify.fan_out(*frames)
+    assert got.columns == ["event_type", "event_id", "webhook_id"]
+    assert sorted((str(r.webhook_id), r.event_type, r.event_id) for r in got.collect()) == want
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def _requests(seed, skew):
     rng, rows, number = random.Random(seed), [], 0
     for user in range(3):
