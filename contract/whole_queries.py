@@ -47,7 +47,8 @@ def _(spark, sf):
 
 @register("record_entities", text_queries.ORACLES["entities_top20"])
 def _(spark, sf):
-    found = fields.structured_records(M.docs(spark, sf)).select("doc_id", F.posexplode("entities").alias("ord", "e"))
+    records = fields.structured_records(M.docs(spark, sf), entity_limit=C.ENTITY_LIMIT)
+    found = records.select("doc_id", F.posexplode("entities").alias("ord", "e"))
     return found.select("doc_id", "ord", "e.type", "e.value")
 
 

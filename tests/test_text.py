@@ -92,6 +92,15 @@ def test_steady_patterns_equal_their_originals(docs):
             assert r.m == want, (original, text)
 
 
+def test_records_hold_every_entity(docs):
+    text = "\n".join(f"2024-01-{i:02} a{i}@b.org $5.{i:02}" for i in range(1, 31))
+    want = [(kind, value) for kind, _, value in _python_entities(text)]
+    assert len(want) >= 90
+    whole, first = (fields.structured_records(docs(text), entity_limit=n).select("entities").first().entities for n in (None, C.ENTITY_LIMIT))
+    assert [(e.type, e.value) for e in whole] == want
+    assert [(e.type, e.value) for e in first] == want[:C.ENTITY_LIMIT]
+
+
 def test_long_runs_do_not_exhaust_the_stack(docs):
     chain = "Abc Defg " * 20000
     text = docs(chain + "Inc.", "5 " + chain + "Street", "name " + chain, "1" * 50000 + " X USD", "http://" + "a." * 20000 + "com")
