@@ -62,10 +62,14 @@ def beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarra
 def both_ways(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links in either direction as (where each node's begin, their ends): a node that others dropped from their
     lists still links to them."""
-    a, b = np.repeat(np.arange(len(links)), links.shape[1]), links.ravel()
-    a, b = a[b >= 0], b[b >= 0].astype(np.int64)
-    pairs = np.unique(np.concatenate([a * len(links) + b, b * len(links) + a]))
-    return np.searchsorted(pairs, np.arange(len(links) + 1) * len(links)), pairs % len(links)
+    n, at = len(links), np.flatnonzero(links >= 0)
+    a, b = at // links.shape[1], links.ravel()[at]
+    pairs = np.empty(2 * len(at), np.int64)
+    pairs[:len(at)], pairs[len(at):] = a * n + b, b.astype(np.int64) * n + a
+    del a, b, at
+    pairs.sort()
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[:len(pairs)]]
+    return np.searchsorted(pairs, np.arange(n + 1) * n), (pairs % n).astype(np.int32)
 
 
 def reach(x: np.ndarray, edges: tuple[np.ndarray, np.ndarray], queries: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:

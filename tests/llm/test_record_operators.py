@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -320,6 +321,35 @@ def test_audit_leaves_own_nodes_out():
     assert vector_links.planted(np.ones((3, 1), np.float32), 9, 0.95, np.random.default_rng(1)).tolist() == [[1.0]] * 3
 
 
+def test_shards_come_in_pieces_ahead_of_a_stream_of_queries(monkeypatch):
+    monkeypatch.setattr(vector_links, "PIECE", 2000)
+    monkeypatch.setattr(vector_links, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(90, 12))
+    x[45:] = x[:45] + 0.05 * rng.normal(size=(45, 12))
+    numbers, rows = np.arange(100, 190), []
+    for shard in range(2):
+        own = rng.permutation(np.flatnonzero(np.arange(90) % 2 == shard))
+        pieces = vector_links.packed(hnsw.build(hnsw.unit(x[own]).astype(np.float32)), x[own], numbers[own])
+        assert len(pieces) > 3 and max(map(len, pieces)) <= 2000
+        for block in range(2):
+            rows += [(12, shard, block, no, piece, None, None) for no, piece in enumerate(pieces)]
+            rows += [(12, shard, block, None, None, int(numbers[i]), x[i].tolist()) for i in range(90) if i // 50 == block]
+    names = ["dim", "shard", "block", "no", "piece", "node", "embedding"]
+    table = pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, [
+        pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.float64())]))})
+    got = {pair for out in vector_links.answers(iter(table.to_batches(max_chunksize=7)), 0.95) for pair in zip(*out.to_pydict().values())}
+    near = hnsw.unit(x) @ hnsw.unit(x).T >= 0.95
+    assert got == {(100 + i, 100 + j) for i in range(90) for j in range(i + 1, 90) if near[i, j]} and len(got) >= 45
+
+
+def test_wide_vectors_make_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(vector_links, "SHARD_BYTES", 10_000)
+    table = spark.createDataFrame([(i, [float(i + 1)] * 50) for i in range(200)], "vec_id long, embedding array<float>")
+    told = vector_links.nodes(table, shards=2, block_rows=4).select("parts", "blocks").distinct().collect()
+    assert [(r.parts, r.blocks) for r in told] == [(4, vector_links.SPREAD)]
+
+
 def test_renamed(spark):
     df, back = renamed(spark.createDataFrame([(1, 2)], "Score int, other int"), {"score"})
     assert df.columns == ["__own_0", "other"] and df.withColumnsRenamed(back).columns == ["Score", "other"]
