@@ -203,3 +203,30 @@ def test_schema_ladder_stops_at_the_first_fit(docs):
     tried = df.select("doc_id", schema._attempts(F.col("text"), F.array(F.lit("a"), F.lit("b"), F.lit("c")), {"type": "number"}, rungs).alias("t"))
     got = {r.doc_id: [(a.raw, a.v, a.w) for a in r.t] for r in tried.collect()}
     assert got == {0: [("x", None, 0.9), ("1", "1.0", 0.8)], 1: [("3", "3.0", 0.7)], 2: [("x", None, 0.8), ("b", None, 0.5)], 3: []}
+
+
+def _first_value(text, patterns):
+    """Group of the first of the patterns that matches anywhere, by ``re`` itself."""
+    for p in patterns:
+        if m := re.search(p, text, re.I | re.M):
+            return m.group(1) or ""
+    return ""
+
+
+def test_structured_fields_equal_python_patterns(docs):
+    pieces = ["Invoice ", "INVOICE #", "inv", "Total: ", "total", "$5.00", "\n", "\n\n", " ", ":", "#", "Date: ", "dated ", "01/02/2024", "March 5, 2024", "Bill To: ",
+              "ſhip to: ", "Ship", "**", "é", "K", "ı", "bıll to", "Tax (5%): 1.5", "Notes: none", "Order ID: 7", "due date", "subtotal", "SUBTOTAL 7"]
+    texts = ["Invoice Number: 5\nInvoice Date: 1\nBill To: x\n" + _noise(i, 60, pieces) for i in range(80)]
+    got = {}
+    for r in fields.structured_rows(docs(*texts)).collect():
+        assert r.document_type == "invoice"
+        got.setdefault(r.doc_id, {})[r.field] = r.value
+    for i, text in enumerate(texts):
+        want = {f: v.strip() for f, ps in C.COMMON_FIELDS.items() if (v := _first_value(text, ps))}
+        want |= {f: v for f, ps in C.TYPE_FIELDS["invoice"].items() if (v := _first_value(text, ps).strip().strip("*").strip())}
+        assert got.get(i, {}) == want, repr(text)
+
+
+def test_structured_fields_run_no_regex_by_row(docs):
+    plan = fields.structured_rows(docs("a"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("find(") == 1 and plan.count("scan(") == 1 and "rlike" not in plan and "regexp" not in plan
