@@ -227,6 +227,14 @@ def test_structured_fields_equal_python_patterns(docs):
         assert got.get(i, {}) == want, repr(text)
 
 
+def test_every_part_of_a_record_is_planned_alone(docs):
+    records = fields.structured_records(docs("INVOICE # 5\nInvoice Number: 5\nBill To: x\nTotal: 7.00"))
+    for name in records.columns:
+        assert records.select(name).count() == 1 and len(records.select(name).collect()) == 1
+    found = records.select(F.explode(fields.nested(F.col("extracted_fields"))).alias("field", "inner")).collect()
+    assert {"total", "invoice_number"} <= {r.field for r in found}
+
+
 def test_structured_fields_run_no_regex_by_row(docs):
     plan = fields.structured_rows(docs("a"))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("find(") == 1 and plan.count("scan(") == 1 and "rlike" not in plan and "regexp" not in plan
